@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.columns import chunks
@@ -85,6 +87,13 @@ def per_column(
     return union_all(parts)
 
 
+def run_together(tasks: Mapping[str, Callable[[], object]]) -> dict[str, object]:
+    """Run independent Spark jobs side by side, so that one fills the gaps of another."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        started = {name: pool.submit(inheritable_thread_target(task)) for name, task in tasks.items()}
+        return {name: future.result() for name, future in started.items()}
+
+
 def rate(part: Column, whole: Column) -> Column:
     """part / whole as DOUBLE, NULL when the whole is zero."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

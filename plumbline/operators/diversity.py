@@ -163,19 +163,16 @@ def trend_component(
         pivot = values_at_ranks(
             rows.filter(tied).select(key), {name: [rest]}, {name: open_rows}, gather_limit
         )[name, rest]
-        below, equal = rows.filter(tied).agg(
-            F.count_if(key < F.lit(pivot)), F.count_if(key == F.lit(pivot))
-        ).first()
-        first = first | (tied & (key < F.lit(pivot)))
-        tied = tied & (key == F.lit(pivot))
-        rest, open_rows = rest - below, equal
+        first = first | (tied & (key < F.lit(pivot.value)))
+        tied = tied & (key == F.lit(pivot.value))
+        rest, open_rows = rest - pivot.below, pivot.equal
         if rest == 0:
             break
     sums = rows.agg(
         F.sum(F.when(first, F.col("v"))).alias("first"), F.sum("v").alias("all")
     ).first()
     # What still ties has one value (the last key), so any `rest` of it will do.
-    first_sum = (sums["first"] or 0.0) + (rest * pivot if rest else 0.0)
+    first_sum = (sums["first"] or 0.0) + (rest * pivot.value if rest else 0.0)
     first_mean = first_sum / wanted
     second_mean = (sums["all"] - first_sum) / (total.n - wanted)
     row = {

@@ -12,17 +12,28 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.columns import chunks, normalise_missing, ref
-from plumbline.functions.frames import HEAVY_COLUMNS_PER_STAGE, local_frame, union_all
+from plumbline.functions.frames import HEAVY_COLUMNS_PER_STAGE, local_frame
 
 GATHER_LIMIT = 200_000
 SKETCH_SIZE = 4096
 SKETCH_MARGIN = 0.002
 
 
+@dataclass(frozen=True)
+class Ranked:
+    """A value at a rank, with the rows below it and equal to it."""
+
+    value: float
+    below: int
+    equal: int
+
+
 @dataclass(frozen=True)
 class Span:
     """A closed value range of one column that holds the wanted ranks."""
@@ -89,24 +100,45 @@ def _narrow(values: DataFrame, spans: Sequence[Span]) -> list[Span]:
     return list(narrowed.values())
 
 
-def _gather(values: DataFrame, spans: Sequence[Span]) -> dict[tuple[str, int], float]:
-    """Rank the rows inside spans of bounded size."""
-    numbered = list(enumerate(spans))
-    parts = []
-    for column in dict.fromkeys(s.column for s in spans):
-        which = F.coalesce(
-            *[F.when(s.covers(ref(column)), F.lit(i)) for i, s in numbered if s.column == column]
-        )
-        parts.append(
-            values.select(which.alias("span"), ref(column).alias("v")).filter("span is not null")
-        )
-    counted = union_all(parts).groupBy("span", "v").agg(F.count(F.lit(1)).alias("cnt"))
+def _gather(values: DataFrame, spans: Sequence[Span]) -> dict[tuple[str, int], Ranked]:
+    """Rank the rows inside spans of bounded size, all columns in one scan.
+
+    Values outside the spans become NULL and are gone before the shuffle.  The
+    spans of a column do not overlap, so column and value tell the span.
+    """
+    columns = list(dict.fromkeys(s.column for s in spans))
+    inside = [
+        F.when(reduce(or_, [s.covers(ref(c)) for s in spans if s.column == c]), ref(c)).alias(str(i))
+        for i, c in enumerate(columns)
+    ]
+    masked = values.select(*inside)
+    if len(columns) > 1:
+        long = masked.unpivot([], [ref(n) for n in masked.columns], "c", "v")
+    else:
+        long = masked.select(F.lit("0").alias("c"), ref("0").alias("v"))
+    counted = long.filter("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
+
+    span_type = T.StructType(
+        [
+            T.StructField("c", T.StringType()),
+            T.StructField("span", T.IntegerType()),
+            T.StructField("low", T.DoubleType()),
+            T.StructField("high", T.DoubleType()),
+        ]
+    )
+    located = [
+        {"c": str(columns.index(s.column)), "span": i, "low": s.low, "high": s.high}
+        for i, s in enumerate(spans)
+    ]
+    # One row per column and rank, so broadcasting these is safe at any scale.
+    bounds = F.broadcast(local_frame(values.sparkSession, located, span_type))
+    within = counted.join(bounds, "c").filter("v between low and high")
     upto = F.sum("cnt").over(
         Window.partitionBy("span").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     )
     wanted = local_frame(
         values.sparkSession,
-        [{"span": i, "rank": r, "offset": r - s.below} for i, s in numbered for r in s.ranks],
+        [{"span": i, "rank": r, "offset": r - s.below} for i, s in enumerate(spans) for r in s.ranks],
         T.StructType(
             [
                 T.StructField("span", T.IntegerType()),
@@ -116,13 +148,16 @@ def _gather(values: DataFrame, spans: Sequence[Span]) -> dict[tuple[str, int], f
         ),
     )
     hits = (
-        counted.withColumn("upto", upto)
-        .join(wanted, "span")
+        within.select("span", "v", "cnt", upto.alias("upto"))
+        .join(F.broadcast(wanted), "span")
         .filter((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("cnt")))
-        .select("span", "rank", "v")
+        .select("span", "rank", "v", "cnt", "upto")
         .collect()
     )
-    return {(spans[h.span].column, h["rank"]): h.v for h in hits}
+    return {
+        (spans[h.span].column, h["rank"]): Ranked(h.v, spans[h.span].below + h.upto - h.cnt, h.cnt)
+        for h in hits
+    }
 
 
 def values_at_ranks(
@@ -130,7 +165,7 @@ def values_at_ranks(
     ranks: Mapping[str, Sequence[int]],
     counts: Mapping[str, int],
     gather_limit: int = GATHER_LIMIT,
-) -> dict[tuple[str, int], float]:
+) -> dict[tuple[str, int], Ranked]:
     """The values at 0-based ranks of DOUBLE columns, NULLs left out.
 
     ``counts`` holds the non-null rows of each column.  Only bounds and counts,
@@ -141,11 +176,11 @@ def values_at_ranks(
         for c, rs in ranks.items()
         if rs and counts[c]
     ]
-    found: dict[tuple[str, int], float] = {}
+    found: dict[tuple[str, int], Ranked] = {}
     while True:
         for s in spans:
             if s.low == s.high:
-                found |= {(s.column, r): s.low for r in s.ranks}
+                found |= {(s.column, r): Ranked(s.low, s.below, s.rows) for r in s.ranks}
         spans = [s for s in spans if s.low != s.high]
         wide = [s for s in spans if s.rows > gather_limit]
         if not wide:
@@ -200,6 +235,6 @@ def quantiles(
                 result[c].append(None)
                 continue
             h = (counts[c] - 1) * p
-            a, b = found[c, math.floor(h)], found[c, math.ceil(h)]
+            a, b = found[c, math.floor(h)].value, found[c, math.ceil(h)].value
             result[c].append(a if a == b else a + (b - a) * (h - math.floor(h)))
     return result

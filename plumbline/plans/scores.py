@@ -22,7 +22,7 @@ from plumbline.functions.columns import (
     ref,
     string_columns,
 )
-from plumbline.functions.frames import local_frame, rate
+from plumbline.functions.frames import local_frame, rate, run_together
 from plumbline.operators.completeness import completeness_metrics, labelled
 from plumbline.operators.consistency import distribution_stats, value_class_counts
 from plumbline.operators.currentness import currentness_band, metadata_age
@@ -197,7 +197,26 @@ def gather(
     other_rules = [r for r in config.semantic_rules if r.rule_type not in ROW_RULES]
     compiled = compile_all(clean, config.syntactic_rules, row_rules) + compile_all(clean, expected)
 
-    seen = _scan(clean, _scan_metrics(clean, config, compiled, label))
+    numeric = numeric_columns(df)
+    tasks = {
+        "scan": lambda: _scan(clean, _scan_metrics(clean, config, compiled, label)),
+        "duplicates": lambda: duplicate_rows(clean).first()["duplicate_rows"],
+    }
+    if numeric:
+        tasks["outliers"] = lambda: iqr_outliers(clean, numeric).collect()
+        tasks["shapes"] = lambda: distribution_stats(clean, numeric).collect()
+    if string_columns(df):
+        tasks["classes"] = lambda: value_class_counts(clean).collect()
+    if other_rules:
+        tasks["rules"] = lambda: check_semantic_rules(clean, other_rules, tables).collect()
+    if label is not None:
+        tasks["labels"] = lambda: _label_facts(clean, label)
+    if config.order_by and datetime_columns(df, config.datetime_by):
+        tasks["components"] = lambda: component_richness(
+            clean, config.order_by, config.datetime_by
+        ).first()
+    done = run_together(tasks)
+    seen = done["scan"]
     rows = seen["row_count"]
     nulls = {c: seen[f"null_{i}"] for i, c in enumerate(clean.columns)}
 
@@ -210,16 +229,14 @@ def gather(
     is_expected = {f"expected:{i}" for i in range(1, len(expected) + 1)}
     expected_results = [r for r in results if r["rule_id"] in is_expected]
     results = [r for r in results if r["rule_id"] not in is_expected]
-    if other_rules:
-        results += [r.asDict() for r in check_semantic_rules(clean, other_rules, tables).collect()]
+    results += [r.asDict() for r in done.get("rules", ())]
     semantic_types = {r.rule_type for r in config.semantic_rules}
     ran = [r for r in results if r["status"] == "ok"]
     syntactic = [r for r in ran if r["rule_type"] not in semantic_types]
     semantic = [r for r in ran if r["rule_type"] in semantic_types]
 
-    numeric = numeric_columns(df)
-    outliers = {r.column_name: r.outlier_count for r in iqr_outliers(clean, numeric).collect()} if numeric else {}
-    shapes = distribution_stats(clean, numeric).collect() if numeric else []
+    outliers = {r.column_name: r.outlier_count for r in done.get("outliers", ())}
+    shapes = done.get("shapes", ())
     shaped = [s for s in shapes if s.skewness is not None and s.kurtosis is not None]
     odd = [
         s
@@ -227,9 +244,8 @@ def gather(
         if abs(s.skewness) > config.skewness_limit or abs(s.kurtosis) > config.kurtosis_limit
     ]
     classes: dict[str, int] = {}
-    if string_columns(df):
-        for r in value_class_counts(clean).collect():
-            classes[r.column_name] = classes.get(r.column_name, 0) + 1
+    for r in done.get("classes", ()):
+        classes[r.column_name] = classes.get(r.column_name, 0) + 1
     mixed = [c for c, n in classes.items() if n > 1]
 
     covered = dict.fromkeys(r["field"] for r in syntactic)
@@ -242,7 +258,7 @@ def gather(
         "complete_columns": sum(n == 0 for n in nulls.values()),
         "complete_rows": seen["complete_rows"],
         "covered_cells": sum(rows - nulls[c] for c in covered),
-        "duplicate_rows": duplicate_rows(clean).first()["duplicate_rows"],
+        "duplicate_rows": done["duplicates"],
         "mixed_columns": len(mixed),
         "numeric_cells": sum(rows - nulls[c] for c in numeric),
         "outliers": sum(outliers.values()),
@@ -276,11 +292,9 @@ def gather(
         ),
         "expected_pass": _mean(r["pass_rate"] for r in expected_results if r["status"] == "ok"),
     }
-    if label is not None:
-        facts |= _label_facts(clean, label)
-    if config.order_by and datetime_columns(df, config.datetime_by):
-        parts = component_richness(clean, config.order_by, config.datetime_by).first()
-        facts["components"] = None if parts is None else parts["component_richness"]
+    facts |= done.get("labels", {})
+    if done.get("components") is not None:
+        facts["components"] = done["components"]["component_richness"]
     if config.metadata and config.as_of_year is not None:
         age = metadata_age(metadata_frame(spark, config.metadata), config.as_of_year).first()
         facts["age_since_update"] = age["age_since_update_years"]
@@ -438,7 +452,11 @@ def evaluate(
     return Evaluation(
         config=config,
         facts=facts_frame,
-        dimension_scores=score_dimensions(facts_frame, config, overrides),
+        dimension_scores=local_frame(
+            spark,
+            [r.asDict() for r in score_dimensions(facts_frame, config, overrides).collect()],
+            DIMENSION_SCORES,
+        ),
         rule_results=local_frame(spark, results, RULE_RESULTS),
         evidence=local_frame(
             spark,
