@@ -87,13 +87,23 @@ def per_column(
     return union_all(parts)
 
 
-def run_together(tasks: Mapping[str, Callable[[], object]]) -> dict[str, object]:
+def run_together(
+    spark: SparkSession, tasks: Mapping[str, Callable[[], object]]
+) -> dict[str, object]:
     """Run independent Spark jobs side by side, so that one fills the gaps of another."""
     with ThreadPoolExecutor(max_workers=4) as pool:
-        started = {name: pool.submit(inheritable_thread_target(task)) for name, task in tasks.items()}
+        started = {
+            name: pool.submit(inheritable_thread_target(spark)(task))
+            for name, task in tasks.items()
+        }
         return {name: future.result() for name, future in started.items()}
 
 
+def number_text(pattern: str, value: Column) -> Column:
+    """A formatted number, N/A for NULL, which format_string would print in part."""
+    return F.when(value.isNotNull(), F.format_string(pattern, value)).otherwise(F.lit("N/A"))
+
+
 def rate(part: Column, whole: Column) -> Column:
     """part / whole as DOUBLE, NULL when the whole is zero."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

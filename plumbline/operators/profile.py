@@ -20,6 +20,7 @@ from plumbline.functions.frames import (
     HEAVY_COLUMNS_PER_STAGE,
     LIGHT_COLUMNS_PER_STAGE,
     local_frame,
+    number_text,
     per_column,
     rate,
     union_all,
@@ -338,7 +339,7 @@ def profile_lines(
                 F.lit("0"),
                 F.concat(
                     F.lit("Class balance (min/max): "),
-                    F.coalesce(F.format_string("%.3f", "class_balance"), F.lit("n/a")),
+                    number_text("%.3f", F.col("class_balance")),
                 ),
             ),
         ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from plumbline.functions.frames import local_frame, rate
+from plumbline.functions.frames import local_frame, number_text, rate
 from plumbline.plans.catalogue import CHARACTERISTICS, MOST_DIMENSIONS
 from plumbline.plans.config import EvaluationConfig
 from plumbline.plans.scores import Evaluation
@@ -71,10 +71,6 @@ def priority_table(spark: SparkSession, config: EvaluationConfig) -> DataFrame:
     return local_frame(spark, rows, schema)
 
 
-def _percent_text(score: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", score), F.lit("N/A"))
-
-
 def characteristic_scores(dimension_scores: DataFrame) -> DataFrame:
     """Plain mean of the scored dimensions; NULL where none is scored."""
     means = dimension_scores.groupBy("characteristic").agg(
@@ -112,7 +108,7 @@ def score_table(characteristics: DataFrame) -> DataFrame:
             "characteristic",
             "position",
             "priority",
-            _percent_text(F.col("overall_score")).alias("score_text"),
+            number_text("%.1f%%", F.col("overall_score")).alias("score_text"),
             "summary",
         )
         .orderBy("priority", "position")
@@ -132,7 +128,7 @@ def dimension_table(dimension_scores: DataFrame) -> DataFrame:
             "priority",
             "dimension",
             "position",
-            _percent_text(F.col("score")).alias("score_text"),
+            number_text("%.1f%%", F.col("score")).alias("score_text"),
             status.alias("status"),
             "explanation",
         )
@@ -167,7 +163,7 @@ def recommendations(evaluation: Evaluation, worst: int = 3) -> DataFrame:
         F.lit("Raise "),
         F.replace("dimension", F.lit("_"), F.lit(" ")),
         F.lit(" from "),
-        _percent_text(F.col("score")),
+        number_text("%.1f%%", F.col("score")),
         F.coalesce(F.concat(F.lit("; start with "), F.col("causes")), F.lit("")),
     )
     return (

@@ -215,7 +215,7 @@ def gather(
         tasks["components"] = lambda: component_richness(
             clean, config.order_by, config.datetime_by
         ).first()
-    done = run_together(tasks)
+    done = run_together(spark, tasks)
     seen = done["scan"]
     rows = seen["row_count"]
     nulls = {c: seen[f"null_{i}"] for i, c in enumerate(clean.columns)}
