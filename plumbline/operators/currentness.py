@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import dtype_of, ref
-from plumbline.functions.frames import rate
+from plumbline.functions.parsing import parse_int
 
 SHORT_YEARS = 5
 LONG_YEARS = 15
@@ -20,7 +20,7 @@ def _known(text: Column) -> Column:
 
 def year_of(text: Column) -> Column:
     """The year at the start of a date text, NULL if there is none."""
-    return F.left(_known(text), F.lit(4)).try_cast("int")
+    return parse_int(F.left(_known(text), F.lit(4)))
 
 
 def currentness_band(age: Column, short: int = SHORT_YEARS, long: int = LONG_YEARS) -> Column:
@@ -62,7 +62,7 @@ def collection_span(period: Column) -> Column:
     parts = F.filter(
         F.split(F.replace(_known(period), F.lit(" "), F.lit("")), "-"), lambda p: F.length(p) >= 4
     )
-    years = F.transform(parts, lambda p: F.left(p, F.lit(4)).try_cast("int"))
+    years = F.transform(parts, lambda p: parse_int(F.left(p, F.lit(4))))
     readable = (F.size(years) > 0) & ~F.exists(years, lambda y: y.isNull())
     return F.when(readable, F.element_at(years, -1) - F.element_at(years, 1))
 

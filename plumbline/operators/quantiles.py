@@ -2,9 +2,10 @@
 
 ``percentile`` gathers every distinct value of a column in one task, and a
 global ``row_number`` sorts the table in one task.  Here a KLL sketch brackets
-each wanted rank, exact counts below the bracket check it, and the bracket is
-narrowed until it is small enough to rank.  The sketch only decides how fast
-that goes: the answer rests on exact counts.
+each wanted rank.  One further scan counts the values inside the brackets one
+by one and everything between them in bulk, which gives the exact rank of each
+value in a bracket.  The sketch only decides how fast that goes: a rank that
+falls between the brackets is looked for again where it fell.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -57,107 +56,129 @@ def _one_row(df: DataFrame, metrics: Mapping[str, Column], per_stage: int) -> di
     return found
 
 
-def _narrow(values: DataFrame, spans: Sequence[Span]) -> list[Span]:
-    """Replace each span by smaller ones around its ranks."""
+def _brackets(values: DataFrame, spans: Sequence[Span]) -> list[list[tuple[float, float]]]:
+    """Value ranges around the ranks of each span, from a sketch of the span."""
     probes = {}
     for i, s in enumerate(spans):
         inside = F.when(s.covers(ref(s.column)), ref(s.column))
-        sketch = F.kll_sketch_agg_double(inside, SKETCH_SIZE)
-        shares = sorted(
-            {
-                min(1.0, max(0.0, (r - s.below + 0.5) / s.rows + side * SKETCH_MARGIN))
-                for r in s.ranks
-                for side in (-1, 1)
-            }
-        )
+        shares = []
+        for r in s.ranks:
+            middle = (r - s.below + 0.5) / s.rows
+            shares += [max(0.0, middle - SKETCH_MARGIN), min(1.0, middle + SKETCH_MARGIN)]
         probes[f"p{i}"] = F.kll_sketch_get_quantile_double(
-            sketch, F.array(*[F.lit(q) for q in shares])
+            F.kll_sketch_agg_double(inside, SKETCH_SIZE), F.array(*[F.lit(q) for q in shares])
         )
-    cuts = _one_row(values, probes, HEAVY_COLUMNS_PER_STAGE * 2)
+    found = _one_row(values, probes, HEAVY_COLUMNS_PER_STAGE * 2)
+    return [
+        _disjoint(list(zip(cuts[::2], cuts[1::2], strict=True)))
+        for cuts in (found[f"p{i}"] for i in range(len(spans)))
+    ]
+
 
+def _disjoint(ranges: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Merge closed ranges that meet."""
+    merged: list[tuple[float, float]] = []
+    for low, high in sorted(ranges):
+        if merged and low <= math.nextafter(merged[-1][1], math.inf):
+            merged[-1] = (merged[-1][0], max(merged[-1][1], high))
+        else:
+            merged.append((low, high))
+    return merged
+
+
+def _count_pieces(
+    values: DataFrame, spans: Sequence[Span], brackets: Sequence[Sequence[tuple[float, float]]]
+) -> list[Span]:
+    """Split spans at their brackets and keep the pieces that hold the ranks.
+
+    Bounds of brackets become pieces of their own, which takes heavy values out.
+    """
+    cuts = [sorted({b for pair in pairs for b in pair}) for pairs in brackets]
     counts = {}
     for i, s in enumerate(spans):
-        for j, cut in enumerate(sorted(set(cuts[f"p{i}"]))):
+        for j, cut in enumerate(cuts[i]):
             counts[f"lt{i}_{j}"] = F.count_if(ref(s.column) < F.lit(cut))
             counts[f"le{i}_{j}"] = F.count_if(ref(s.column) <= F.lit(cut))
     seen = _one_row(values, counts, HEAVY_COLUMNS_PER_STAGE * 8)
 
     narrowed: dict[tuple, Span] = {}
     for i, s in enumerate(spans):
-        # Split the span at every cut into points and the open gaps between them.
         pieces, low, below = [], s.low, s.below
-        for j, cut in enumerate(sorted(set(cuts[f"p{i}"]))):
+        for j, cut in enumerate(cuts[i]):
             lt, le = seen[f"lt{i}_{j}"], seen[f"le{i}_{j}"]
             pieces.append((low, math.nextafter(cut, -math.inf), below, lt - below))
             pieces.append((cut, cut, lt, le - lt))
             low, below = math.nextafter(cut, math.inf), le
         pieces.append((low, s.high, below, s.below + s.rows - below))
         for r in s.ranks:
-            lo, hi, base, rows = next(p for p in pieces if p[2] <= r < p[2] + p[3])
-            key = (s.column, lo, hi)
-            old = narrowed.get(key, Span(s.column, lo, hi, base, rows, ()))
-            narrowed[key] = replace(old, ranks=tuple(sorted({*old.ranks, r})))
+            low, high, base, rows = next(p for p in pieces if p[2] <= r < p[2] + p[3])
+            _add_rank(narrowed, Span(s.column, low, high, base, rows, (r,)))
     return list(narrowed.values())
 
 
-def _gather(values: DataFrame, spans: Sequence[Span]) -> dict[tuple[str, int], Ranked]:
-    """Rank the rows inside spans of bounded size, all columns in one scan.
+def _add_rank(spans: dict[tuple, Span], new: Span) -> None:
+    key = (new.column, new.low, new.high)
+    old = spans.get(key, new)
+    spans[key] = replace(new, ranks=tuple(sorted({*old.ranks, *new.ranks})))
 
-    Values outside the spans become NULL and are gone before the shuffle.  The
-    spans of a column do not overlap, so column and value tell the span.
-    """
-    columns = list(dict.fromkeys(s.column for s in spans))
-    inside = [
-        F.when(reduce(or_, [s.covers(ref(c)) for s in spans if s.column == c]), ref(c)).alias(str(i))
-        for i, c in enumerate(columns)
+
+def _folded(value: Column, ranges: Sequence[tuple[float, float]]) -> Column:
+    """The value inside the ranges; between them the number right after the range before."""
+    folded = F.when(value < F.lit(ranges[0][0]), F.lit(math.nextafter(ranges[0][0], -math.inf)))
+    for i, (_, high) in enumerate(ranges):
+        folded = folded.when(value <= F.lit(high), value)
+        after = F.lit(math.nextafter(high, math.inf))
+        folded = (
+            folded.when(value < F.lit(ranges[i + 1][0]), after)
+            if i + 1 < len(ranges)
+            else folded.otherwise(F.when(value > F.lit(high), after))
+        )
+    return folded
+
+
+WANTED = T.StructType(
+    [
+        T.StructField("c", T.StringType()),
+        T.StructField("rank", T.LongType()),
     ]
-    masked = values.select(*inside)
+)
+
+
+def _rank(
+    values: DataFrame,
+    ranges: Mapping[str, Sequence[tuple[float, float]]],
+    ranks: Mapping[str, Sequence[int]],
+) -> dict[tuple[str, int], Ranked]:
+    """What stands at each rank once everything outside the ranges is folded.
+
+    One scan for all columns.  Folded values are summed before the shuffle, so
+    the window per column sees the values inside the ranges and little else.
+    """
+    columns = list(ranges)
+    folded = values.select(
+        *[_folded(ref(c), ranges[c]).alias(str(i)) for i, c in enumerate(columns)]
+    )
     if len(columns) > 1:
-        long = masked.unpivot([], [ref(n) for n in masked.columns], "c", "v")
+        long = folded.unpivot([], [ref(n) for n in folded.columns], "c", "v")
     else:
-        long = masked.select(F.lit("0").alias("c"), ref("0").alias("v"))
+        long = folded.select(F.lit("0").alias("c"), ref("0").alias("v"))
     counted = long.filter("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-
-    span_type = T.StructType(
-        [
-            T.StructField("c", T.StringType()),
-            T.StructField("span", T.IntegerType()),
-            T.StructField("low", T.DoubleType()),
-            T.StructField("high", T.DoubleType()),
-        ]
-    )
-    located = [
-        {"c": str(columns.index(s.column)), "span": i, "low": s.low, "high": s.high}
-        for i, s in enumerate(spans)
-    ]
-    # One row per column and rank, so broadcasting these is safe at any scale.
-    bounds = F.broadcast(local_frame(values.sparkSession, located, span_type))
-    within = counted.join(bounds, "c").filter("v between low and high")
     upto = F.sum("cnt").over(
-        Window.partitionBy("span").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     )
     wanted = local_frame(
         values.sparkSession,
-        [{"span": i, "rank": r, "offset": r - s.below} for i, s in enumerate(spans) for r in s.ranks],
-        T.StructType(
-            [
-                T.StructField("span", T.IntegerType()),
-                T.StructField("rank", T.LongType()),
-                T.StructField("offset", T.LongType()),
-            ]
-        ),
+        [{"c": str(i), "rank": r} for i, c in enumerate(columns) for r in ranks[c]],
+        WANTED,
     )
     hits = (
-        within.select("span", "v", "cnt", upto.alias("upto"))
-        .join(F.broadcast(wanted), "span")
-        .filter((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("cnt")))
-        .select("span", "rank", "v", "cnt", "upto")
+        counted.withColumn("upto", upto)
+        # One row per column and rank, so broadcasting these is safe at any scale.
+        .join(F.broadcast(wanted), "c")
+        .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("cnt")))
         .collect()
     )
-    return {
-        (spans[h.span].column, h["rank"]): Ranked(h.v, spans[h.span].below + h.upto - h.cnt, h.cnt)
-        for h in hits
-    }
+    return {(columns[int(h.c)], h["rank"]): Ranked(h.v, h.upto - h.cnt, h.cnt) for h in hits}
 
 
 def values_at_ranks(
@@ -169,7 +190,8 @@ def values_at_ranks(
     """The values at 0-based ranks of DOUBLE columns, NULLs left out.
 
     ``counts`` holds the non-null rows of each column.  Only bounds and counts,
-    a few per rank, reach the driver; a task ranks ``gather_limit`` rows at most.
+    a few per rank, reach the driver.  Brackets are narrowed until about
+    ``gather_limit`` rows per rank are left for one task to go through.
     """
     spans = [
         Span(c, -math.inf, math.inf, 0, counts[c], tuple(sorted(set(rs))))
@@ -177,17 +199,37 @@ def values_at_ranks(
         if rs and counts[c]
     ]
     found: dict[tuple[str, int], Ranked] = {}
-    while True:
-        for s in spans:
-            if s.low == s.high:
-                found |= {(s.column, r): Ranked(s.low, s.below, s.rows) for r in s.ranks}
-        spans = [s for s in spans if s.low != s.high]
+    while spans:
         wide = [s for s in spans if s.rows > gather_limit]
-        if not wide:
-            break
-        spans = [s for s in spans if s.rows <= gather_limit] + _narrow(values, wide)
-    if spans:
-        found |= _gather(values, spans)
+        if wide:
+            brackets = _brackets(values, wide)
+            if any(s.rows * 4 * SKETCH_MARGIN > gather_limit for s in wide):
+                spans = [s for s in spans if s not in wide] + _count_pieces(values, wide, brackets)
+                found |= {
+                    (s.column, r): Ranked(s.low, s.below, s.rows)
+                    for s in spans
+                    if s.low == s.high
+                    for r in s.ranks
+                }
+                spans = [s for s in spans if s.low != s.high]
+                continue
+        ranges: dict[str, list[tuple[float, float]]] = {}
+        for s in spans:
+            ranges.setdefault(s.column, []).extend(
+                brackets[wide.index(s)] if s in wide else [(s.low, s.high)]
+            )
+        ranges = {c: _disjoint(pairs) for c, pairs in ranges.items()}
+        open_ranks = {c: [r for s in spans if s.column == c for r in s.ranks] for c in ranges}
+        missed: dict[tuple, Span] = {}
+        for (c, r), hit in _rank(values, ranges, open_ranks).items():
+            if any(low <= hit.value <= high for low, high in ranges[c]):
+                found[c, r] = hit
+                continue
+            low = max((h for _, h in ranges[c] if h < hit.value), default=-math.inf)
+            high = min((lo for lo, _ in ranges[c] if lo > hit.value), default=math.inf)
+            gap = (math.nextafter(low, math.inf), math.nextafter(high, -math.inf))
+            _add_rank(missed, Span(c, *gap, hit.below, hit.equal, (r,)))
+        spans = list(missed.values())
     return found
 
 

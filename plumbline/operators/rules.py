@@ -33,6 +33,7 @@ from plumbline.functions.columns import (
     ref,
 )
 from plumbline.functions.frames import local_frame, rate, union_all
+from plumbline.functions.parsing import parse
 from plumbline.sources.rules import (
     SemanticRule,
     SyntacticRule,
@@ -200,7 +201,7 @@ def _dtype(df: DataFrame, value: Column, dtype: T.DataType, spec) -> Column:
         raise NotRunnable("unsupported_rule")
     if dtype.simpleString() == target or target == "string":
         return F.lit(False)
-    cast = value.try_cast(target)
+    cast = parse(value, dtype, target)
     try:
         df.select(cast).schema  # noqa: B018
     except AnalysisException:

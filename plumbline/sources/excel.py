@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.columns import ref
-from plumbline.functions.frames import LIGHT_COLUMNS_PER_STAGE, per_column
+from plumbline.functions.frames import HEAVY_COLUMNS_PER_STAGE, per_column
+from plumbline.operators.consistency import VALUE_CLASSES, value_class
 
 # Built-in number formats that show a date or a time.
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
@@ -102,19 +103,33 @@ def sheet_rows(content: bytes, sheet: int) -> Iterator[list[str | None]]:
                 element.clear()
 
 
+# Longer digit strings may not fit a BIGINT and stay text.
+MAX_DIGITS = 18
+
+
 def _inferred(texts: DataFrame) -> DataFrame:
-    """Cast each text column to the narrowest type that all of its values fit."""
-    order = ("bigint", "double", "boolean", "timestamp_ntz")
+    """Cast each text column to the type of the one class that all of its values have."""
+    classed = texts.select(
+        *[F.struct(ref(c).alias("v"), value_class(ref(c)).alias("k")).alias(c) for c in texts.columns]
+    )
 
     def metrics(c: str):
-        given = ref(c).isNotNull()
-        fits = {t: F.count_if(given & ref(c).try_cast(t).isNull()) for t in order}
-        return {f"bad_{t}": m for t, m in fits.items()} | {"given": F.count(ref(c))}
+        counts = {k: F.count_if(ref(c)["k"] == F.lit(k)) for k in VALUE_CLASSES}
+        return counts | {"given": F.count(ref(c)["v"]), "longest": F.max(F.length(ref(c)["v"]))}
 
     chosen = {}
-    for r in per_column(texts, texts.columns, metrics, LIGHT_COLUMNS_PER_STAGE // 5).collect():
-        fit = [t for t in order if r[f"bad_{t}"] == 0]
-        chosen[r.column_name] = fit[0] if fit and r.given else "string"
+    for r in per_column(classed, texts.columns, metrics, HEAVY_COLUMNS_PER_STAGE).collect():
+        if not r.given:
+            kind = "string"
+        elif r["int"] == r.given:
+            kind = "bigint" if r.longest <= MAX_DIGITS else "string"
+        elif r["int"] + r["float"] == r.given:
+            kind = "double"
+        elif r["bool"] == r.given:
+            kind = "boolean"
+        else:
+            kind = "timestamp_ntz" if r["date"] == r.given else "string"
+        chosen[r.column_name] = kind
     return texts.select(*[ref(c).try_cast(chosen[c]).alias(c) for c in texts.columns])
 
 
