@@ -17,7 +17,7 @@ from plumbline.functions.columns import (
 )
 from plumbline.functions.frames import local_frame, rate
 from plumbline.operators.frequency import label_distribution, value_frequency
-from plumbline.operators.quantiles import GATHER_LIMIT, values_at_ranks
+from plumbline.operators.quantiles import GATHER_LIMIT, bracket_bounds, bracket_pairs, values_at_ranks
 
 MINIMUM_SERIES = 10
 
@@ -150,7 +150,10 @@ def trend_component(
     rows = clean.select(*[k.alias(n) for k, n in zip([*keys, value], names, strict=True)])
 
     total = rows.agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")
+        F.count("v").alias("n"),
+        F.avg("v").alias("mean"),
+        F.stddev_samp("v").alias("std"),
+        bracket_bounds(F.col("k0"), [0.5]).alias("middle"),
     ).first()
     if total.n < MINIMUM_SERIES:
         row = {"column_name": column, "non_null": total.n, "std": total.std, "trend": False}
@@ -158,21 +161,28 @@ def trend_component(
 
     wanted = total.n // 2
     tied, first, open_rows, rest = F.lit(True), F.lit(False), total.n, wanted
-    for name in names:
-        key = ref(name)
+    brackets = {"k0": bracket_pairs(total.middle)}
+    names_left = list(names)
+    while names_left and rest and (names_left == names or open_rows > gather_limit):
+        name = names_left.pop(0)
         pivot = values_at_ranks(
-            rows.filter(tied).select(key), {name: [rest]}, {name: open_rows}, gather_limit
+            rows.filter(tied).select(name), {name: [rest]}, {name: open_rows}, gather_limit, brackets
         )[name, rest]
-        first = first | (tied & (key < F.lit(pivot.value)))
-        tied = tied & (key == F.lit(pivot.value))
-        rest, open_rows = rest - pivot.below, pivot.equal
-        if rest == 0:
-            break
+        first = first | (tied & (ref(name) < F.lit(pivot.value)))
+        tied = tied & (ref(name) == F.lit(pivot.value))
+        rest, open_rows, brackets = rest - pivot.below, pivot.equal, None
     sums = rows.agg(
         F.sum(F.when(first, F.col("v"))).alias("first"), F.sum("v").alias("all")
     ).first()
-    # What still ties has one value (the last key), so any `rest` of it will do.
-    first_sum = (sums["first"] or 0.0) + (rest * pivot.value if rest else 0.0)
+    first_sum = sums["first"] or 0.0
+    if rest and names_left:
+        # Few rows tie at the split; the first of them by the other keys belong to the first half.
+        first_sum += (
+            rows.filter(tied).orderBy(*names_left).limit(rest).agg(F.sum("v").alias("s")).first().s
+        )
+    elif rest:
+        # All keys tie, and so does the value, the last of them.
+        first_sum += rest * pivot.value
     first_mean = first_sum / wanted
     second_mean = (sums["all"] - first_sum) / (total.n - wanted)
     row = {

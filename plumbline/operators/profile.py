@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import (
+    TEMPORAL_TYPES,
     dtype_of,
     groupable,
     is_missing,
@@ -259,8 +260,15 @@ def column_profile(df: DataFrame, approx: bool = False, gather_limit: int = GATH
 
 
 def redundancy_metrics(df: DataFrame, c: str) -> Mapping[str, Column]:
-    """Enough to tell a constant or empty column without counting distinct values."""
+    """Enough to tell a constant or empty column without counting distinct values.
+
+    The extremes of text and nested values cannot be kept in a hash aggregate,
+    which would make the whole scan slower, so those of a 64-bit hash are taken:
+    all of the values would have to collide to look constant.
+    """
     value = groupable(df, c)
+    if not isinstance(dtype_of(df, c), (T.NumericType, T.BooleanType, *TEMPORAL_TYPES)):
+        value = F.when(value.isNotNull(), F.xxhash64(value))
     return {
         "null_count": F.count_if(ref(c).isNull()),
         "constant": F.coalesce(F.min(value) == F.max(value), F.lit(False)),

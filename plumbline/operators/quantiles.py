@@ -44,8 +44,11 @@ class Span:
     rows: int
     ranks: tuple[int, ...]
 
-    def covers(self, value: Column) -> Column:
-        return value.isNotNull() & (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+    def inside(self, value: Column) -> Column:
+        """The value, or NULL outside the range."""
+        if (self.low, self.high) == (-math.inf, math.inf):
+            return value
+        return F.when((value >= F.lit(self.low)) & (value <= F.lit(self.high)), value)
 
 
 def _one_row(df: DataFrame, metrics: Mapping[str, Column], per_stage: int) -> dict:
@@ -60,19 +63,24 @@ def _brackets(values: DataFrame, spans: Sequence[Span]) -> list[list[tuple[float
     """Value ranges around the ranks of each span, from a sketch of the span."""
     probes = {}
     for i, s in enumerate(spans):
-        inside = F.when(s.covers(ref(s.column)), ref(s.column))
-        shares = []
-        for r in s.ranks:
-            middle = (r - s.below + 0.5) / s.rows
-            shares += [max(0.0, middle - SKETCH_MARGIN), min(1.0, middle + SKETCH_MARGIN)]
-        probes[f"p{i}"] = F.kll_sketch_get_quantile_double(
-            F.kll_sketch_agg_double(inside, SKETCH_SIZE), F.array(*[F.lit(q) for q in shares])
-        )
+        shares = [(r - s.below + 0.5) / s.rows for r in s.ranks]
+        probes[f"p{i}"] = bracket_bounds(s.inside(ref(s.column)), shares)
     found = _one_row(values, probes, HEAVY_COLUMNS_PER_STAGE * 2)
-    return [
-        _disjoint(list(zip(cuts[::2], cuts[1::2], strict=True)))
-        for cuts in (found[f"p{i}"] for i in range(len(spans)))
+    return [bracket_pairs(found[f"p{i}"]) for i in range(len(spans))]
+
+
+def bracket_bounds(value: Column, shares: Sequence[float]) -> Column:
+    """An aggregate: the values a margin below and above each share of the rows."""
+    bounds = [
+        F.lit(min(1.0, max(0.0, s + side * SKETCH_MARGIN))) for s in shares for side in (-1, 1)
     ]
+    # The sketch of no rows is empty, and an empty one has no quantiles.
+    sketch = F.kll_sketch_agg_double(value, SKETCH_SIZE)
+    return F.when(F.count(value) > 0, F.kll_sketch_get_quantile_double(sketch, F.array(*bounds)))
+
+
+def bracket_pairs(bounds: Sequence[float]) -> list[tuple[float, float]]:
+    return _disjoint(list(zip(bounds[::2], bounds[1::2], strict=True)))
 
 
 def _disjoint(ranges: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -186,12 +194,14 @@ def values_at_ranks(
     ranks: Mapping[str, Sequence[int]],
     counts: Mapping[str, int],
     gather_limit: int = GATHER_LIMIT,
+    first_brackets: Mapping[str, Sequence[tuple[float, float]]] | None = None,
 ) -> dict[tuple[str, int], Ranked]:
     """The values at 0-based ranks of DOUBLE columns, NULLs left out.
 
     ``counts`` holds the non-null rows of each column.  Only bounds and counts,
     a few per rank, reach the driver.  Brackets are narrowed until about
     ``gather_limit`` rows per rank are left for one task to go through.
+    ``first_brackets`` spares the first sketch where it has been taken before.
     """
     spans = [
         Span(c, -math.inf, math.inf, 0, counts[c], tuple(sorted(set(rs))))
@@ -202,7 +212,11 @@ def values_at_ranks(
     while spans:
         wide = [s for s in spans if s.rows > gather_limit]
         if wide:
-            brackets = _brackets(values, wide)
+            if first_brackets is None:
+                brackets = _brackets(values, wide)
+            else:
+                brackets = [first_brackets[s.column] for s in wide]
+                first_brackets = None
             if any(s.rows * 4 * SKETCH_MARGIN > gather_limit for s in wide):
                 spans = [s for s in spans if s not in wide] + _count_pieces(values, wide, brackets)
                 found |= {
@@ -260,15 +274,25 @@ def quantiles(
         return {
             c: list(row[f"q{i}"] or [None] * len(probabilities)) for i, c in enumerate(columns)
         }
+    brackets = None
     if counts is None:
-        row = _one_row(doubles, {f"n{i}": F.count(ref(c)) for i, c in enumerate(columns)}, 32)
+        # One scan gives the counts and the sketch of all columns.
+        row = _one_row(
+            doubles,
+            {f"n{i}": F.count(ref(c)) for i, c in enumerate(columns)}
+            | {f"b{i}": bracket_bounds(ref(c), probabilities) for i, c in enumerate(columns)},
+            HEAVY_COLUMNS_PER_STAGE * 8,
+        )
         counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+        brackets = {
+            c: bracket_pairs(row[f"b{i}"]) for i, c in enumerate(columns) if row[f"b{i}"]
+        }
     wanted = {
         c: [r for p in probabilities for h in [(counts[c] - 1) * p] for r in (math.floor(h), math.ceil(h))]
         for c in columns
         if counts[c]
     }
-    found = values_at_ranks(doubles, wanted, counts, gather_limit)
+    found = values_at_ranks(doubles, wanted, counts, gather_limit, brackets)
     result: dict[str, list[float | None]] = {}
     for c in columns:
         result[c] = []

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from plumbline.functions.columns import (
     chunks,
     datetime_columns,
-    groupable,
     label_column,
     normalise_missing,
     numeric_columns,
@@ -28,7 +27,7 @@ from plumbline.operators.consistency import distribution_stats, value_class_coun
 from plumbline.operators.currentness import currentness_band, metadata_age
 from plumbline.operators.diversity import component_richness
 from plumbline.operators.frequency import label_distribution
-from plumbline.operators.profile import duplicate_rows, iqr_outliers
+from plumbline.operators.profile import duplicate_rows, iqr_outliers, redundancy_metrics
 from plumbline.operators.rules import (
     RULE_RESULTS,
     CompiledRule,
@@ -142,9 +141,9 @@ def _scan_metrics(
     metrics = dict(rule_metrics(compiled))
     metrics |= {"complete_rows": completeness_metrics(clean)["complete_rows"]}
     for i, c in enumerate(clean.columns):
-        value = groupable(clean, c)
-        metrics[f"null_{i}"] = F.count_if(ref(c).isNull())
-        metrics[f"same_{i}"] = F.coalesce(F.min(value) == F.max(value), F.lit(False))
+        redundancy = redundancy_metrics(clean, c)
+        metrics[f"null_{i}"] = redundancy["null_count"]
+        metrics[f"same_{i}"] = redundancy["constant"]
     if label is not None:
         metrics["labelled_rows"] = F.count_if(labelled(clean, label, config.unlabeled_values))
     if config.event_time is not None:
