@@ -81,8 +81,10 @@ from plumbline.plans.config import (
 from plumbline.plans.report import report_lines
 from plumbline.plans.rollup import (
     characteristic_scores,
+    check_requirements,
     compliance_matrix,
     dimension_table,
+    nested_scores,
     overall_score,
     priority_table,
     recommendations,

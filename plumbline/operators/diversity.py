@@ -99,7 +99,8 @@ def _order_parts(df: DataFrame, name: str) -> list[Column]:
     """
     dtype, c = dtype_of(df, name), ref(name)
     if isinstance(dtype, T.TimestampNTZType):
-        parts = [F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', `{name}`)")]
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        parts = [F.timestamp_diff("MICROSECOND", epoch, c)]
     elif isinstance(dtype, T.TimestampType):
         parts = [F.unix_micros(c)]
     elif isinstance(dtype, T.DateType):

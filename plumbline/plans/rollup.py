@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from plumbline.functions.frames import local_frame, number_text, rate
 from plumbline.plans.catalogue import CHARACTERISTICS, MOST_DIMENSIONS
-from plumbline.plans.config import EvaluationConfig
+from plumbline.plans.config import DEFAULT_THRESHOLD, EvaluationConfig
 from plumbline.plans.scores import Evaluation
 
 # Weight of a priority in the overall score: 3 for the highest, 1 for the lowest.
@@ -96,6 +96,37 @@ def overall_score(characteristics: DataFrame) -> DataFrame:
     )
 
 
+def check_requirements(
+    dimension_scores: DataFrame, requirements: DataFrame, default_threshold: float = DEFAULT_THRESHOLD
+) -> DataFrame:
+    """Judge scores by a requirement table (dimension, pass_threshold, priority).
+
+    Dimensions without a requirement keep their priority and get the default mark.
+    """
+    stated = requirements.select(
+        "dimension", "pass_threshold", F.col("priority").alias("required_priority")
+    )
+    mark = F.coalesce("pass_threshold", F.lit(default_threshold))
+    return dimension_scores.join(stated, "dimension", "left").select(
+        "characteristic",
+        "dimension",
+        "position",
+        F.coalesce("required_priority", "priority").cast("int").alias("priority"),
+        "score",
+        mark.alias("pass_threshold"),
+        (F.col("score") >= mark).alias("passed"),
+    )
+
+
+def nested_scores(dimension_scores: DataFrame) -> DataFrame:
+    """One row per characteristic with its dimensions as an ordered array, for JSON sinks."""
+    dimension = F.struct("position", "dimension", "score", "passed")
+    return dimension_scores.groupBy("characteristic", "priority").agg(
+        F.avg("score").alias("overall_score"),
+        F.array_sort(F.collect_list(dimension)).alias("dimensions"),
+    )
+
+
 def _catalogue_order(column: str) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in CHARACTERISTICS]), F.col(column)).cast("int")
 

@@ -222,6 +222,29 @@ score_query(
     + ", ".join(f"{r(f'max(CASE WHEN position = {i} THEN score END)')} AS d{i}" for i in range(1, 7))
     + " FROM dims GROUP BY characteristic",
 )
+REQUIREMENTS = (("value_completeness", 98.0, 1), ("data_record_consistency", 99.5, 2), ("label_richness", 50.0, 3))
+score_query(
+    "requirements_check",
+    lambda e: pl.check_requirements(
+        e.dimension_scores,
+        e.facts.sparkSession.createDataFrame(REQUIREMENTS, "dimension string, pass_threshold double, priority int"),
+    ),
+    f"{_DIMS}, req(dimension, pass_threshold, wanted) AS (VALUES "
+    + ", ".join(f"('{d}', CAST({t} AS DOUBLE), {p})" for d, t, p in REQUIREMENTS)
+    + f") SELECT characteristic, dimension, position, coalesce(wanted, priority) AS priority, {r('score')} AS score, "
+    "coalesce(pass_threshold, 90.0::DOUBLE) AS pass_threshold, score >= coalesce(pass_threshold, 90.0) AS passed FROM dims LEFT JOIN req USING (dimension)",
+)
+score_query(
+    "nested_scores",
+    lambda e: pl.nested_scores(e.dimension_scores).select(
+        "characteristic",
+        "priority",
+        "overall_score",
+        F.array_join(F.transform("dimensions", lambda d: d.dimension), ",").alias("dimensions"),
+    ),
+    f"{_DIMS} SELECT characteristic, min(priority) AS priority, {r('avg(score)')} AS overall_score, "
+    "string_agg(dimension, ',' ORDER BY position) AS dimensions FROM dims GROUP BY characteristic",
+)
 _INDICATORS = (
     "ind AS (SELECT dimension AS indicator, score, passed FROM dims UNION ALL SELECT 'informative_columns', 100.0, true UNION ALL "
     "SELECT 'records_in_date', records_in_date, records_in_date >= 90 FROM scored UNION ALL "
