@@ -25,9 +25,14 @@ def dtype_of(df: DataFrame, name: str) -> T.DataType:
 
 
 def present(df: DataFrame, name: str) -> Column:
-    """The column with NaN turned into NULL, so that one test covers both."""
-    if isinstance(dtype_of(df, name), (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(ref(name)), ref(name))
+    """The column with NaN turned into NULL, so that one test covers both.
+
+    ``nanvl`` states the column once; a CASE would state it twice, and whatever
+    expression stands behind it would be generated twice.
+    """
+    dtype = dtype_of(df, name)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.nanvl(ref(name), F.lit(None).cast(dtype))
     return ref(name)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.columns import (
     TEMPORAL_TYPES,
@@ -48,6 +48,9 @@ COLUMN_PROFILE = T.StructType(
 )
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -154,21 +157,11 @@ def _outlier_counts(
     return counts
 
 
-def numeric_facts(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    approx: bool = False,
-    gather_limit: int = GATHER_LIMIT,
+def _moments_and_quartiles(
+    clean: DataFrame, columns: Sequence[str], approx: bool, gather_limit: int
 ) -> dict[str, dict]:
-    """Moments, quartiles and outlier counts by column.
-
-    One scan for moments, two to four for exact quartiles and one for outliers,
-    whose bounds are literals by then.  Each reads the numeric columns only.
-    """
-    columns = numeric_columns(df) if columns is None else list(columns)
     if not columns:
         return {}
-    clean = normalise_missing(df)
     facts = {
         r.column_name: r.asDict()
         for r in per_column(
@@ -177,15 +170,33 @@ def numeric_facts(
     }
     counts = {c: facts[c]["non_null"] for c in columns}
     quartiles = quantiles(
-        clean, columns, (0.25, 0.5, 0.75), counts, gather_limit=gather_limit, approx=approx
+        clean, columns, QUARTILES, counts, gather_limit=gather_limit, approx=approx
     )
-    outliers = _outlier_counts(clean, columns, outlier_fences(quartiles))
     for c in columns:
         facts[c] |= dict(zip(("q25", "median", "q75"), quartiles[c], strict=True))
-        facts[c]["outlier_count"] = outliers[c]
     return facts
 
 
+def numeric_facts(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    approx: bool = False,
+    gather_limit: int = GATHER_LIMIT,
+) -> dict[str, dict]:
+    """Moments, quartiles and outlier counts by column.
+
+    One scan for moments, two as a rule for exact quartiles and one for
+    outliers, whose bounds are literals by then.  Each reads the numeric
+    columns only.
+    """
+    columns = numeric_columns(df) if columns is None else list(columns)
+    clean = normalise_missing(df)
+    facts = _moments_and_quartiles(clean, columns, approx, gather_limit)
+    fences = outlier_fences({c: (f["q25"], f["q75"]) for c, f in facts.items()})
+    outliers = _outlier_counts(clean, columns, fences)
+    return {c: f | {"outlier_count": outliers[c]} for c, f in facts.items()}
+
+
 NUMERIC_PROFILE = T.StructType(
     [COLUMN_PROFILE["column_name"], T.StructField("non_null", T.LongType())]
     + [f for f in COLUMN_PROFILE if f.name in ("min_value", "max_value", "mean", "std", "q25", "median", "q75")]
@@ -193,30 +204,29 @@ NUMERIC_PROFILE = T.StructType(
 
 
 def numeric_profile(
-    df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False, **options
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    approx: bool = False,
+    gather_limit: int = GATHER_LIMIT,
 ) -> DataFrame:
     """Count, min, max, mean, sample deviation and quartiles of numeric columns."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    clean = normalise_missing(df)
-    facts = {}
-    if columns:
-        for r in per_column(
-            clean, columns, lambda c: _moments(clean, c), HEAVY_COLUMNS_PER_STAGE
-        ).collect():
-            facts[r.column_name] = r.asDict()
-        counts = {c: facts[c]["non_null"] for c in columns}
-        for c, qs in quantiles(clean, columns, (0.25, 0.5, 0.75), counts, approx=approx, **options).items():
-            facts[c] |= dict(zip(("q25", "median", "q75"), qs, strict=True))
-    return local_frame(df.sparkSession, [facts[c] for c in columns], NUMERIC_PROFILE)
+    facts = _moments_and_quartiles(normalise_missing(df), columns, approx, gather_limit)
+    return local_frame(df.sparkSession, list(facts.values()), NUMERIC_PROFILE)
 
 
 def iqr_outliers(
-    df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False, **options
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    approx: bool = False,
+    gather_limit: int = GATHER_LIMIT,
 ) -> DataFrame:
     """Values strictly outside the IQR fences; zero where the IQR is zero."""
     columns = numeric_columns(df) if columns is None else list(columns)
     clean = normalise_missing(df)
-    quartiles = quantiles(clean, columns, (0.25, 0.75), approx=approx, **options)
+    quartiles = quantiles(
+        clean, columns, (0.25, 0.75), gather_limit=gather_limit, approx=approx
+    )
     fences = outlier_fences(quartiles)
     return per_column(
         clean, columns, lambda c: {"outlier_count": _outlier_count(c, fences)}
@@ -401,7 +411,5 @@ def _printable(df: DataFrame, name: str) -> bool:
 
 def number_lines(parts: DataFrame) -> DataFrame:
     """Number lines by section and key.  There is one line per column, class or rule."""
-    from pyspark.sql import Window
-
     numbered = F.row_number().over(Window.partitionBy().orderBy("section", "key"))
     return parts.select(numbered.cast("bigint").alias("line_no"), "text").orderBy("line_no")

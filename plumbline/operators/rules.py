@@ -77,6 +77,9 @@ TYPE_NAMES = {
     "datetime": "timestamp",
 }
 
+# A character that is in no rule id.
+ID_SEPARATOR = "\u0001"
+
 # Rules per stage, see frames.per_column; counting a condition is cheap.
 RULES_PER_STAGE = 64
 
@@ -378,10 +381,10 @@ def violating_rows(
     For dtype these are the rows whose value cannot be cast.
     """
     clean = normalise_missing(df)
-    broken = [
-        F.when(c.failed, F.lit(c.rule_id))
-        for c in compile_all(clean, rules, row_rules)
-        if c.failed is not None
-    ]
-    ids = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
-    return clean.withColumn("violated_rules", ids).filter(F.size("violated_rules") > 0)
+    runnable = [c for c in compile_all(clean, rules, row_rules) if c.failed is not None]
+    # Joining and splitting text skips NULLs in generated code, which array functions do not.
+    ids = [F.when(c.failed, F.lit(c.rule_id)) for c in runnable]
+    listed = F.split(F.concat_ws(ID_SEPARATOR, *ids), ID_SEPARATOR)
+    return clean.filter(reduce(or_, [c.failed for c in runnable], F.lit(False))).withColumn(
+        "violated_rules", listed
+    )
