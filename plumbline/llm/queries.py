@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import mixing, sharding
-from plumbline.llm.shared import read
+from plumbline.llm import decontaminate, language, mixing, sharding
+from plumbline.llm.shared import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,37 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@register
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    docs, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, benchmark, keep=["doc_id"])
+
+
+_WORDS = "regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '[^ ]+')"
+SQL["op4_decontaminate"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+patterns AS (
+  SELECT DISTINCT item, least(13, len(w)) AS m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS p
+  FROM items, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+found AS (
+  SELECT r, i, m, item
+  FROM docs, unnest(range(1, len(w) + 1)) AS u(i) JOIN (SELECT DISTINCT m FROM patterns) AS s ON i + s.m - 1 <= len(w)
+  JOIN patterns AS q USING (m) WHERE q.p = array_to_string(w[i:i + m - 1], ' ')),
+hits AS (SELECT r, count(DISTINCT k) AS n_hit FROM found, unnest(range(i, i + m)) AS u(k) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
+
+
+@register
+def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False))
+    found = language.identify(docs, language.train(docs), keep=["doc_id"], spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
