@@ -109,24 +109,18 @@ def _boundaries(sized: DataFrame, targets: DataFrame, n_sources: int) -> DataFra
     )
 
 
-def mix(
-    docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, share: float = 1.0
-) -> DataFrame:
-    """Decide how often each document is taken.  Columns: doc_id, source, h, size, source_size, target, times, taken.
+def _source_key(source: Column) -> Column:
+    """The source without nulls, for equi-joins."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
 
-    One row per row of ``docs`` (``doc_id``, ``text``, ``source``; other columns
-    are not read).  A source takes all its documents as often as they fit into
-    its target, and for the rest those with the smallest hashes.  Cases: a null
-    text has size 0; null sources are one source, the last; a null id is hashed
-    by its text; rows equal in id and source share a hash and are taken alike;
-    a source of no tokens has target 0; an empty table gives no rows.
-    """
+
+def _cut(docs: DataFrame, weights: list[float], most: float, share: float) -> tuple[DataFrame, DataFrame]:
+    """(documents by id, source, size and hash; what each source takes)."""
     sized = written(
         docs.select(
             "doc_id",
             "source",
-            # A key without nulls, for equi-joins.
-            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source_key"),
+            _source_key(F.col("source")).alias("source_key"),
             word_count(F.col("text")).alias("size"),
             document_hash(F.col("doc_id"), F.col("text")).alias("h"),
         ),
@@ -137,7 +131,7 @@ def mix(
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = written(
         targets.withColumn("copies", copies).select(
-            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source_key"),
+            _source_key(F.col("source")).alias("source_key"),
             "source_size",
             "target",
             "copies",
@@ -147,19 +141,52 @@ def mix(
     )
     n = targets.count()
     cut = written(
-        targets.select("source_key", "source_size", "target").join(
-            _boundaries(sized, targets, n), "source_key"
-        ),
+        targets.select("source_key", "source_size", "target").join(_boundaries(sized, targets, n), "source_key"),
         "mix-thresholds",
     )
-    times = F.col("copies") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return sized.join(_small(cut, n), "source_key").select(
-        "doc_id",
-        "source",
-        "h",
-        "size",
-        "source_size",
-        "target",
-        times.cast("long").alias("times"),
-        (F.col("size") * times).cast("long").alias("taken"),
+    return sized, _small(cut, n)
+
+
+def _times(h: Column) -> Column:
+    return (F.col("copies") + F.when(h < F.col("threshold"), 1).otherwise(0)).cast("int")
+
+
+def mix(
+    docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, share: float = 1.0
+) -> DataFrame:
+    """Decide how often each document is taken.  Columns: doc_id, source, size, source_size, target, times, taken.
+
+    One row per row of ``docs`` (``doc_id``, ``text``, ``source``; other columns
+    are not read).  A source takes all its documents as often as they fit into
+    its target, and for the rest those with the smallest hashes.  Cases: a null
+    text has size 0; null sources are one source, the last; a null id is hashed
+    by its text; rows equal in id and source share a hash and are taken alike;
+    a source of no tokens has target 0; an empty table gives no rows.
+    """
+    sized, cut = _cut(docs, weights, most, share)
+    return (
+        sized.join(cut, "source_key")
+        .withColumn("times", _times(F.col("h")))
+        .withColumn("taken", F.col("size") * F.col("times"))
+        .select("doc_id", "source", "size", "source_size", "target", "times", "taken")
+    )
+
+
+def mixed(
+    docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), most: float = 3.0, share: float = 1.0
+) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, with their own columns."""
+    _, cut = _cut(docs, weights, most, share)
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(
+        rows,
+        _source_key(F.col("source")).alias("source_key"),
+        document_hash(F.col("doc_id"), F.col("text")).alias("h"),
+    )
+    return (
+        keyed.join(cut.select("source_key", "copies", "threshold"), "source_key")
+        .withColumn("times", _times(F.col("h")))
+        .where("times > 0")
+        .select("_row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_again"))
+        .select("_row.*")
     )

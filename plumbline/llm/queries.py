@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import decontaminate, language, mixing, sharding
+from plumbline.llm import decontaminate, language, mixing, ngram_join, sharding
 from plumbline.llm.shared import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,10 +59,7 @@ SELECT doc_id, size, source_size, target,
 FROM running"""
 
 
-@register
-def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document, by near equal bytes."""
-    placed = sharding.shard(read(spark, sf_dir, "documents"), SHARDS)
+def shard_columns(placed: DataFrame) -> DataFrame:
     return placed.select(
         "doc_id",
         "size",
@@ -74,6 +71,12 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by near equal bytes."""
+    return shard_columns(sharding.shard(read(spark, sf_dir, "documents"), SHARDS))
+
+
 @register
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
@@ -106,3 +109,9 @@ def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False))
     found = language.identify(docs, language.train(docs), keep=["doc_id"], spans=False)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
