@@ -73,13 +73,15 @@ def _boundaries(sized: DataFrame, targets: DataFrame, n_sources: int) -> DataFra
         start = level * LEVEL_DIGITS
         inside = F.substring("h", 1, start) == F.col("prefix") if level else F.lit(True)
         buckets = (
-            sized.join(_small(state.where("rest > 0"), n_sources), "source_key")
+            sized.join(_small(state.where("rest > 0").select("source_key", "prefix"), n_sources), "source_key")
             .where(inside)
             .groupBy("source_key", F.substring("h", start + 1, LEVEL_DIGITS).alias("digit"))
             .agg(F.sum("size").alias("tokens"), F.count("*").alias("docs"))
         )
         # The histogram has at most 16 ** LEVEL_DIGITS rows per source.
-        running = buckets.withColumn("upto", F.sum("tokens").over(per_source)).join(state, "source_key")
+        running = buckets.withColumn("upto", F.sum("tokens").over(per_source)).join(
+            state.select("source_key", "before", "rest"), "source_key"
+        )
         crossed = (
             running.where(F.col("before") + F.col("upto") > F.col("rest"))
             .groupBy("source_key")
