@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import decontaminate, language, mixing, ngram_join, sharding
+from plumbline.llm import (
+    chat,
+    decontaminate,
+    html_text,
+    language,
+    mixing,
+    ngram_join,
+    quality,
+    sharding,
+    token_counts,
+)
 from plumbline.llm.shared import fold_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +27,8 @@ SQL: dict[str, str] = {}
 MIX_WEIGHTS, MIX_MOST = (1.0, 2.0, 3.0), 3.0
 #: Of the sharding query.
 SHARDS = 16
+#: Vocabulary of a public tokenizer, as ranks.
+RANKS = os.environ.get("PLUMBLINE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 def register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -115,3 +128,52 @@ def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
+
+
+@register
+def op3_rotate_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from the perspective of each participant."""
+    rotated = chat.rotate(read(spark, sf_dir, "conversations"))
+    mask = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
+    trained = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rotated.select("conv_id", "perspective", "part", "n_turns", "text", mask.alias("mask"), trained.alias("n_trained"))
+
+
+SQL["op3_rotate_chat"] = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
+heads AS (
+  SELECT t.*, perspective, CAST(floor(turn / 64.0) AS BIGINT) AS part,
+         CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head
+  FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+placed AS (
+  SELECT *, length(head) + length(text) + 7 AS n,
+         sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text
+           ROWS UNBOUNDED PRECEDING) - (length(head) + length(text) + 8) AS place
+  FROM heads)
+SELECT conv_id, perspective, part, count(*) AS n_turns,
+       string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
+       coalesce(string_agg(CASE WHEN role = perspective THEN CAST(place + length(head) AS VARCHAR) || '-' || CAST(place + n AS VARCHAR) END, ','
+         ORDER BY turn NULLS FIRST, role, text), '') AS mask,
+       CAST(sum(CASE WHEN role = perspective THEN length(text) + 7 ELSE 0 END) AS BIGINT) AS n_trained
+FROM placed GROUP BY conv_id, perspective, part"""
+
+
+@register
+def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.extract(read(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of the rule cascade for every document."""
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
+@register
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after personal data is replaced."""
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), token_counts.read_ranks(RANKS))
