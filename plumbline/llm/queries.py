@@ -12,6 +12,7 @@ from plumbline.llm import (
     decontaminate,
     html_text,
     language,
+    lm_scoring,
     mixing,
     ngram_join,
     quality,
@@ -177,3 +178,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after personal data is replaced."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), token_counts.read_ranks(RANKS))
+
+
+@register
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by an attention model, and by word frequencies."""
+    return lm_scoring.score(read(spark, sf_dir, "documents"), token_counts.read_ranks(RANKS))
