@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,22 +13,25 @@ from plumbline.operators.frequency import label_distribution
 
 def completeness_metrics(df: DataFrame) -> Mapping[str, Column]:
     """Row and cell counts as aggregates, to be fused with others into one scan."""
-    row_complete = (
-        reduce(and_, [~is_missing(df, c) for c in df.columns]) if df.columns else F.lit(True)
-    )
-    cells_missing = [F.count_if(is_missing(df, c)) for c in df.columns]
+    zero = F.lit(0).cast("bigint")
+    missing = [is_missing(df, c) for c in df.columns]
+    row_complete = ~F.array_contains(F.array(*missing), True) if missing else F.lit(True)
+    cells_missing = [F.count_if(m) for m in missing]
     return {
         "row_count": F.count(F.lit(1)),
         "complete_rows": F.count_if(row_complete),
-        "null_cells": reduce(Column.__add__, cells_missing, F.lit(0).cast("bigint")),
-        "complete_columns": reduce(
-            Column.__add__,
-            [F.when(m == 0, 1).otherwise(0) for m in cells_missing],
-            F.lit(0).cast("bigint"),
-        ),
+        "null_cells": _total([zero, *cells_missing]),
+        "complete_columns": _total([zero, *[F.when(m == 0, 1).otherwise(0) for m in cells_missing]]),
     }
 
 
+def _total(terms: list[Column]) -> Column:
+    """The sum as a balanced tree, as deep as the logarithm of the number of columns."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + ([terms[-1]] if len(terms) % 2 else [])
+    return terms[0]
+
+
 def completeness(df: DataFrame) -> DataFrame:
     """Value, feature and record completeness in one scan and one row.
 

@@ -60,9 +60,12 @@ def category_size_diversity(df: DataFrame, label_col: str | None = None) -> Data
 
 
 def feature_diversity(
-    df: DataFrame, columns: Sequence[str] | None = None, max_columns: int | None = 10, k: int = 5
+    df: DataFrame, columns: Sequence[str] | None = None, max_columns: int | None = None, k: int = 5
 ) -> DataFrame:
-    """Distinct values and the k largest shares per text column, for tables without a label."""
+    """Distinct values and the k largest shares per text column, for tables without a label.
+
+    All text columns are taken unless ``columns`` or ``max_columns`` narrow them.
+    """
     columns = string_columns(df)[:max_columns] if columns is None else list(columns)
     counts = value_frequency(df, columns)
     totals = counts.groupBy("column_name").agg(

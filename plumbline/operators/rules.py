@@ -117,10 +117,16 @@ def _as_literal(value, dtype: T.DataType) -> Column | None:
             dt.datetime.fromisoformat(value)
         except ValueError:
             return None
+        # Python reads more spellings of ISO dates than a cast does.
+        if not _EXTENDED_ISO.fullmatch(value):
+            return None
         return F.lit(value).cast(dtype)
     return None
 
 
+_EXTENDED_ISO = re.compile(r"\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d:\d\d(?:\.\d{1,6})?(?:Z|[+-]\d\d:\d\d)?)?")
+
+
 def _bounds(spec) -> tuple:
     if not isinstance(spec, Mapping):
         raise NotRunnable("invalid_specification")
@@ -159,7 +165,8 @@ def java_pattern(pattern: str) -> str:
     for i, name in enumerate(names):
         pattern = pattern.replace(f"(?P<{name}>", f"(?<g{i}>").replace(f"(?P={name})", f"\\k<g{i}>")
     pattern = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", pattern)
-    unicode_classes = "(?U)" if re.search(r"\\[dDwWsSbB]", pattern) else ""
+    # Only a line feed ends a line, as in Python.
+    unicode_classes = "(?dU)" if re.search(r"\\[dDwWsSbB]", pattern) else "(?d)"
     return f"{unicode_classes}\\A(?:{pattern})"
 
 

@@ -80,8 +80,8 @@ def characteristic_scores(dimension_scores: DataFrame) -> DataFrame:
     )
     summary = F.when(
         F.col("overall_score").isNotNull(),
-        F.format_string("Overall %s score: %.1f%%", "characteristic", "overall_score"),
-    ).otherwise(F.lit("Could not compute overall score."))
+        F.format_string("%.1f%% on average in %s", "overall_score", "characteristic"),
+    ).otherwise(F.lit("No dimension could be scored."))
     return means.withColumn("summary", summary)
 
 

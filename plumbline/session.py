@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,12 +25,13 @@ def local_session(cores: str | int = "*", app_name: str = "plumbline") -> SparkS
 def durable_folder(spark: SparkSession, purpose: str) -> str:
     """A new sub-folder of the shared folder that survives executor loss.
 
-    ``spark.checkpoint.dir`` names the shared folder.  A machine-local folder
-    is used only where that is unset and Spark runs on one machine.
+    ``spark.checkpoint.dir`` names the shared folder; where it is unset, the
+    context's checkpoint folder or else the warehouse is taken, which are shared
+    as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="plumbline-")
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from plumbline.functions.columns import ref
 from plumbline.functions.frames import local_frame
 from plumbline.sources.excel import read_excel
 
@@ -20,6 +21,37 @@ FORMATS = {
     ".xlsx": "excel",
 }
 
+# Texts in a CSV file that stand for a missing value.
+MISSING_TOKENS = (
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+)
+
+# Types that text columns are tried for, in order, and what their values look like.
+TEXT_TYPES = {
+    "bigint": r"[+-]?\d+",
+    "double": r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?",
+    "boolean": r"(?i:true|false)",
+    "date": r"\d{4}-\d\d-\d\d",
+    "timestamp": r"\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d(?::\d\d(?:\.\d+)?)?)?",
+}
+
 # Metadata keys; the first seven speak for the credibility of the source.
 METADATA_KEYS = (
     "source_name",
@@ -39,12 +71,16 @@ def read_table(
     path: str,
     format: str | None = None,
     schema: T.StructType | str | None = None,
+    missing: Sequence[str] = MISSING_TOKENS,
     **options,
 ) -> DataFrame:
     """Read a file or folder; the format comes from the suffix unless given.
 
     Formats are csv (with header), parquet, json (array of records), jsonl and
     excel (.xlsx).  A schema saves the extra pass that inferring types takes.
+    CSV cells that equal one of ``missing`` are NULL unless a schema is given.
+    Quoted line breaks keep a CSV file in one task; ``multiLine=False`` lets
+    Spark split files that have none.
     """
     suffix = PurePosixPath(str(path)).suffix.lower()
     kind = format or FORMATS.get(suffix)
@@ -56,17 +92,56 @@ def read_table(
     if schema is not None:
         reader = reader.schema(schema)
     if kind == "csv":
-        reader = reader.option("header", True)
-        if schema is None:
-            reader = reader.option("inferSchema", True)
-        return reader.csv(str(path))
+        # A doubled quote is a quote, and quoted line breaks are kept; the caller's options win.
+        plain = {"header": True, "multiLine": True, "escape": '"'} | options
+        text = spark.read.options(**plain)
+        if schema is not None:
+            return text.schema(schema).csv(str(path))
+        return typed(without_tokens(text.csv(str(path)), missing))
     if kind == "json":
-        return reader.option("multiLine", True).json(str(path))
+        df = reader.option("multiLine", True).json(str(path))
+        if schema is None and _by_column(df):
+            raise ValueError("JSON by column is not read; write an array of records")
+        return df
     if kind == "jsonl":
         return reader.json(str(path))
     return reader.parquet(str(path))
 
 
+def without_tokens(df: DataFrame, missing: Sequence[str]) -> DataFrame:
+    """Text cells that stand for a missing value become NULL."""
+    tokens = [F.lit(t) for t in missing]
+    if not tokens:
+        return df
+    return df.select(*[F.when(~ref(c).isin(*tokens), ref(c)).alias(c) for c in df.columns])
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns as the first type that all their values can be cast to, found in one pass."""
+    fits = [
+        F.every(
+            ref(c).isNull() | F.when(ref(c).rlike(rf"\A(?:{p})\z"), ref(c).try_cast(k).isNotNull()).otherwise(False)
+        ).alias(f"{i}_{k}")
+        for i, c in enumerate(df.columns)
+        for k, p in TEXT_TYPES.items()
+    ]
+    filled = [F.count(ref(c)).alias(f"{i}_n") for i, c in enumerate(df.columns)]
+    if not fits:
+        return df
+    found = df.agg(*fits, *filled).first()
+    chosen = [
+        next((k for k in TEXT_TYPES if found[f"{i}_n"] and found[f"{i}_{k}"]), "string") for i in range(len(df.columns))
+    ]
+    return df.select(*[ref(c).cast(k).alias(c) for c, k in zip(df.columns, chosen)])
+
+
+def _by_column(df: DataFrame) -> bool:
+    """One record of columns, as {name: {row: value}} or {name: [values]}, in place of records."""
+    kinds = [f.dataType for f in df.schema]
+    by_row = [isinstance(k, T.StructType) and k.names and all(n.isdigit() for n in k.names) for k in kinds]
+    return bool(kinds) and (all(by_row) or all(isinstance(k, T.ArrayType) for k in kinds) and len(df.take(2)) == 1)
+
+
 def metadata_frame(spark: SparkSession, metadata: str | Mapping[str, object]) -> DataFrame:
     """One row of text columns, one per metadata key, from JSON text or a mapping.
 

@@ -9,7 +9,6 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from plumbline.functions.columns import dtype_of, ref
 from plumbline.operators.windowed import windowed_quality
-from plumbline.session import durable_folder
 from plumbline.sources.rules import SemanticRule, SyntacticRule
 
 
@@ -51,7 +50,9 @@ def write_closed_windows(
 ) -> StreamingQuery:
     """Append each window to Parquet once the watermark has passed it.
 
-    Takes what is there and stops; run again with the same checkpoint to go on.
+    Takes what is there and stops; run again to go on.  The checkpoint lies in
+    the folder of the results, in a sub-folder that readers skip, unless one is
+    given; one folder of results goes with one checkpoint.
     """
     return (
         results.writeStream.outputMode("append")
@@ -59,7 +60,7 @@ def write_closed_windows(
         .option("path", path)
         .option(
             "checkpointLocation",
-            checkpoint or durable_folder(results.sparkSession, "stream-checkpoint"),
+            checkpoint or f"{path.rstrip('/')}/_checkpoint",
         )
         .trigger(availableNow=True)
         .start()

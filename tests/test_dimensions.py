@@ -181,7 +181,7 @@ def test_rollups(spark, evaluation):
     characteristics = pl.characteristic_scores(evaluation.dimension_scores)
     rows = {r.characteristic: r for r in characteristics.collect()}
     assert rows["currentness"].overall_score == 100.0 and rows["currentness"].priority == 2
-    assert rows["currentness"].summary == "Overall currentness score: 100.0%"
+    assert rows["currentness"].summary == "100.0% on average in currentness"
     weights = {c: 2 for c in rows}
     expected = sum(weights[c] * r.overall_score for c, r in rows.items()) / sum(weights.values())
     assert pl.overall_score(characteristics).first().overall_score == pytest.approx(expected)
@@ -197,7 +197,7 @@ def test_zero_score_is_shown_and_none_is_not(spark):
     )
     rows = {r.characteristic: r for r in pl.score_table(pl.characteristic_scores(scores)).collect()}
     assert rows["accuracy"].score_text == "0.0%" and rows["diversity"].score_text == "N/A"
-    assert rows["diversity"].summary == "Could not compute overall score."
+    assert rows["diversity"].summary == "No dimension could be scored."
     status = {r.dimension: r.status for r in pl.dimension_table(scores.withColumn("explanation", F.lit(""))).collect()}
     assert status == {"a": "FAIL", "b": "N/A"}
 
@@ -249,14 +249,20 @@ def test_report_has_all_sections_in_order(evaluation, spark, tmp_path):
     texts = [r.text for r in lines.collect()]
     heads = [t for t in texts if t.startswith("## ")]
     assert heads == [
-        "## Context",
-        "## Overall Assessment",
-        "## Quality Characteristic Results",
-        "## Recommendations",
-        "## EU AI Act Article 10 Compliance Notes",
-        "## GDPR Article 5 Compliance Notes",
+        "## What was looked at",
+        "## In one figure",
+        "## Figures by characteristic, the most important first",
+        "## What to mend",
+        "## Clauses of the AI Act that the figures bear on",
+        "## Clauses of the GDPR that the figures bear on",
     ]
-    assert sum(t.startswith("### ") for t in texts) == 6 and sum(t.startswith("  - **") for t in texts) == 25
+    assert sum(t.startswith("### ") for t in texts) == 6 and sum(t.startswith("  * ") for t in texts) == 25
     path = str(tmp_path / "report")
     pl.write_report(lines, path)
     assert [r.value for r in spark.read.text(path).collect()] == texts
+
+
+def test_completeness_of_a_wide_table(spark):
+    df = spark.range(3).select(*[F.when(F.col("id") > 0, F.lit(i)).alias(f"c{i}") for i in range(600)])
+    row = pl.completeness(df).first()
+    assert (row.row_count, row.null_cells, row.complete_rows, row.complete_columns) == (3, 600, 2, 0)

@@ -152,3 +152,19 @@ def test_slices_add_up_to_the_whole(spark, events):
     parts = pl.sliced_quality(df, ["kind"], RULES).collect()
     assert sum(r.violations for r in parts) == whole.violations
     assert sum(r.total for r in parts) == whole.total and len(parts) == 3
+
+
+def test_csv_keeps_quoted_line_breaks_and_knows_missing_tokens(spark, tmp_path):
+    path = str(tmp_path / "quoted.csv")
+    with open(path, "w") as f:
+        f.write('id,text,x\n1,"a ""b""\nc",1.5\n2,NA,NULL\n3,"",2\n')
+    df = pl.read_table(spark, path)
+    assert dict(df.dtypes) == {"id": "bigint", "text": "string", "x": "double"}
+    assert sorted(map(tuple, df.collect())) == [(1, 'a "b"\nc', 1.5), (2, None, None), (3, None, 2.0)]
+
+
+def test_json_by_column_is_refused(spark, tmp_path):
+    path = tmp_path / "columns.json"
+    path.write_text('{"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": "y"}}')
+    with pytest.raises(ValueError, match="by column"):
+        pl.read_table(spark, str(path))

@@ -160,7 +160,7 @@ _RANK = "CASE characteristic " + " ".join(f"WHEN '{c}' THEN {i}" for c, i in _OR
 _DIMS = f"{_FACTS.strip()} dims AS ({_DIMENSIONS})"
 _CHARS = (
     f"{_DIMS}, chars AS (SELECT characteristic, min(priority) AS priority, avg(score) AS overall_score, count(score) AS dimensions_scored, "
-    "printf('Overall %s score: %.1f%%', characteristic, avg(score)) AS summary FROM dims GROUP BY characteristic) "
+    "printf('%.1f%% on average in %s', avg(score), characteristic) AS summary FROM dims GROUP BY characteristic) "
 )
 
 
