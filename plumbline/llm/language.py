@@ -28,9 +28,9 @@ SCRIPT_SHARE = 0.01
 #: N-grams of one word overlap; their summed scores are scaled by this and kept within the limit.
 SCALE, LIMIT = 0.5, 8.0
 #: Characters that are scored at a time.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Texts whose words are decoded together.
-ROWS = 2000
+ROWS = 1000
 UNKNOWN = "und"
 
 # First code points of Unicode script ranges; a range ends where the next begins.
