@@ -64,9 +64,12 @@ from plumbline.operators.quantiles import quantiles
 from plumbline.operators.rules import check_rules, violating_rows
 from plumbline.operators.semantic import (
     check_semantic_rules,
+    referential_violating_rows,
     referential_violations,
     semantic_field_stats,
+    temporal_violating_rows,
     temporal_violations,
+    violating_semantic_rows,
 )
 from plumbline.operators.suggest import suggest_rules
 from plumbline.operators.windowed import sliced_quality, windowed_quality

@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from plumbline.functions.columns import normalise_missing, ref
+from plumbline.functions.columns import TEMPORAL_TYPES, dtype_of, normalise_missing, ref, require_columns
 from plumbline.functions.frames import local_frame, union_all
 from plumbline.operators.frequency import unique_counts
 from plumbline.operators.profile import null_profile
@@ -18,8 +18,10 @@ from plumbline.operators.rules import (
     compile_row_rule,
     count_rules,
     rule_ids,
+    violating_rows,
     with_rates,
 )
+from plumbline.session import durable_folder
 from plumbline.sources.rules import SemanticRule
 
 ROW_RULES = ("cross_field", "domain_logic")
@@ -41,59 +43,132 @@ def _result(counted: DataFrame, rule: SemanticRule, rule_id: str) -> DataFrame:
     )
 
 
-def temporal_violations(
+def _compared_positions(
     df: DataFrame,
     field: str,
     key_columns: Sequence[str],
     order_columns: Sequence[str],
-    partitions: int | None = None,
-) -> DataFrame:
-    """Rows whose field is below that of the row before it within its key.
+    partitions: int | None,
+) -> tuple[DataFrame, list[str], list[str]]:
+    """Distinct (key, order, field) of complete rows, with ``part`` and whether the one before is above.
 
-    Rows without a key, order or field value are not compared.  Ties in the
-    order are ordered by the field.
-
-    A window partitioned by the key would put a hot key into one task.  Range
-    partitioning on (key, order, field) spreads such a key over many tasks; the
-    rows are compared inside each partition, and the first row of a partition
-    with the last row of the one before it.  The second window sees one row per
-    partition.
+    A window partitioned by the key would put a hot key into one task.  Equal
+    positions never break the order, so they are merged, before the shuffle as
+    well; range partitioning then spreads a hot key over many tasks, and the
+    positions are compared inside each partition.
     """
     n = partitions or int(df.sparkSession.conf.get(RANGE_PARTITIONS))
-    clean = normalise_missing(df)
     keys = [ref(c).alias(f"key{i}") for i, c in enumerate(key_columns)]
     orders = [ref(c).alias(f"order{i}") for i, c in enumerate(order_columns)]
     key_names = [f"key{i}" for i in range(len(keys))]
-    sort_names = key_names + [f"order{i}" for i in range(len(orders))] + ["field"]
-    rows = clean.select(*keys, *orders, ref(field).alias("field"))
-    complete = reduce(and_, [F.col(c).isNotNull() for c in sort_names])
-
+    names = key_names + [f"order{i}" for i in range(len(orders))] + ["field"]
+    rows = normalise_missing(df).select(*keys, *orders, ref(field).alias("field"))
+    complete = reduce(and_, [F.col(c).isNotNull() for c in names])
     ranged = (
         rows.filter(complete)
-        .repartitionByRange(n, *sort_names)
+        .distinct()
+        .repartitionByRange(n, *names)
         .withColumn("part", F.spark_partition_id())
     )
-    inside = Window.partitionBy("part").orderBy(*sort_names)
+    inside = Window.partitionBy("part").orderBy(*names)
     follows = reduce(and_, [F.lag(k).over(inside) == F.col(k) for k in key_names], F.lit(True))
-    compared = ranged.withColumn(
-        "broken", follows & (F.col("field") < F.lag("field").over(inside))
-    )
-    position = F.struct(*sort_names)
+    compared = ranged.withColumn("broken", follows & (F.col("field") < F.lag("field").over(inside)))
+    return compared, key_names, names
+
+
+def _seams(compared: DataFrame, key_names: list[str], names: list[str]) -> DataFrame:
+    """Per partition: ``broken`` inside of it, its first position, and ``seam``: whether that one is below the last before.
+
+    The window sees one row per partition.
+    """
+    position = F.struct(*names)
     parts = compared.groupBy("part").agg(
         F.count_if(F.col("broken")).alias("broken"),
         F.min(position).alias("head"),
         F.max(position).alias("tail"),
     )
-    across = Window.partitionBy().orderBy("part")
-    previous = F.lag("tail").over(across)
+    previous = F.lag("tail").over(Window.partitionBy().orderBy("part"))
     same_key = reduce(and_, [previous[k] == F.col("head")[k] for k in key_names], F.lit(True))
-    joined = parts.select(
-        "broken", F.when(same_key & (F.col("head")["field"] < previous["field"]), 1).alias("seam")
+    below = same_key & (F.col("head")["field"] < previous["field"])
+    return parts.select("broken", "head", F.coalesce(below, F.lit(False)).alias("seam"))
+
+
+def temporal_violations(
+    df: DataFrame,
+    field: str,
+    key_columns: Sequence[str],
+    order_columns: Sequence[str],
+    partitions: int | None = None,
+) -> DataFrame:
+    """Rows whose field is below that of the row before it within its key.
+
+    Rows without a key, order or field value are not compared.  Ties in the
+    order are ordered by the field, so of rows equal in all three the first can
+    break the order at most.  ``partitions`` is the number of ranges, by default
+    that of shuffle partitions.
+    """
+    compared, key_names, names = _compared_positions(df, field, key_columns, order_columns, partitions)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    found = F.coalesce(F.sum("broken"), F.lit(0)) + F.count_if(F.col("seam"))
+    return (
+        _seams(compared, key_names, names)
+        .agg(found.cast("bigint").alias("violations"))
+        .withColumn("total", total)
     )
-    total = clean.agg(F.count(F.lit(1))).scalar()
-    return joined.agg(
-        (F.coalesce(F.sum("broken"), F.lit(0)) + F.count("seam")).cast("bigint").alias("violations")
-    ).withColumn("total", total)
+
+
+def temporal_violating_rows(
+    df: DataFrame,
+    field: str,
+    key_columns: Sequence[str],
+    order_columns: Sequence[str],
+    partitions: int | None = None,
+) -> DataFrame:
+    """The later rows of each break, as stored; rows equal in key, order and field come together.
+
+    The compared positions are written to the shared folder first, as ranges
+    that are drawn twice need not be the same.
+    """
+    compared, key_names, names = _compared_positions(df, field, key_columns, order_columns, partitions)
+    path = durable_folder(df.sparkSession, "positions")
+    compared.write.parquet(path)
+    kept = df.sparkSession.read.schema(compared.schema).parquet(path)
+    heads = _seams(kept, key_names, names).filter("seam").select("head.*")
+    broken = kept.filter("broken").select(*names).unionByName(heads)
+    columns = [*key_columns, *order_columns, field]
+    same = reduce(and_, [ref(c) == F.col(f"broken.{n}") for c, n in zip(columns, names, strict=True)])
+    return df.join(broken.alias("broken"), same, "left_semi")
+
+
+def referential_violating_rows(
+    df: DataFrame,
+    fields: Sequence[str],
+    reference: DataFrame,
+    ref_columns: Sequence[str],
+) -> DataFrame:
+    """Rows whose non-null field values do not occur in the reference table, as stored.
+
+    Only the distinct unknown values are joined back to the rows.
+    """
+    names = [f"key{i}" for i in range(len(fields))]
+    given = (
+        normalise_missing(df)
+        .select(*[ref(f).alias(n) for f, n in zip(fields, names, strict=True)])
+        .dropna()
+        .distinct()
+    )
+    known = normalise_missing(reference).select(
+        *[ref(c).alias(n) for c, n in zip(ref_columns, names, strict=True)]
+    )
+    unknown = given.join(known, names, "left_anti")
+    same = reduce(and_, [ref(f) == F.col(f"unknown.{n}") for f, n in zip(fields, names, strict=True)])
+    return df.join(unknown.alias("unknown"), same, "left_semi")
+
+
+def _comparable(one: T.DataType, other: T.DataType) -> bool:
+    """Whether values of both types can be equal without a cast of text."""
+    kinds = (T.NumericType, T.StringType, T.BooleanType, TEMPORAL_TYPES)
+    return one == other or any(isinstance(one, k) and isinstance(other, k) for k in kinds)
 
 
 def referential_violations(
@@ -128,6 +203,15 @@ def referential_violations(
     )
 
 
+def _same_kinds(
+    df: DataFrame, fields: Sequence[str], reference: DataFrame, columns: Sequence[str]
+) -> bool:
+    return len(fields) == len(columns) and all(
+        _comparable(dtype_of(df, f), dtype_of(reference, c))
+        for f, c in zip(fields, columns, strict=True)
+    )
+
+
 def _not_run(df: DataFrame, rule: SemanticRule, rule_id: str, status: str) -> DataFrame:
     row = {
         "rule_id": rule_id,
@@ -143,10 +227,12 @@ def check_semantic_rules(
     df: DataFrame,
     rules: DataFrame | Sequence[SemanticRule],
     tables: Mapping[str, DataFrame] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Violations of semantic rules, one row per rule, in the form of syntactic results.
 
-    Row-level rules share one scan; each temporal or referential rule adds one shuffle.
+    Row-level rules share one scan; each temporal or referential rule adds its
+    own shuffles.  ``partitions`` is the number of ranges of temporal rules.
     """
     listed, tables = as_semantic(rules), tables or {}
     clean = normalise_missing(df)
@@ -159,7 +245,7 @@ def check_semantic_rules(
             parts.append(_not_run(df, rule, rule_id, "column_missing"))
         elif rule.rule_type == "temporal" and rule.key_columns and rule.order_columns:
             counted = temporal_violations(
-                clean, rule.fields_involved[0], rule.key_columns, rule.order_columns
+                clean, rule.fields_involved[0], rule.key_columns, rule.order_columns, partitions
             )
             parts.append(_result(counted, rule, rule_id))
         elif rule.rule_type == "referential" and rule.ref_table in tables:
@@ -167,6 +253,8 @@ def check_semantic_rules(
             targets = rule.ref_columns or rule.fields_involved
             if any(c not in reference.columns for c in targets):
                 parts.append(_not_run(df, rule, rule_id, "column_missing"))
+            elif not _same_kinds(df, rule.fields_involved, reference, targets):
+                parts.append(_not_run(df, rule, rule_id, "type_mismatch"))
             else:
                 counted = referential_violations(clean, rule.fields_involved, reference, targets)
                 parts.append(_result(counted, rule, rule_id))
@@ -177,6 +265,30 @@ def check_semantic_rules(
     return union_all(parts)
 
 
+def violating_semantic_rows(
+    df: DataFrame,
+    rule: SemanticRule,
+    tables: Mapping[str, DataFrame] | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Rows that break one semantic rule of any type, as stored.  A rule that cannot run raises."""
+    tables = tables or {}
+    if rule.rule_type in ROW_RULES:
+        return violating_rows(df, row_rules=[rule]).select(*[ref(c) for c in df.columns])
+    require_columns(df, (*rule.fields_involved, *rule.key_columns, *rule.order_columns))
+    if rule.rule_type == "temporal" and rule.key_columns and rule.order_columns:
+        return temporal_violating_rows(
+            df, rule.fields_involved[0], rule.key_columns, rule.order_columns, partitions
+        )
+    if rule.rule_type == "referential" and rule.ref_table in tables:
+        reference, targets = tables[rule.ref_table], rule.ref_columns or rule.fields_involved
+        require_columns(reference, targets)
+        if not _same_kinds(df, rule.fields_involved, reference, targets):
+            raise ValueError(f"types of {', '.join(rule.fields_involved)} and {', '.join(targets)} differ")
+        return referential_violating_rows(df, rule.fields_involved, reference, targets)
+    raise ValueError(f"rule cannot run: {rule.name}")
+
+
 FIELD_LINKS = T.StructType(
     [
         T.StructField("name", T.StringType()),

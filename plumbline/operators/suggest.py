@@ -60,16 +60,15 @@ def suggest_rules(df: DataFrame, max_enum: int = 20) -> DataFrame:
         lengths = _bounds(clean, texts, lambda c: F.length(ref(c)))
         parts.append(_suggestion(lengths, "length", bounds, F.lit("text lengths seen in the data")))
 
-        # The sketch has at most one register per distinct value set, so for few
-        # values it is never above them by more than a fraction: nothing is
-        # missed, and only columns of few values are counted value by value.
+        # The sketch only spares columns of many values the count of each; its
+        # standard error is 5%, and ten times that are allowed for.
         rough = per_column(
             clean,
             texts,
             lambda c: {"n": F.approx_count_distinct(ref(c))},
             HEAVY_COLUMNS_PER_STAGE * 2,
         )
-        few = [r.column_name for r in rough.collect() if r.n <= max_enum * 1.1 + 1]
+        few = [r.column_name for r in rough.collect() if r.n <= max_enum * 1.5 + 10]
         if few:
             values = value_frequency(clean, few)
             fit = (

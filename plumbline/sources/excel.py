@@ -79,6 +79,28 @@ def _value(cell: ElementTree.Element, shared: list[str], dates: set[int]) -> str
     return raw
 
 
+def _worksheets(book: zipfile.ZipFile) -> list[str]:
+    """Parts of the worksheets, in the order of the workbook, or by number where it lists none."""
+    names = set(book.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+        target = {e.get("Id"): e.get("Target", "") for e in links}
+        listed = []
+        for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter():
+            if _tag(e) == "sheet":
+                link = next((v for k, v in e.attrib.items() if k.endswith("}id")), None)
+                part = target.get(link, "")
+                listed.append(part.lstrip("/") if part.startswith("/") else f"xl/{part}")
+        # A chart can be a sheet as well, but has no rows.
+        listed = [part for part in listed if part in names and "chartsheets/" not in part]
+        if listed:
+            return listed
+    return sorted(
+        (n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)),
+        key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1]).group()),
+    )
+
+
 def sheet_rows(content: bytes, sheet: int) -> Iterator[list[str | None]]:
     """The rows of one worksheet as text, streamed from the XML."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -86,10 +108,7 @@ def sheet_rows(content: bytes, sheet: int) -> Iterator[list[str | None]]:
         if "xl/sharedStrings.xml" in book.namelist():
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = [_texts(e) for e in root if _tag(e) == "si"]
-        sheets = sorted(
-            (n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)),
-            key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1]).group()),
-        )
+        sheets = _worksheets(book)
         dates = _date_styles(book)
         with book.open(sheets[sheet]) as part:
             for _, element in ElementTree.iterparse(part):
@@ -103,8 +122,17 @@ def sheet_rows(content: bytes, sheet: int) -> Iterator[list[str | None]]:
                 element.clear()
 
 
-# Longer digit strings may not fit a BIGINT and stay text.
-MAX_DIGITS = 18
+def column_names(header: list[str | None]) -> list[str]:
+    """Names of the columns: blank ones are numbered from 0 by place, repeated ones from 1."""
+    names: list[str] = []
+    for i, name in enumerate(header):
+        base = name if name else f"Unnamed: {i}"
+        free, n = base, 0
+        while free in names:
+            n += 1
+            free = f"{base}.{n}"
+        names.append(free)
+    return names
 
 
 def _inferred(texts: DataFrame) -> DataFrame:
@@ -115,14 +143,15 @@ def _inferred(texts: DataFrame) -> DataFrame:
 
     def metrics(c: str):
         counts = {k: F.count_if(ref(c)["k"] == F.lit(k)) for k in VALUE_CLASSES}
-        return counts | {"given": F.count(ref(c)["v"]), "longest": F.max(F.length(ref(c)["v"]))}
+        return counts | {"given": F.count(ref(c)["v"]), "fits": F.count(ref(c)["v"].try_cast("bigint"))}
 
     chosen = {}
     for r in per_column(classed, texts.columns, metrics, HEAVY_COLUMNS_PER_STAGE).collect():
         if not r.given:
             kind = "string"
         elif r["int"] == r.given:
-            kind = "bigint" if r.longest <= MAX_DIGITS else "string"
+            # Longer digit strings do not fit and stay text.
+            kind = "bigint" if r.fits == r.given else "string"
         elif r["int"] + r["float"] == r.given:
             kind = "double"
         elif r["bool"] == r.given:
@@ -138,31 +167,33 @@ def read_excel(
 ) -> DataFrame:
     """Read a workbook or a folder of workbooks; the first row names the columns.
 
-    Columns are those of the schema, or of the first workbook by path; each
-    workbook is matched by its own header.
+    Columns are those of the schema, or of all workbooks in the order of their
+    paths; each workbook is matched by its own header.  Columns without a name
+    and repeated names are numbered.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    suffix = "*.[xX][lL][sS][xX]"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path)
 
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch.content:
-                names = [n for n in next(sheet_rows(bytes(content), sheet), []) if n]
-                yield pd.DataFrame({"name": names, "position": range(len(names))})
+            for path, content in zip(batch.path, batch.content, strict=True):
+                names = column_names(next(sheet_rows(bytes(content), sheet), []))
+                yield pd.DataFrame({"path": path, "name": names, "position": range(len(names))})
 
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if schema is not None:
         names = schema.fieldNames()
     else:
-        first = files.orderBy("path").limit(1).select("content")
-        listed = first.mapInPandas(headers, "name string, position int").orderBy("position")
-        names = [r["name"] for r in listed.collect()]
+        listed = files.select("path", "content").mapInPandas(headers, "path string, name string, position int")
+        seen = listed.groupBy("name").agg(F.min(F.struct("path", "position")).alias("at")).orderBy("at")
+        names = [r["name"] for r in seen.collect()]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch.content:
                 lines = sheet_rows(bytes(content), sheet)
-                header = next(lines, [])
+                header = column_names(next(lines, []))
                 at = [header.index(n) if n in header else None for n in names]
                 block = []
                 for line in lines:

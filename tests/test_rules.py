@@ -82,7 +82,7 @@ def test_patterns_that_cannot_run(frame):
     assert one(frame, "s", "format", "(").status == "invalid_pattern"
     assert one(frame, "s", "format", "(a)(?(1)b|c)").status == "invalid_pattern"
     assert one(frame, "s", "format", 5).status == "invalid_specification"
-    assert java_pattern("a") == r"\A(?:a)"
+    assert java_pattern("a") == r"(?d)\A(?:a)"
 
 
 def test_dtype_taints_the_column(frame):
@@ -153,6 +153,32 @@ def test_many_rules_are_one_scan(frame, spark, tmp_path):
     assert "ReadSchema: struct<i:int,s:string>" in plan
 
 
+def test_hundreds_of_rules(frame, spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame.drop("day").write.parquet(path)
+    stored = spark.read.parquet(path)
+    rules = [R("i", "range", {"max": k}) for k in range(197)]
+    rules += [R("s", "length", {"max": 3}), R("s", "dtype", "int64"), R("nowhere", "not_null")]
+    checked = pl.check_rules(stored, rules)
+    rows = checked.collect()
+    assert [r.violations for r in rows[:197]] == [sum(v > k for v in (1, 5, 20)) for k in range(197)]
+    assert [(r.failed_values, r.violations, r.total) for r in rows[197:199]] == [(1, 1, 4), (2, 3, 4)]
+    assert (rows[199].status, rows[199].violations) == ("column_missing", None)
+    empty = pl.check_rules(stored.limit(0), rules).collect()
+    assert len(empty) == 200 and {(r.violations, r.total) for r in empty[:199]} == {(0, 0)}
+
+
+def test_violating_rows_are_as_stored_and_idle_rules_raise(spark):
+    df = spark.createDataFrame([(1, float("nan")), (9, 2.0), (9, None)], "i int, x double")
+    found = pl.violating_rows(df, [R("x", "not_null", rule_id="n")])
+    rows = sorted(((r.i, r.x) for r in found.collect()), key=lambda t: t[0])
+    assert rows[0][0] == 1 and rows[0][1] != rows[0][1] and rows[1] == (9, None)
+    with pytest.raises(ValueError, match="R1 .column_missing"):
+        pl.violating_rows(df, [R("absent", "not_null")])
+    both = [R("absent", "not_null"), R("i", "range", {"max": 5})]
+    assert pl.violating_rows(df, both, skip_idle=True).count() == 2
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     values=st.lists(st.one_of(st.none(), st.integers(-50, 50)), max_size=30),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plumbline as pl
+from plumbline.operators.semantic import temporal_violations
 
 M = pl.SemanticRule
 
@@ -105,3 +106,38 @@ def test_field_stats(spark):
     (row,) = pl.semantic_field_stats(df, rules, ["o"]).collect()
     assert row.sample == ["v2", "v0", "v1", "v2", "v0"]
     assert (row.field, row.null_rate, row.unique_count) == ("s", 0.2, 3)
+
+
+def test_keys_of_another_type_do_not_stop_the_check(spark):
+    df = spark.createDataFrame([("abc",), ("1",)], "k string")
+    known = spark.createDataFrame([(1,)], "id bigint")
+    rule = pl.SemanticRule("r", "referential", ("k",), "", rule_id="r", ref_table="known", ref_columns=("id",))
+    row = pl.check_semantic_rules(df, [rule], {"known": known}).first()
+    assert (row.status, row.violations) == ("type_mismatch", None)
+    with pytest.raises(ValueError):
+        pl.violating_semantic_rows(df, rule, {"known": known})
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_violating_rows_of_temporal_rules_are_brute_force(spark, partitions):
+    import random
+
+    draw = random.Random(partitions)
+    rows = [(draw.choice("aab"), draw.randrange(40), draw.randrange(9), i) for i in range(300)]
+    rows += [("a", None, 3, 1000), (None, 2, 1, 1001), ("b", 3, None, 1002)]
+    df = spark.createDataFrame(rows, "k string, o int, v int, id int")
+    rule = pl.SemanticRule("t", "temporal", ("v",), "", rule_id="t", key_columns=("k",), order_columns=("o",))
+    positions = sorted({r[:3] for r in rows if None not in r[:3]})
+    broken = {q for p, q in zip(positions, positions[1:]) if p[0] == q[0] and q[2] < p[2]}
+    found = pl.violating_semantic_rows(df, rule, partitions=partitions)
+    assert sorted(r.id for r in found.collect()) == sorted(r[3] for r in rows if r[:3] in broken)
+    checked = pl.check_semantic_rules(df, [rule], partitions=partitions).first()
+    assert (checked.violations, checked.total) == (len(broken), len(rows))
+
+
+def test_tied_hot_key_is_merged_before_the_shuffle(spark):
+    df = spark.range(20000).select(F.lit("hot").alias("k"), (F.col("id") % 7).alias("o"), F.lit(1).alias("v"))
+    text = temporal_violations(df, "v", ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    ranges = text.index("Exchange rangepartitioning")
+    assert "HashAggregate" in text[ranges:]
+    assert temporal_violations(df, "v", ["k"], ["o"]).first().violations == 0

@@ -168,3 +168,14 @@ def test_json_by_column_is_refused(spark, tmp_path):
     path.write_text('{"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": "y"}}')
     with pytest.raises(ValueError, match="by column"):
         pl.read_table(spark, str(path))
+
+
+def test_excel_keeps_every_column(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", ["k", "v"], [[1, "x"]])
+    workbook(tmp_path / "b.XLSX", ["k", None, "v", "v", "extra"], [[2, "blank", "y", "z", "1234567890123456789"]])
+    df = pl.read_table(spark, str(tmp_path), "excel")
+    assert df.columns == ["k", "v", "Unnamed: 1", "v.1", "extra"]
+    assert dict(df.dtypes)["extra"] == "bigint"
+    rows = {r.k: tuple(r) for r in df.collect()}
+    assert rows[1] == (1, "x", None, None, None)
+    assert rows[2] == (2, "y", "blank", "z", 1234567890123456789)

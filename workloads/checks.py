@@ -581,7 +581,7 @@ _BROKEN = ", ".join(f"CASE WHEN {c[1]} THEN '{i}' END" for i, c in CONDITIONS.it
 register(
     "violating_rows",
     "dirty_lineitem",
-    lambda df: pl.violating_rows(df, ALL_RULES).select(
+    lambda df: pl.violating_rows(df, ALL_RULES, skip_idle=True).select(
         "l_orderkey", "l_linenumber", F.array_join("violated_rules", ",").alias("violated_rules")
     ),
     f"WITH v AS (SELECT l_orderkey, l_linenumber, concat_ws(',', {_BROKEN}) AS violated_rules FROM dirty_lineitem) "
@@ -675,6 +675,27 @@ SQL["semantic_referential"] = with_view(
         "o_custkey IS NOT NULL AND c_custkey IS NULL",
     ),
 )
+register(
+    "violating_rows_referential",
+    None,
+    lambda spark, sf_dir: pl.violating_semantic_rows(
+        load(spark, sf_dir, "dirty_orders"), CUSTOMER_KNOWN, {"customer": load(spark, sf_dir, "customer")}
+    ).select("o_orderkey", "o_custkey"),
+)
+SQL["violating_rows_referential"] = with_view(
+    "dirty_orders",
+    "SELECT o_orderkey, o_custkey FROM dirty_orders LEFT JOIN customer ON o_custkey = c_custkey "
+    "WHERE o_custkey IS NOT NULL AND c_custkey IS NULL",
+)
+register(
+    "violating_rows_temporal",
+    "orders",
+    lambda df: pl.violating_semantic_rows(
+        df, _temporal("orders_in_order", "o_orderdate", "o_custkey", "o_orderkey")
+    ).select("o_orderkey", "o_custkey"),
+    "SELECT o_orderkey, o_custkey FROM (SELECT *, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderdate) AS before "
+    "FROM orders WHERE o_orderdate IS NOT NULL AND o_custkey IS NOT NULL AND o_orderkey IS NOT NULL) AS w WHERE o_orderdate < before",
+)
 _FIELD_TYPES = {"o_custkey": "bigint", "o_orderstatus": "string"}
 register(
     "semantic_field_stats",
