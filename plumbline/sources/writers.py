@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a result table as parquet, json or csv."""
+    """Write a result table as parquet, json (one record a line) or csv, so that ``read_table`` reads it back."""
     writer = df.write.mode(mode).format(format)
     if format == "csv":
-        writer = writer.option("header", True)
+        # A quote is doubled, and white space at the ends of a cell is kept.
+        writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     writer.save(path)
 
 

@@ -93,7 +93,19 @@ register(
     f"{r('sum(c - 1) * 1.0 / sum(c)')} AS duplicate_rate "
     "FROM (SELECT count(*) AS c FROM documents GROUP BY text, lang) AS g",
 )
-register("column_types", "dirty_lineitem", pl.column_types)
+_TYPE_SQL = (
+    "(SELECT CASE max(typeof({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+    "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END FROM dirty_lineitem)"
+)
+register(
+    "column_types",
+    "dirty_lineitem",
+    pl.column_types,
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {_TYPE_SQL.replace('{c}', c)} AS data_type, CAST({i} AS INTEGER) AS position"
+        for i, c in enumerate(LINEITEM, 1)
+    ),
+)
 register(
     "null_profile",
     "dirty_lineitem",
@@ -563,6 +575,23 @@ for _name, _ids in {
     _rules = [r_ for r_ in ALL_RULES if r_.rule_id in _ids]
     register(_name, "dirty_lineitem", lambda df, rules=_rules: pl.check_rules(df, rules), rules_sql(_ids))
 
+
+def _from_rule_table(df: DataFrame) -> DataFrame:
+    """Rules from a table in which some are not approved and one has no field."""
+    spark, approved = df.sparkSession, {"quantity_range", "flag_enum", "key_length", "flag_given", "flag_format", "no_rule"}
+    blank = S(" ", "not_null", True, "no field", "", "blank")
+    table = pl.syntactic_table(spark, [*[r_ for r_ in ALL_RULES if r_.rule_id in approved], blank]).unionByName(
+        pl.syntactic_table(spark, [r_ for r_ in ALL_RULES if r_.rule_id not in approved], approved=False)
+    )
+    return pl.check_rules(df, table)
+
+
+register(
+    "rule_table_results",
+    "dirty_lineitem",
+    _from_rule_table,
+    rules_sql(["quantity_range", "flag_enum", "key_length", "flag_given", "flag_format", "no_rule"]),
+)
 PRIORITY_FORMAT = S("o_orderpriority", "format", r"\d-[A-Z]", "priority code", "", "priority_format")
 register(
     "rule_format",
@@ -864,3 +893,77 @@ SQL["windowed_quality_stream"] = (
     + _grouped_sql("date_trunc('day', ts)", _DAY)
     + ") SELECT * FROM w WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 )
+
+# ---------------------------------------------------------------- files
+
+
+def _through_file(view: str, format: str, read: Callable[[SparkSession, str], DataFrame]) -> Query:
+    """Write a table, read it back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{durable_folder(spark, 'files')}/{view}.{format}"
+        pl.write_table(load(spark, sf_dir, view), path, format)
+        return read(spark, path)
+
+    return run
+
+
+def _array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON arrays of 2000 keys each, one array per file, read back."""
+    orders = load(spark, sf_dir, "dirty_orders")
+    record = F.struct(*orders.columns)
+    arrays = orders.groupBy(F.floor(F.col("o_orderkey") / 2000)).agg(F.to_json(F.collect_list(record)).alias("value"))
+    path = f"{durable_folder(spark, 'files')}/orders.json"
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return pl.read_table(spark, path, schema=orders.schema)
+
+
+def _csv_orders(spark: SparkSession, path: str) -> DataFrame:
+    """With types found from the text; time stamps there have no zone."""
+    read = pl.read_table(spark, path)
+    return read.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+_ORDERS_SQL = (
+    "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) + 0.0 AS o_totalprice, o_orderdate, o_orderpriority "
+    "FROM dirty_orders"
+)
+_ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+for _name, _run in {
+    "csv_typed": _through_file("dirty_orders", "csv", _csv_orders),
+    "jsonl_rows": _through_file("dirty_orders", "json", lambda spark, path: pl.read_table(spark, path, "jsonl", _ORDERS)),
+    "json_rows": _array_files,
+}.items():
+    register(_name, None, _run)
+    SQL[_name] = with_view("dirty_orders", _ORDERS_SQL)
+register(
+    "csv_texts",
+    None,
+    _through_file("documents", "csv", pl.read_table),
+    "SELECT doc_id, text, lang, source, n_chars FROM documents",
+)
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of every source, from a column of JSON text."""
+    sources = load(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("lang").alias("lang"))
+    text = F.to_json(
+        F.struct(
+            F.col("source").alias("source_name"),
+            F.concat(F.lit("crawl of "), F.col("n").cast("string")).alias("collection_method"),
+            F.when(F.col("n") % 2 == 0, F.lit("2018-2021")).alias("feature_collection_period"),
+            F.col("lang").alias("main_language"),
+        )
+    )
+    return pl.metadata_column(sources.select("source", text.alias("meta")), "meta")
+
+
+register(
+    "metadata_columns",
+    None,
+    _metadata,
+    "SELECT source, source AS source_name, CAST(NULL AS VARCHAR) AS source_url, 'crawl of ' || count(*) AS collection_method, "
+    "CAST(NULL AS VARCHAR) AS documentation_url, CAST(NULL AS VARCHAR) AS creation_date, CAST(NULL AS VARCHAR) AS anonymization, "
+    "CAST(NULL AS VARCHAR) AS license, CAST(NULL AS VARCHAR) AS last_updated, "
+    "CASE WHEN count(*) % 2 = 0 THEN '2018-2021' END AS feature_collection_period FROM documents GROUP BY source",
+)
