@@ -311,8 +311,13 @@ def profile_lines(
     order_by: Sequence[str] = (),
     sample: int = 5,
     approx: bool = False,
+    top_classes: int = 50,
 ) -> DataFrame:
-    """The profile as numbered text lines (line_no, text)."""
+    """The profile as numbered text lines (line_no, text).
+
+    The ``top_classes`` largest classes of the label have a line each, and the
+    number of the others is given; ``label_distribution`` has them all.
+    """
 
     def text(section: int, frame: DataFrame, order: Column, line: Column) -> DataFrame:
         return frame.select(
@@ -342,7 +347,9 @@ def profile_lines(
     ]
     label = label_column(df, label_col)
     if label is not None:
-        classes = label_distribution(df, label)
+        distribution = label_distribution(df, label)
+        classes = distribution.orderBy(F.col("cnt").desc(), "label").limit(top_classes)
+        others = distribution.agg((F.count(F.lit(1)) - top_classes).alias("n")).filter("n > 0")
         parts += [
             text(2, shape, F.lit("0"), F.lit(f"Label column: '{label}'")),
             text(
@@ -351,6 +358,8 @@ def profile_lines(
                 F.concat(F.lpad(F.lit(10**18) - F.col("cnt"), 20, "0"), "label"),
                 F.format_string("  class %s: %d", "label", "cnt"),
             ),
+            # Behind the digits that the keys of classes start with.
+            text(3, others, F.lit("~"), F.format_string("  and %d smaller classes", "n")),
             text(
                 4,
                 class_balance(df, label),
@@ -410,6 +419,6 @@ def _printable(df: DataFrame, name: str) -> bool:
 
 
 def number_lines(parts: DataFrame) -> DataFrame:
-    """Number lines by section and key.  There is one line per column, class or rule."""
+    """Number lines by section and key.  There is one line per column, rule or class that is shown."""
     numbered = F.row_number().over(Window.partitionBy().orderBy("section", "key"))
     return parts.select(numbered.cast("bigint").alias("line_no"), "text").orderBy("line_no")

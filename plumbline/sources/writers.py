@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a result table as parquet, json (one record a line) or csv, so that ``read_table`` reads it back."""
+    """Write a result table as parquet, json (one record a line) or csv, so that ``read_table`` reads it back.
+
+    In CSV an empty text cannot be told from a missing one, and is read as missing.
+    """
     writer = df.write.mode(mode).format(format)
     if format == "csv":
         # A quote is doubled, and white space at the ends of a cell is kept.

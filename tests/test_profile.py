@@ -215,3 +215,11 @@ def test_json_field_types(spark):
 def test_large_integers_keep_apart(spark):
     df = spark.createDataFrame([(2**62,), (2**62 + 1,)], "k bigint")
     assert pl.unique_counts(df).first().unique_count == 2
+
+
+def test_profile_lines_of_many_classes(spark):
+    df = spark.range(1000).selectExpr("id % 70 AS label", "id AS x")
+    lines = [r["text"] for r in pl.profile_lines(df, "label", top_classes=3).orderBy("line_no").collect()]
+    shown = [x for x in lines if x.startswith("  class ")]
+    assert shown == ["  class 0: 15", "  class 1: 15", "  class 10: 15"]
+    assert lines[lines.index(shown[-1]) + 1] == "  and 67 smaller classes"

@@ -179,3 +179,11 @@ def test_excel_keeps_every_column(spark, tmp_path):
     rows = {r.k: tuple(r) for r in df.collect()}
     assert rows[1] == (1, "x", None, None, None)
     assert rows[2] == (2, "y", "blank", "z", 1234567890123456789)
+
+
+def test_csv_sink_reads_back_exactly(spark, tmp_path):
+    rows = [(1, 'say "so", then'), (2, "two\nlines"), (3, "  ends  "), (4, None), (5, "back\\slash"), (6, "")]
+    path = str(tmp_path / "texts.csv")
+    pl.write_table(spark.createDataFrame(rows, "id long, text string"), path, "csv")
+    # As in any CSV file, a text of no characters is a missing one.
+    assert sorted(map(tuple, pl.read_table(spark, path).collect())) == [*rows[:-1], (6, None)]

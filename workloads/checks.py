@@ -940,7 +940,7 @@ register(
     "csv_texts",
     None,
     _through_file("documents", "csv", pl.read_table),
-    "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents",
 )
 
 

@@ -265,6 +265,14 @@ score_query(
     "recommendations",
     lambda e: pl.recommendations(e),
 )
+score_query(
+    "recommended_dimensions",
+    lambda e: pl.recommendations(e).select(
+        "priority", "characteristic", "dimension", "position", "score", F.substring_index("recommendation", ";", 1).alias("advice")
+    ),
+    f"{_DIMS} SELECT priority, characteristic, dimension, position, {r('score')} AS score, "
+    "'Raise ' || replace(dimension, '_', ' ') || ' from ' || printf('%.1f%%', score) AS advice FROM dims WHERE NOT passed",
+)
 score_query("report_lines", pl.report_lines)
 score_query("evaluation_rules", lambda e: e.rule_results)
 _ROWS = [checks.rule_row(CONDITIONS[i][0], "dirty_lineitem", *CONDITIONS[i][1:]) for i in RULE_IDS]
