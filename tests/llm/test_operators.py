@@ -278,6 +278,13 @@ def test_html_structure_and_shared_runs():
     assert next(html_text.main_texts([html_text.blocks(menu + article)] * 2, 8, 2)).startswith("T\nsame words")
 
 
+def test_repetition_decides_beside_an_article():
+    notice = "<div>this notice is on all of the pages of the host</div>"
+    page = "<body><h1>Headline {i}</h1><div>lead of its own {i}</div>{n}<article><p>body {i}</p></article></body>"
+    pages = [html_text.blocks(page.format(i=i, n=notice)) for i in range(3)]
+    assert list(html_text.main_texts(pages, 8, 2)) == [f"Headline {i}\nlead of its own {i}\nbody {i}" for i in range(3)]
+
+
 def test_shared_runs_are_brute_force():
     draw = random.Random(4)
     for _ in range(200):
