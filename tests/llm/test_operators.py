@@ -278,6 +278,26 @@ def test_html_structure_and_shared_runs():
     assert next(html_text.main_texts([html_text.blocks(menu + article)] * 2, 8, 2)).startswith("T\nsame words")
 
 
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ('<p>a</p><svg class="i"/><p>rest', "a\nrest"),
+        ('<p>a</p><svg class="i"/><p>rest</p><svg><path/></svg><p>b', "a\nrest\nb"),
+        ("<p>a</p><svg><p>rest</p><svg><text>x</text></svg><p>b", "a\nrest\nb"),
+        ("<p>a<svg><foreignObject><div>x</div></foreignObject></svg> b", "a b"),
+        ("<p>a</p><iframe src=x><p>rest", "a\nrest"),
+        ("<p>a</p><textarea><p>rest", "a\nrest"),
+        ("<p>a</p><title><p>rest", "a\nrest"),
+        ("<p>a</p><template><p>rest", "a\nrest"),
+        ("<p>a <math><mi>x</mi></math> b <math/> c <noscript>d</noscript>", "a x b c d"),
+        ("<p>a</p><script>x<p>rest", "a"),
+        ("<p>a<iframe>x</iframe> b", "a b"),
+    ],
+)
+def test_elements_without_an_end_take_no_text_along(inside, text):
+    assert list(html_text.main_texts([html_text.blocks(f"<article>{inside}")], 8, 2)) == [text]
+
+
 def test_repetition_decides_beside_an_article():
     notice = "<div>this notice is on all of the pages of the host</div>"
     page = "<body><h1>Headline {i}</h1><div>lead of its own {i}</div>{n}<article><p>body {i}</p></article></body>"
