@@ -305,6 +305,16 @@ def test_repetition_decides_beside_an_article():
     assert list(html_text.main_texts(pages, 8, 2)) == [f"Headline {i}\nlead of its own {i}\nbody {i}" for i in range(3)]
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    body = "<nav>{n}</nav><p>a text without an article that is in the table three times</p>"
+    notice = "<p>this notice is on two distinct pages of the host</p>"
+    rows = [(1, "http://a/x", body.format(n=1)), (1, "http://a/x", body.format(n=1)), (2, "http://a/x?ref=b", body.format(n=2))]
+    rows += [(3, "http://a/y", notice + "<p>one"), (4, "http://a/z", notice + "<p>two"), (4, "http://a/z", notice + "<p>two")]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    own = "a text without an article that is in the table three times"
+    assert sorted((r.page_id, r.text) for r in found) == [(1, own), (1, own), (2, own), (3, "one"), (4, "two"), (4, "two")]
+
+
 def test_shared_runs_are_brute_force():
     draw = random.Random(4)
     for _ in range(200):
