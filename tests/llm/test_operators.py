@@ -315,6 +315,23 @@ def test_copies_of_a_page_are_one_page(spark):
     assert sorted((r.page_id, r.text) for r in found) == [(1, own), (1, own), (2, own), (3, "one"), (4, "two"), (4, "two")]
 
 
+@pytest.mark.parametrize("least", [2, 3])
+def test_parts_of_a_host_change_nothing(spark, monkeypatch, least):
+    draw = random.Random(5)
+    notices = [" ".join(draw.choices("abcdefgh", k=10)) for _ in range(30)]
+    html = ["".join(f"<p>{n}</p>" for n in draw.sample(notices, 3)) + f"<p>own {i}" for i in range(40)]
+    rows = [(i, f"http://{'ab'[i % 2]}/{i}", x) for i, x in enumerate(html + html[:10])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def texts():
+        return sorted((r.page_id, r.url, r.text) for r in html_text.extract(pages, 8, least).collect())
+
+    whole = texts()
+    monkeypatch.setattr(html_text, "PART_BYTES", 100)
+    assert texts() == whole
+    assert 0 < sum(t.count("\n") for _, _, t in whole) < 3 * len(rows)
+
+
 def test_shared_runs_are_brute_force():
     draw = random.Random(4)
     for _ in range(200):
