@@ -376,6 +376,33 @@ def test_base_scores_are_brute_force(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) and -1e7 < r.score < 0
 
 
+def test_counts_of_infrequent_ids_are_used():
+    ids = np.arange(6)
+    counts, frequent = np.array([50, 40, 5, 3, 2, 30]), np.array([0, 1, 5])
+    rare = lm_scoring.RarePairs.of(np.array([0, 3]), np.array([7, 2]), np.array([2, 1]), 6)
+    seen = {(0, 2): 6, (0, 4): 1, (3, 4): 2}
+    whole = np.array([[9, 9, 9, 7], [9, 9, 9, 0], [9, 9, 9, 3], [1, 30, 1, 2]])
+    bigrams = attention_lm.Bigrams.of(counts, frequent, whole)
+    assert bigrams.log_pair[3, 1] > bigrams.log_pair[3, 0] + 1 and bigrams.log_pair[0, 3] > bigrams.log_pair[1, 3] + 0.5
+    for before in ids:
+        n = np.array([seen.get((before, w), 0) for w in (2, 3, 4)])
+        gain = rare.gains(before * 6 + np.array([2, 3, 4]), n, bigrams) + rare.unseen[before]
+        found = 10**gain * np.exp(bigrams.unigram[[2, 3, 4]] - bigrams.log_unseen)
+        assert math.isclose(found.sum(), 1, rel_tol=1e-6) and (before != 0 or found.argmax() == 0)
+
+
+def test_infrequent_pairs_of_all_documents_count(spark, ranks, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 4)
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCUMENTS", 3)
+    first, second = ["red", "blue", "green", "black"], ["dog", "cat", "bird", "fish"]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1][:8]
+    learned = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 != 1][:80]
+    rows = [(i, f"the {first[k % 4]} {second[k % 4]} the", "en", "a") for k, i in enumerate(learned)]
+    rows += [(i, f"the {first[k % 4]} {second[(k + k // 4) % 4]} the", "en", "a") for k, i in enumerate(held)]
+    score = {r.doc_id: r.score for r in lm_scoring.score(documents(spark, rows), ranks).collect()}
+    assert min(score[i] for i in held[:4]) > max(score[i] for i in held[4:]) + 0.5
+
+
 def test_pipeline_applies_each_stage(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     language_kept = corpus_pipeline.known_language(spark, docs, SF_DIR)
