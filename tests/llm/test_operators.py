@@ -394,6 +394,7 @@ def test_counts_of_infrequent_ids_are_used():
 def test_infrequent_pairs_of_all_documents_count(spark, ranks, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT", 4)
     monkeypatch.setattr(lm_scoring, "SAMPLE_DOCUMENTS", 3)
+    monkeypatch.setattr(lm_scoring, "FITTED_SHARE", 0.5)
     first, second = ["red", "blue", "green", "black"], ["dog", "cat", "bird", "fish"]
     held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1][:8]
     learned = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 != 1][:80]
@@ -403,6 +404,16 @@ def test_infrequent_pairs_of_all_documents_count(spark, ranks, monkeypatch):
     assert min(score[i] for i in held[:4]) > max(score[i] for i in held[4:]) + 0.5
 
 
+def test_frequent_ids_are_those_of_all_documents(spark, ranks, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCUMENTS", 1)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 30)
+    words = "one two three four five six seven eight nine ten".split()
+    train = documents(spark, [(i, f"{words[i % 10]} " * 5, "en", "a") for i in range(200)]).select("doc_id", "text")
+    bigrams = lm_scoring._fit(train, ranks)[0].bigrams
+    subwords = lm_scoring.Subwords(ranks)
+    assert all((bigrams.index[x] < len(bigrams.log_pair) - 1).all() for x in subwords.ids([[w.encode()] for w in words]))
+
+
 def test_pipeline_applies_each_stage(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     language_kept = corpus_pipeline.known_language(spark, docs, SF_DIR)
