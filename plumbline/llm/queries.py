@@ -13,6 +13,7 @@ from plumbline.llm import (
     html_text,
     language,
     lm_scoring,
+    merkle,
     mixing,
     ngram_join,
     quality,
@@ -184,3 +185,79 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document by an attention model, and by word frequencies."""
     return lm_scoring.score(read(spark, sf_dir, "documents"), token_counts.read_ranks(RANKS))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@register
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, proof and a tampering check of every document."""
+    columns = {c: F.col(c) for c in merkle.COLUMNS}
+    original = merkle.leaf_digest(list(columns.values()))
+    changed = merkle.leaf_digest([F.translate(c, _UPPER, _LOWER) if name == "text" else c for name, c in columns.items()])
+    tampered = F.when(fold_of(columns["doc_id"]) == 0, changed).otherwise(original)
+    rows = merkle.manifest(read(spark, sf_dir, "documents"), keep={"doc_id": columns["doc_id"], "tampered": tampered})
+    folded = rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.fold(F.col("tampered"), F.col("path")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SQL["op13_merkle_manifest"] = """
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END,
+                CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+                CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+                CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END) AS head
+  FROM documents),
+leaves AS (
+  SELECT r, doc_id, source, h, n, changed, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS pos
+  FROM (SELECT r, doc_id, source, count(*) OVER (PARTITION BY source) AS n,
+               sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS h,
+               sha256(head || CASE WHEN lowered IS NULL THEN '-' ELSE strlen(lowered) || ':' || lowered END) AS changed FROM docs)),
+nodes AS (
+  SELECT source, 0 AS level, pos, h, n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16
+  FROM nodes WHERE n > 1 GROUP BY source, level, pos // 16),
+subroots AS (
+  SELECT source, level AS height, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM tops WHERE n > 1 GROUP BY level, pos // 16),
+steps AS (
+  SELECT source, level, pos, coalesce(string_agg(h, '') OVER before, '') AS lefts, coalesce(string_agg(h, '') OVER after, '') AS rights
+  FROM nodes WHERE n > 1
+  WINDOW before AS (PARTITION BY source, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (PARTITION BY source, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+top_steps AS (
+  SELECT level, pos, coalesce(string_agg(h, '') OVER before, '') AS lefts, coalesce(string_agg(h, '') OVER after, '') AS rights
+  FROM tops WHERE n > 1
+  WINDOW before AS (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (PARTITION BY level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+paths AS (
+  SELECT r, level, lefts, rights FROM leaves l JOIN steps s
+    ON l.source IS NOT DISTINCT FROM s.source AND s.pos = l.pos // CAST(power(16, s.level) AS BIGINT)
+  UNION ALL
+  SELECT r, height + level, lefts, rights FROM leaves l JOIN subroots t ON l.source IS NOT DISTINCT FROM t.source
+    JOIN top_steps s ON s.pos = t.pos // CAST(power(16, s.level) AS BIGINT)),
+sums AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda t, i: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END))) AS crc
+  FROM leaves),
+folded AS (
+  SELECT r, 0 AS level, CASE WHEN coalesce(crc % 5 = 0, false) THEN changed ELSE h END AS h FROM sums
+  UNION ALL
+  SELECT f.r, f.level + 1, sha256(lefts || f.h || rights) FROM folded f JOIN paths p ON p.r = f.r AND p.level = f.level),
+proofs AS (SELECT r, sha256(string_agg(lefts || rights, '' ORDER BY level)) AS proof, count(*) AS k FROM paths GROUP BY r)
+SELECT doc_id, l.h AS leaf, t.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves l JOIN subroots t ON l.source IS NOT DISTINCT FROM t.source CROSS JOIN (SELECT h AS root FROM tops WHERE n = 1)
+LEFT JOIN proofs p ON p.r = l.r JOIN folded f ON f.r = l.r AND f.level = coalesce(k, 0)"""
