@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +17,7 @@ from plumbline.llm import (
     merkle,
     mixing,
     ngram_join,
+    packing,
     quality,
     sharding,
     token_counts,
@@ -31,6 +33,8 @@ MIX_WEIGHTS, MIX_MOST = (1.0, 2.0, 3.0), 3.0
 SHARDS = 16
 #: Vocabulary of a public tokenizer, as ranks.
 RANKS = os.environ.get("PLUMBLINE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Folder of the public tokenizer files; the driver reads them and sends their content to the tasks.
+TOKENIZERS = Path(RANKS).parent
 
 
 def register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -261,3 +265,11 @@ proofs AS (SELECT r, sha256(string_agg(lefts || rights, '' ORDER BY level)) AS p
 SELECT doc_id, l.h AS leaf, t.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
 FROM leaves l JOIN subroots t ON l.source IS NOT DISTINCT FROM t.source CROSS JOIN (SELECT h AS root FROM tops WHERE n = 1)
 LEFT JOIN proofs p ON p.r = l.r JOIN folded f ON f.r = l.r AND f.level = coalesce(k, 0)"""
+
+
+@register
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    model = (TOKENIZERS / "word_bpe_49k.json").read_text()
+    pieces = packing.pack(read(spark, sf_dir, "documents"), model)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
