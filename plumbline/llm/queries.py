@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import (
+    alignment,
     chat,
     decontaminate,
     html_text,
@@ -273,3 +274,15 @@ def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = (TOKENIZERS / "word_bpe_49k.json").read_text()
     pieces = packing.pack(read(spark, sf_dir, "documents"), model)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@register
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common groups of the tokens of two tokenizers in every document, and how usual their links are."""
+    model_a, model_b = (TOKENIZERS / "byte_bpe_50k.json").read_text(), (TOKENIZERS / "piece_bpe_32k.model").read_bytes()
+    rows = alignment.align(read(spark, sf_dir, "documents"), model_a, model_b)
+    sums = alignment.link_sums(rows, alignment.pair_counts(rows))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    slim = rows.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"))
+    filled = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")]
+    return slim.join(sums, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *filled, "groups_sha256")
