@@ -15,9 +15,14 @@ DATETIME_NAME_PARTS = ("date", "time", "timestamp")
 TEMPORAL_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def quoted(name: str) -> str:
+    """A name as SQL text, dots and spaces included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ref(name: str) -> Column:
-    """Reference a top-level column by its exact name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Reference a top-level column by its exact name."""
+    return F.col(quoted(name))
 
 
 def dtype_of(df: DataFrame, name: str) -> T.DataType:
@@ -42,14 +47,19 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return ref(name).isNull()
 
 
+def missing_sql(df: DataFrame, name: str) -> str:
+    """``is_missing`` as SQL text, for expressions over many columns."""
+    number = isinstance(dtype_of(df, name), (T.FloatType, T.DoubleType))
+    return f"{quoted(name)} IS NULL" + f" OR isnan({quoted(name)})" * number
+
+
 def normalise_missing(df: DataFrame) -> DataFrame:
     """Replace NaN by NULL in every float and double column."""
-    floats = [
-        f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))
-    ]
+    floats = {f.name: f.dataType.simpleString() for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     if not floats:
         return df
-    return df.select(*[present(df, c).alias(c) if c in floats else ref(c) for c in df.columns])
+    present_sql = {c: f"nanvl({quoted(c)}, CAST(NULL AS {kind})) AS {quoted(c)}" for c, kind in floats.items()}
+    return df.selectExpr(*[present_sql.get(c, quoted(c)) for c in df.columns])
 
 
 def groupable(df: DataFrame, name: str) -> Column:

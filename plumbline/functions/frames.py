@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.functions.columns import chunks
+from plumbline.functions.columns import chunks, quoted
 
 # One generated method holds all aggregates of a stage, and the JVM leaves
 # methods above 8 kB of bytecode uncompiled.  Four columns of moments (20
@@ -18,6 +18,9 @@ from plumbline.functions.columns import chunks
 # extra I/O on columnar files, as every part reads only its own columns.
 HEAVY_COLUMNS_PER_STAGE = 4
 LIGHT_COLUMNS_PER_STAGE = 24
+# Beyond this number, columns are aggregated by position: their cells become rows
+# that are summed in every task, and no expression has a term for every column.
+WIDE_COLUMNS = 200
 
 _ARROW = {
     "string": pa.string(),
@@ -26,6 +29,8 @@ _ARROW = {
     "double": pa.float64(),
     "boolean": pa.bool_(),
     "array<string>": pa.list_(pa.string()),
+    "array<bigint>": pa.list_(pa.int64()),
+    "array<double>": pa.list_(pa.float64()),
     "map<string,string>": pa.map_(pa.string(), pa.string()),
 }
 
@@ -58,19 +63,22 @@ def local_frame(spark: SparkSession, rows: Sequence[Mapping], schema: T.StructTy
 def per_column(
     df: DataFrame,
     columns: Sequence[str],
-    metrics: Callable[[str], Mapping[str, Column]],
+    metrics: Callable[[DataFrame, str], Mapping[str, Column]],
     per_stage: int = LIGHT_COLUMNS_PER_STAGE,
 ) -> DataFrame:
-    """Aggregate every column in one scan and return one row per column.
+    """Aggregate every column and return one row per column.
 
-    ``metrics`` gives the aggregates of a column by result name.  The result
-    holds column_name, row_count and those names.
+    ``metrics`` gives the aggregates of a column by result name, for a frame and the
+    name of the column in it.  The result holds column_name, row_count and those
+    names.  The scan is cut by columns; that of a wide table is cut by types only.
     """
     if not columns:
         raise ValueError("no columns to aggregate")
+    if len(columns) > WIDE_COLUMNS:
+        return _per_position(df, columns, metrics)
     parts = []
     for group in chunks(list(columns), per_stage):
-        named = {(i, k): m for i, c in enumerate(group) for k, m in metrics(c).items()}
+        named = {(i, k): m for i, c in enumerate(group) for k, m in metrics(df, c).items()}
         wide = df.agg(
             F.count(F.lit(1)).alias("row_count"),
             *[m.alias(f"m{i}_{k}") for (i, k), m in named.items()],
@@ -87,6 +95,38 @@ def per_column(
     return union_all(parts)
 
 
+def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(pos, value) of the cells of columns of one type."""
+    return df.select(F.posexplode(F.expr(f"array({', '.join(map(quoted, columns))})")).alias("pos", "value"))
+
+
+def _per_position(
+    df: DataFrame, columns: Sequence[str], metrics: Callable[[DataFrame, str], Mapping[str, Column]]
+) -> DataFrame:
+    types = {f.name: f.dataType for f in df.schema}
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        by_type.setdefault(types[c].json(), []).append(c)
+    parts = []
+    for group in by_type.values():
+        rows = cells(df, group)
+        wanted = {"row_count": F.count(F.lit(1))} | dict(metrics(rows, "value"))
+        named = [m.alias(k) for k, m in wanted.items()]
+        found = rows.groupBy("pos").agg(*named)
+        # A table without rows has no groups, but its aggregates have values all the same.
+        empty = rows.limit(0).agg(F.struct(*named)).scalar()
+        names = local_frame(
+            df.sparkSession,
+            [{"pos": i, "column_name": c} for i, c in enumerate(group)],
+            T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("column_name", T.StringType())]),
+        )
+        filled = [
+            F.when(F.col("row_count").isNull(), empty.getField(k)).otherwise(F.col(k)).alias(k) for k in wanted
+        ]
+        parts.append(names.join(F.broadcast(found), "pos", "left").select("column_name", *filled))
+    return union_all(parts)
+
+
 def run_together(
     spark: SparkSession, tasks: Mapping[str, Callable[[], object]]
 ) -> dict[str, object]:

@@ -6,8 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.columns import is_missing, label_column, ref
-from plumbline.functions.frames import rate
+from plumbline.functions.columns import is_missing, label_column, missing_sql, ref
+from plumbline.functions.frames import WIDE_COLUMNS, rate
 from plumbline.operators.frequency import label_distribution
 
 
@@ -32,15 +32,43 @@ def _total(terms: list[Column]) -> Column:
     return terms[0]
 
 
+# Positions that stand for a row and for a row without a missing value.
+_ROW, _COMPLETE_ROW = -1, -2
+
+
+def wide_completeness(df: DataFrame) -> DataFrame:
+    """``completeness_metrics`` of a wide table, in one scan and one row.
+
+    The missing cells of a row are an array of positions, and their partial sums by
+    position are what is shuffled, so no expression grows with the columns but a
+    list of their names.
+    """
+    flags = df.select(F.expr(f"array({', '.join(missing_sql(df, c) for c in df.columns)})").alias("missing"))
+    positions = F.expr(
+        f"concat(array({_ROW}), IF(array_contains(missing, true), "
+        f"filter(transform(missing, (x, i) -> IF(x, i, null)), i -> i IS NOT NULL), array({_COMPLETE_ROW})))"
+    )
+    counted = flags.select(F.explode(positions).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
+    of = {
+        "row_count": F.sum(F.when(F.col("pos") == _ROW, F.col("n"))),
+        "complete_rows": F.sum(F.when(F.col("pos") == _COMPLETE_ROW, F.col("n"))),
+        "null_cells": F.sum(F.when(F.col("pos") >= 0, F.col("n"))),
+        "complete_columns": len(df.columns) - F.count_if(F.col("pos") >= 0),
+    }
+    return counted.agg(*[F.coalesce(m, F.lit(0)).cast("bigint").alias(k) for k, m in of.items()])
+
+
 def completeness(df: DataFrame) -> DataFrame:
     """Value, feature and record completeness in one scan and one row.
 
     A table without cells is complete; one without columns has no feature score.
     """
     columns = F.lit(len(df.columns)).cast("bigint")
-    counted = df.agg(*[m.alias(k) for k, m in completeness_metrics(df).items()]).withColumn(
-        "total_cells", F.col("row_count") * columns
-    )
+    if len(df.columns) > WIDE_COLUMNS:
+        counted = wide_completeness(df)
+    else:
+        counted = df.agg(*[m.alias(k) for k, m in completeness_metrics(df).items()])
+    counted = counted.withColumn("total_cells", F.col("row_count") * columns)
     return counted.select(
         "row_count",
         columns.alias("column_count"),

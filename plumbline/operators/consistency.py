@@ -13,7 +13,7 @@ from plumbline.functions.frames import (
     per_column,
     rate,
 )
-from plumbline.operators.profile import duplicate_rows
+from plumbline.operators.duplicates import duplicate_rows
 
 # The classes a text value is sorted into, tried in this order.
 VALUE_CLASSES = {
@@ -50,7 +50,7 @@ def _class_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     wide = per_column(
         classed,
         columns,
-        lambda c: {f"n_{k}": F.count_if(ref(c) == F.lit(k)) for k in names},
+        lambda _, c: {f"n_{k}": F.count_if(ref(c) == F.lit(k)) for k in names},
         LIGHT_COLUMNS_PER_STAGE // len(names),
     )
     counts = F.array(
@@ -108,7 +108,7 @@ def json_field_types(df: DataFrame, json_col: str) -> DataFrame:
     )
 
 
-def _shape(c: str) -> Mapping[str, Column]:
+def _shape(_: DataFrame, c: str) -> Mapping[str, Column]:
     v = ref(c).cast("double")
     return {
         "n": F.count(v),

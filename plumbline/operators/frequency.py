@@ -89,7 +89,7 @@ def unique_counts(
         return per_column(
             clean,
             columns,
-            lambda c: {"unique_count": F.approx_count_distinct(groupable(clean, c))},
+            lambda d, c: {"unique_count": F.approx_count_distinct(groupable(d, c))},
         ).select("column_name", "unique_count")
     counted = union_all(
         [

@@ -19,15 +19,16 @@ from plumbline.functions.columns import (
 )
 from plumbline.functions.frames import (
     HEAVY_COLUMNS_PER_STAGE,
-    LIGHT_COLUMNS_PER_STAGE,
     local_frame,
     number_text,
     per_column,
     rate,
     union_all,
 )
+from plumbline.operators.duplicates import duplicate_rows
 from plumbline.operators.frequency import class_balance, label_distribution, top_values, unique_counts
 from plumbline.operators.quantiles import GATHER_LIMIT, quantiles
+from plumbline.operators.rule_data import Limits, count_broken
 
 COLUMN_PROFILE = T.StructType(
     [
@@ -58,31 +59,6 @@ def table_shape(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame, digest: bool = False) -> DataFrame:
-    """Rows equal on all columns to another row, the first of each not counted.
-
-    The group-by keeps NULLs equal and sums copies before the shuffle.  With
-    ``digest`` a 128-bit row hash is shuffled instead of the row: far less
-    traffic on wide rows, with a collision chance below 1e-14 at 1e12 rows.
-    """
-    clean = normalise_missing(df)
-    keys = [groupable(clean, c) for c in clean.columns]
-    if digest:
-        nulls = F.array(*[ref(c).isNull() for c in clean.columns])
-        keys = [
-            F.xxhash64(F.lit(seed), nulls, *keys).alias(f"digest{seed}") for seed in (1, 2)
-        ]
-    groups = clean.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
-    rows = F.coalesce(F.sum("cnt"), F.lit(0))
-    return groups.agg(
-        rows.cast("bigint").alias("row_count"),
-        F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),
-        rate(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)), rows).alias("duplicate_rate"),
-    )
-
-
 def table_profile(df: DataFrame, digest: bool = False) -> DataFrame:
     return duplicate_rows(df, digest).select(
         "row_count",
@@ -110,7 +86,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Missing cells (NULL or NaN) of each column."""
     columns = list(df.columns if columns is None else columns)
     require_columns(df, columns)
-    counted = per_column(df, columns, lambda c: {"null_count": F.count_if(is_missing(df, c))})
+    counted = per_column(df, columns, lambda d, c: {"null_count": F.count_if(is_missing(d, c))})
     return counted.select(
         "column_name", "null_count", rate(F.col("null_count"), F.col("row_count")).alias("null_rate")
     )
@@ -136,25 +112,13 @@ def outlier_fences(quartiles: Mapping[str, Sequence[float | None]]) -> dict[str,
     return fences
 
 
-def _outlier_count(c: str, fences: Mapping[str, tuple[float, float]]) -> Column:
-    if c not in fences:
-        return F.lit(0).cast("bigint")
-    low, high = fences[c]
-    v = ref(c).cast("double")
-    return F.count_if((v < F.lit(low)) | (v > F.lit(high)))
-
-
 def _outlier_counts(
     clean: DataFrame, columns: Sequence[str], fences: Mapping[str, tuple[float, float]]
 ) -> dict[str, int]:
     fenced = [c for c in columns if c in fences]
-    counts = dict.fromkeys(columns, 0)
-    if fenced:
-        for r in per_column(
-            clean, fenced, lambda c: {"n": _outlier_count(c, fences)}, LIGHT_COLUMNS_PER_STAGE
-        ).collect():
-            counts[r.column_name] = r.n
-    return counts
+    limits = [(i, c, Limits("real", *fences[c])) for i, c in enumerate(fenced)]
+    found = count_broken(clean, limits, []).first()["counts"] if fenced else {}
+    return dict.fromkeys(columns, 0) | {c: found.get(i, 0) for i, c in enumerate(fenced)}
 
 
 def _moments_and_quartiles(
@@ -165,7 +129,7 @@ def _moments_and_quartiles(
     facts = {
         r.column_name: r.asDict()
         for r in per_column(
-            clean, columns, lambda c: _moments(clean, c), HEAVY_COLUMNS_PER_STAGE
+            clean, columns, _moments, HEAVY_COLUMNS_PER_STAGE
         ).collect()
     }
     counts = {c: facts[c]["non_null"] for c in columns}
@@ -227,24 +191,13 @@ def iqr_outliers(
     quartiles = quantiles(
         clean, columns, (0.25, 0.75), gather_limit=gather_limit, approx=approx
     )
-    fences = outlier_fences(quartiles)
-    return per_column(
-        clean, columns, lambda c: {"outlier_count": _outlier_count(c, fences)}
-    ).select(
-        "column_name",
-        _by_column({c: q[0] for c, q in quartiles.items()}).alias("q25"),
-        _by_column({c: q[1] for c, q in quartiles.items()}).alias("q75"),
-        "outlier_count",
-    )
-
-
-def _by_column(values: Mapping[str, float | None]) -> Column:
-    """A per-column constant looked up by column_name."""
-    chosen = F.lit(None).cast("double")
-    for c, v in values.items():
-        if v is not None:
-            chosen = F.when(F.col("column_name") == F.lit(c), F.lit(float(v))).otherwise(chosen)
-    return chosen
+    outliers = _outlier_counts(clean, columns, outlier_fences(quartiles))
+    rows = [
+        {"column_name": c, "q25": low, "q75": high, "outlier_count": outliers[c]}
+        for c, (low, high) in quartiles.items()
+    ]
+    wanted = ("column_name", "q25", "q75", "outlier_count")
+    return local_frame(df.sparkSession, rows, T.StructType([COLUMN_PROFILE[c] for c in wanted]))
 
 
 def column_profile(df: DataFrame, approx: bool = False, gather_limit: int = GATHER_LIMIT) -> DataFrame:
@@ -292,7 +245,7 @@ def redundant_columns(df: DataFrame) -> DataFrame:
         F.col("constant") & (F.col("null_count") == 0), F.lit("constant")
     )
     return (
-        per_column(clean, clean.columns, lambda c: redundancy_metrics(clean, c))
+        per_column(clean, clean.columns, redundancy_metrics)
         .withColumn("reason", reason)
         .filter(F.col("reason").isNotNull())
         .select("column_name", "null_count", "reason")

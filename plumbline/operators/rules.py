@@ -1,4 +1,4 @@
-"""Rule checks: every row-level rule becomes a Column, up to 64 of them are counted in one scan.
+"""Rule checks: limits are counted as data in one scan; patterns and expressions become Columns.
 
 Choices on the meaning of the rules:
 
@@ -16,10 +16,11 @@ Choices on the meaning of the rules:
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -32,8 +33,19 @@ from plumbline.functions.columns import (
     normalise_missing,
     ref,
 )
-from plumbline.functions.frames import local_frame, rate, union_all
+from plumbline.functions.frames import local_frame, rate
 from plumbline.functions.parsing import parse
+from plumbline.operators.rule_data import (
+    ROWS,
+    Limits,
+    as_data,
+    count_broken,
+    listed_limits,
+    number_literal,
+    real_limits,
+    slot_of,
+    whole_limits,
+)
 from plumbline.sources.rules import (
     SemanticRule,
     SyntacticRule,
@@ -83,8 +95,9 @@ STORED = "__stored_row__"
 # A character that is in no rule id.
 ID_SEPARATOR = "\u0001"
 
-# Rules per stage, see frames.per_column; counting a condition is cheap.
-RULES_PER_STAGE = 64
+# Conditions that are Columns are counted together up to this number; more of them
+# outgrow what the JVM compiles as one method.
+CONDITIONS_PER_SCAN = 64
 
 
 @dataclass(frozen=True)
@@ -94,9 +107,20 @@ class CompiledRule:
     rule_type: str
     description: str
     status: str
-    failed: Column | None = None
+    condition: Column | None = None
     # Only for dtype: a single failure taints all of these rows.
     tainted: Column | None = None
+    # A rule on single values, where their type allows it, in place of a condition.
+    limits: Limits | None = None
+
+    @cached_property
+    def failed(self) -> Column | None:
+        """True for rows that break the rule; None for a rule that cannot run."""
+        return self.condition if self.limits is None else self.limits.broken(ref(self.field))
+
+    @property
+    def runnable(self) -> bool:
+        return self.condition is not None or self.limits is not None
 
 
 class NotRunnable(Exception):
@@ -110,7 +134,7 @@ def _number(value) -> bool:
 def _as_literal(value, dtype: T.DataType) -> Column | None:
     """The rule value as a literal comparable with the column, None if it has the wrong class."""
     if isinstance(dtype, T.NumericType) and _number(value):
-        return F.lit(value)
+        return number_literal(value)
     if isinstance(dtype, T.StringType) and isinstance(value, str):
         return F.lit(value)
     if isinstance(dtype, T.BooleanType) and isinstance(value, bool):
@@ -136,23 +160,30 @@ def _bounds(spec) -> tuple:
     return spec.get("min"), spec.get("max")
 
 
-def _range(value: Column, dtype: T.DataType, spec) -> Column:
-    tests = []
-    for bound, outside in zip(_bounds(spec), (Column.__lt__, Column.__gt__), strict=True):
-        if bound is None:
-            continue
-        literal = _as_literal(bound, dtype)
-        if literal is None:
-            raise NotRunnable("type_mismatch")
-        tests.append(outside(value, literal))
-    return reduce(or_, tests, F.lit(False))
-
-
-def _enum(value: Column, dtype: T.DataType, spec) -> Column:
+def _range(value: Column, dtype: T.DataType, spec) -> Column | Limits:
+    low, high = _bounds(spec)
+    literals = [None if b is None else _as_literal(b, dtype) for b in (low, high)]
+    if any(b is not None and x is None for b, x in zip((low, high), literals)):
+        raise NotRunnable("type_mismatch")
+    slot = slot_of(dtype)
+    if slot == "whole":
+        return whole_limits(slot, low, high)
+    if slot == "real":
+        return real_limits(low, high)
+    if slot == "text":
+        return Limits(slot, low, high)
+    outside = (Column.__lt__, Column.__gt__)
+    return reduce(or_, [test(value, x) for test, x in zip(outside, literals) if x is not None], F.lit(False))
+
+
+def _enum(value: Column, dtype: T.DataType, spec) -> Column | Limits:
     if not isinstance(spec, (list, tuple, set, frozenset)):
         raise NotRunnable("invalid_specification")
-    allowed = [a for a in (_as_literal(v, dtype) for v in spec) if a is not None]
-    return ~value.isin(allowed) if allowed else value.isNotNull()
+    known = [(v, x) for v, x in ((v, _as_literal(v, dtype)) for v in spec) if x is not None]
+    slot = slot_of(dtype)
+    if slot is not None:
+        return listed_limits(slot, [v for v, _ in known])
+    return ~value.isin([x for _, x in known]) if known else value.isNotNull()
 
 
 def java_pattern(pattern: str) -> str:
@@ -197,15 +228,11 @@ def _format(df: DataFrame, value: Column, spec) -> Column:
     return ~value.cast("string").rlike(pattern)
 
 
-def _length(value: Column, spec) -> Column:
+def _length(spec) -> Limits:
     low, high = _bounds(spec)
     if any(b is not None and not _number(b) for b in (low, high)):
         raise NotRunnable("invalid_specification")
-    length = F.length(value.cast("string"))
-    tests = [length < F.lit(low)] if low is not None else []
-    if high is not None:
-        tests.append(length > F.lit(high))
-    return reduce(or_, tests, F.lit(False))
+    return whole_limits("length", low, high)
 
 
 def _dtype(df: DataFrame, value: Column, dtype: T.DataType, spec) -> Column:
@@ -224,11 +251,12 @@ def _dtype(df: DataFrame, value: Column, dtype: T.DataType, spec) -> Column:
 
 
 def compile_rule(df: DataFrame, rule: SyntacticRule, rule_id: str) -> CompiledRule:
-    """A rule as a Column that is true for rows that break it."""
+    """A rule as limits of its field, or as a Column that is true for rows that break it."""
 
-    def compiled(status: str, failed: Column | None = None, tainted: Column | None = None):
+    def compiled(status: str, failed: Column | Limits | None = None, tainted: Column | None = None):
+        condition, limits = (None, failed) if isinstance(failed, Limits) else (failed, None)
         return CompiledRule(
-            rule_id, rule.field, rule.rule_type, rule.description, status, failed, tainted
+            rule_id, rule.field, rule.rule_type, rule.description, status, condition, tainted, limits
         )
 
     if rule.field not in df.columns:
@@ -242,11 +270,11 @@ def compile_rule(df: DataFrame, rule: SyntacticRule, rule_id: str) -> CompiledRu
         if rule.rule_type == "format":
             return compiled("ok", _format(df, value, spec))
         if rule.rule_type == "length":
-            return compiled("ok", _length(value, spec))
+            return compiled("ok", _length(spec))
         if rule.rule_type == "dtype":
             return compiled("ok", _dtype(df, value, dtype, spec), value.isNotNull())
         if rule.rule_type == "not_null":
-            return compiled("ok", value.isNull())
+            return compiled("ok", Limits("missing"))
     except NotRunnable as e:
         return compiled(str(e))
     return compiled("unsupported_rule")
@@ -368,19 +396,57 @@ def with_rates(results: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
+_RULE = "array<struct<number:int,tainted:int,rule_id:string,field:string,rule_type:string,status:string,description:string>>"
+
+
 def count_rules(clean: DataFrame, compiled: Sequence[CompiledRule]) -> DataFrame:
-    """Count all compiled rules over the table, in one scan for every RULES_PER_STAGE rules.
+    """Count all compiled rules over the table, in their order.
 
-    More conditions in one scan outgrow what the JVM compiles as one method; one
-    scan that counted bit masks took six times as long at 197 rules.
+    Rules with limits share one scan, whatever their number.  Conditions are counted
+    in it as well, those beyond CONDITIONS_PER_SCAN in scans of their own.
     """
     if not compiled:
         return local_frame(clean.sparkSession, [], RULE_RESULTS)
-    parts = []
-    for group in chunks(list(compiled), RULES_PER_STAGE):
-        counted = clean.agg(*[m.alias(k) for k, m in rule_metrics(group).items()])
-        parts.append(result_rows(counted, group))
-    return union_all(parts)
+    limits = [(i, c.field, c.limits) for i, c in enumerate(compiled) if as_data(c.limits)]
+    conditions = [(i, c.failed) for i, c in enumerate(compiled) if c.runnable and not as_data(c.limits)]
+    # The rows that a failure taints are counted as a rule of their own.
+    tainted = {i: len(compiled) + i for i, c in enumerate(compiled) if c.tainted is not None}
+    conditions += [(number, compiled[i].tainted) for i, number in tainted.items()]
+    groups = chunks(conditions, CONDITIONS_PER_SCAN) or [[]]
+    counted = count_broken(clean, limits, groups[0])
+    for group in groups[1:]:
+        more = count_broken(clean, [], group).select(F.map_filter("counts", lambda k, _: k != ROWS).alias("more"))
+        counted = counted.withColumn("counts", F.map_concat("counts", more.select("more").scalar()))
+    listed = [
+        {
+            "number": i if c.runnable else None,
+            "tainted": tainted.get(i),
+            "rule_id": c.rule_id,
+            "field": c.field,
+            "rule_type": c.rule_type,
+            "status": c.status,
+            "description": c.description,
+        }
+        for i, c in enumerate(compiled)
+    ]
+    rules = F.from_json(F.lit(json.dumps(listed)), _RULE)
+    rows = counted.select("counts", F.inline(rules))
+
+    def count_of(number: str) -> Column:
+        return F.when(F.col(number).isNotNull(), F.coalesce(F.try_element_at("counts", F.col(number)), F.lit(0)))
+
+    found = rows.withColumns(
+        {
+            "failed_values": count_of("number"),
+            "total": F.when(F.col("number").isNotNull(), F.coalesce(F.try_element_at("counts", F.lit(ROWS)), F.lit(0))),
+        }
+    )
+    violations = (
+        F.when(F.col("tainted").isNull(), F.col("failed_values"))
+        .when(F.col("failed_values") > 0, count_of("tainted"))
+        .otherwise(F.lit(0).cast("bigint"))
+    )
+    return with_rates(found.withColumn("violations", violations))
 
 
 def check_rules(df: DataFrame, rules: DataFrame | Sequence[SyntacticRule]) -> DataFrame:
@@ -391,7 +457,7 @@ def check_rules(df: DataFrame, rules: DataFrame | Sequence[SyntacticRule]) -> Da
 
 def not_runnable(compiled: Sequence[CompiledRule]) -> None:
     """Raises for rules that cannot run, whose rows would be missing without a word."""
-    idle = [f"{c.rule_id} ({c.status})" for c in compiled if c.failed is None]
+    idle = [f"{c.rule_id} ({c.status})" for c in compiled if not c.runnable]
     if idle:
         raise ValueError(f"rules that cannot run: {', '.join(idle)}")
 
@@ -412,7 +478,7 @@ def violating_rows(
     compiled = compile_all(clean, rules, row_rules)
     if not skip_idle:
         not_runnable(compiled)
-    runnable = [c for c in compiled if c.failed is not None]
+    runnable = [c for c in compiled if c.runnable]
     # Joining and splitting text skips NULLs in generated code, which array functions do not.
     ids = [F.when(c.failed, F.lit(c.rule_id)) for c in runnable]
     listed = F.split(F.concat_ws(ID_SEPARATOR, *ids), ID_SEPARATOR)

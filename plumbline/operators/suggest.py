@@ -30,7 +30,7 @@ def _suggestion(frame: DataFrame, rule_type: str, specification: Column, why: Co
 
 
 def _bounds(df: DataFrame, columns: list[str], value) -> DataFrame:
-    def metrics(c: str) -> Mapping[str, Column]:
+    def metrics(_: DataFrame, c: str) -> Mapping[str, Column]:
         return {"low": F.min(value(c)), "high": F.max(value(c))}
 
     return per_column(df, columns, metrics).filter(F.col("low").isNotNull())
@@ -65,7 +65,7 @@ def suggest_rules(df: DataFrame, max_enum: int = 20) -> DataFrame:
         rough = per_column(
             clean,
             texts,
-            lambda c: {"n": F.approx_count_distinct(ref(c))},
+            lambda _, c: {"n": F.approx_count_distinct(ref(c))},
             HEAVY_COLUMNS_PER_STAGE * 2,
         )
         few = [r.column_name for r in rough.collect() if r.n <= max_enum * 1.5 + 10]
@@ -99,7 +99,7 @@ def suggest_rules(df: DataFrame, max_enum: int = 20) -> DataFrame:
             )
         )
 
-    full = per_column(clean, clean.columns, lambda c: {"n": F.count(ref(c))}).filter(
+    full = per_column(clean, clean.columns, lambda _, c: {"n": F.count(ref(c))}).filter(
         (F.col("n") == F.col("row_count")) & (F.col("n") > 0)
     )
     parts.append(_suggestion(full, "not_null", F.lit("true"), F.lit("no missing value seen")))

@@ -13,28 +13,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import (
-    chunks,
     datetime_columns,
     label_column,
     normalise_missing,
     numeric_columns,
+    quoted,
     ref,
     string_columns,
 )
-from plumbline.functions.frames import local_frame, rate, run_together
-from plumbline.operators.completeness import completeness_metrics, labelled
+from plumbline.functions.frames import local_frame, per_column, rate, run_together
+from plumbline.operators.completeness import labelled
 from plumbline.operators.consistency import distribution_stats, value_class_counts
 from plumbline.operators.currentness import currentness_band, metadata_age
 from plumbline.operators.diversity import component_richness
 from plumbline.operators.frequency import label_distribution
-from plumbline.operators.profile import duplicate_rows, iqr_outliers, redundancy_metrics
-from plumbline.operators.rules import (
-    RULE_RESULTS,
-    CompiledRule,
-    compile_all,
-    result_rows,
-    rule_metrics,
-)
+from plumbline.operators.duplicates import duplicate_rows
+from plumbline.operators.profile import iqr_outliers, redundancy_metrics
+from plumbline.operators.rules import RULE_RESULTS, compile_all, count_rules
 from plumbline.operators.semantic import ROW_RULES, check_semantic_rules
 from plumbline.plans.catalogue import DIMENSIONS
 from plumbline.plans.config import EvaluationConfig
@@ -127,23 +122,10 @@ def _mean(values) -> float | None:
     return sum(values) / len(values) if values else None
 
 
-def _scan(clean: DataFrame, metrics: Mapping[str, Column], per_stage: int = 64) -> dict:
-    found: dict = {}
-    for group in chunks(list(metrics), per_stage):
-        found |= clean.agg(*[metrics[k].alias(k) for k in group]).first().asDict()
-    return found
-
-
-def _scan_metrics(
-    clean: DataFrame, config: EvaluationConfig, compiled: list[CompiledRule], label: str | None
-) -> dict[str, Column]:
-    """All that one scan without a shuffle can tell: cells, rules, labels, ages."""
-    metrics = dict(rule_metrics(compiled))
-    metrics |= {"complete_rows": completeness_metrics(clean)["complete_rows"]}
-    for i, c in enumerate(clean.columns):
-        redundancy = redundancy_metrics(clean, c)
-        metrics[f"null_{i}"] = redundancy["null_count"]
-        metrics[f"same_{i}"] = redundancy["constant"]
+def _scan_metrics(clean: DataFrame, config: EvaluationConfig, label: str | None) -> dict[str, Column]:
+    """What one scan tells about whole rows, labels and ages."""
+    filled = f"NOT array_contains(array({', '.join(f'{quoted(c)} IS NULL' for c in clean.columns)}), true)"
+    metrics = {"row_count": F.count(F.lit(1)), "complete_rows": F.count_if(F.expr(filled if clean.columns else "true"))}
     if label is not None:
         metrics["labelled_rows"] = F.count_if(labelled(clean, label, config.unlabeled_values))
     if config.event_time is not None:
@@ -198,7 +180,9 @@ def gather(
 
     numeric = numeric_columns(df)
     tasks = {
-        "scan": lambda: _scan(clean, _scan_metrics(clean, config, compiled, label)),
+        "scan": lambda: clean.agg(*[m.alias(k) for k, m in _scan_metrics(clean, config, label).items()]).first().asDict(),
+        "cells": lambda: per_column(clean, clean.columns, redundancy_metrics).collect() if clean.columns else [],
+        "checked": lambda: count_rules(clean, compiled).collect(),
         "duplicates": lambda: duplicate_rows(clean).first()["duplicate_rows"],
     }
     if numeric:
@@ -217,14 +201,9 @@ def gather(
     done = run_together(spark, tasks)
     seen = done["scan"]
     rows = seen["row_count"]
-    nulls = {c: seen[f"null_{i}"] for i, c in enumerate(clean.columns)}
-
-    counted = local_frame(
-        spark,
-        [{k: v for k, v in seen.items() if k in rule_metrics(compiled)}],
-        T.StructType([T.StructField(k, T.LongType()) for k in rule_metrics(compiled)]),
-    )
-    results = [r.asDict() for r in result_rows(counted, compiled).collect()] if compiled else []
+    cells = {r.column_name: r for r in done["cells"]}
+    nulls = {c: cells[c].null_count for c in clean.columns}
+    results = [r.asDict() for r in done["checked"]]
     is_expected = {f"expected:{i}" for i in range(1, len(expected) + 1)}
     expected_results = [r for r in results if r["rule_id"] in is_expected]
     results = [r for r in results if r["rule_id"] not in is_expected]
@@ -276,7 +255,7 @@ def gather(
         if config.dictionary
         else None,
         "redundant_columns": sum(
-            nulls[c] == rows or (bool(seen[f"same_{i}"]) and nulls[c] == 0)
+            nulls[c] == rows or (cells[c].constant and nulls[c] == 0)
             for i, c in enumerate(clean.columns)
         ),
         "dated_rows": seen.get("dated_rows"),

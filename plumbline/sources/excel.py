@@ -141,7 +141,7 @@ def _inferred(texts: DataFrame) -> DataFrame:
         *[F.struct(ref(c).alias("v"), value_class(ref(c)).alias("k")).alias(c) for c in texts.columns]
     )
 
-    def metrics(c: str):
+    def metrics(_: DataFrame, c: str):
         counts = {k: F.count_if(ref(c)["k"] == F.lit(k)) for k in VALUE_CLASSES}
         return counts | {"given": F.count(ref(c)["v"]), "fits": F.count(ref(c)["v"].try_cast("bigint"))}
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import plumbline as pl
+from plumbline.operators import duplicates
+from plumbline.operators.duplicates import digest_groups
 from workloads.tables import load
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -24,7 +26,7 @@ def test_top_values_are_cut_before_the_shuffle(lineitem):
 
 
 def test_counts_are_summed_before_the_shuffle(lineitem):
-    for df in (pl.value_frequency(lineitem), pl.duplicate_rows(lineitem), pl.label_distribution(lineitem, "l_returnflag")):
+    for df in (pl.value_frequency(lineitem), digest_groups(lineitem), pl.label_distribution(lineitem, "l_returnflag")):
         assert "partial_count(1)" in plan(df)
 
 
@@ -51,10 +53,11 @@ def test_constant_columns_stay_in_a_hash_aggregate(lineitem):
     assert "HashAggregate" in text and "SortAggregate" not in text
 
 
-def test_digest_keeps_rows_out_of_the_shuffle(lineitem):
-    text = plan(pl.duplicate_rows(lineitem, digest=True))
+def test_digests_keep_rows_out_of_the_shuffle(lineitem):
+    text = plan(digest_groups(lineitem))
     keys = text[text.index("Exchange hashpartitioning(") :].split("\n")[0]
-    assert "l_" not in keys
+    assert "l_" not in keys and "digest1" in keys
+    assert text.count("Exchange") == 1
 
 
 def test_hot_group_of_copies(spark):
@@ -65,3 +68,23 @@ def test_hot_group_of_copies(spark):
         assert pl.duplicate_rows(df, digest).first().duplicate_rows == 2999
     top = pl.top_values(df, k=1).first()
     assert (top.value, top.cnt) == ("copy", 3000)
+
+
+def test_equal_hashes_of_unequal_rows_are_told_apart(spark, monkeypatch):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (None, "b"), (None, "b"), (None, None), (None, None), (3, "c")]
+    df = spark.createDataFrame(rows, "i int, s string")
+    monkeypatch.setattr(duplicates, "row_digest", lambda _, seed: f"CAST({seed} AS bigint)")
+    assert pl.duplicate_rows(df).first().duplicate_rows == 3
+    assert pl.duplicate_rows(df, digest=True).first().duplicate_rows == 7
+    monkeypatch.setattr(duplicates, "BROADCAST_HASHES", 0)
+    assert pl.duplicate_rows(df).first().duplicate_rows == 3
+
+
+def test_a_thousand_rules_are_one_scan(lineitem):
+    kinds = [("range", {"min": 0, "max": 10}), ("not_null", True), ("length", {"max": 3}), ("enum", [1, 2])]
+    columns = ["l_orderkey", "l_quantity", "l_linenumber", "l_tax"]
+    rules = [pl.SyntacticRule(c, *kind) for c in columns for kind in kinds] * 62
+    rules += [pl.SyntacticRule("l_shipmode", "enum", ["AIR", "RAIL"]), pl.SyntacticRule("l_comment", "format", "[a-z]")]
+    few, many = (plan(pl.check_rules(lineitem, r)) for r in (rules[-18:], rules))
+    assert len(rules) == 994 and many.count("FileScan") == 1 and many.count("\n") == few.count("\n")
+    assert "hashpartitioning(rule" in many and "BroadcastNestedLoopJoin" not in many
