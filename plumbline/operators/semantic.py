@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.columns import TEMPORAL_TYPES, dtype_of, normalise_missing, ref, require_columns
 from plumbline.functions.frames import local_frame, union_all
@@ -93,6 +94,51 @@ def _seams(compared: DataFrame, key_names: list[str], names: list[str]) -> DataF
     return parts.select("broken", "head", F.coalesce(below, F.lit(False)).alias("seam"))
 
 
+# Buckets that a hot key is cut into along its order, and items that a sketch of keys holds.
+BUCKETS, SKETCHED = 64, 4096
+
+
+@dataclass(frozen=True)
+class _Layout:
+    """What one scan tells about the rows of a temporal rule."""
+
+    total: int
+    hot: list[int]  # hashes of keys with more rows than a task should get
+    bounds: list[float]  # of buckets along the first order column
+    repeated: bool  # a position that many rows share
+
+
+def _place(df: DataFrame, name: str) -> Column:
+    """A number that never falls where the column rises; text by its first bytes."""
+    dtype, value = dtype_of(df, name), ref(name)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return value.cast("double")
+    if isinstance(dtype, TEMPORAL_TYPES):
+        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        padded = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(padded, 16, 10).cast("double")
+    return F.lit(0.0)
+
+
+def _layout(rows: DataFrame, key: Column, position: Column, place: Column, complete: Column, parts: int) -> _Layout:
+    def heavy(value: Column) -> Column:
+        return F.call_function("approx_top_k", F.when(complete, value), F.lit(4 * parts), F.lit(max(SKETCHED, 16 * parts)))
+
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    sketch = F.kll_sketch_agg_double(F.when(complete, place), 400)
+    seen = rows.agg(
+        F.count(F.lit(1)).alias("total"),
+        heavy(key).alias("keys"),
+        heavy(position).alias("positions"),
+        F.when(F.count_if(complete & place.isNotNull()) > 0, F.kll_sketch_get_quantile_double(sketch, shares)).alias("bounds"),
+    ).first()
+    least = seen["total"] / (4 * parts)
+    hot = [x["item"] for x in seen["keys"] if x["item"] is not None and x["count"] > least]
+    repeated = any(x["item"] is not None and x["count"] > least for x in seen["positions"])
+    return _Layout(seen["total"], hot, sorted(set(seen["bounds"] or ())), repeated)
+
+
 def temporal_violations(
     df: DataFrame,
     field: str,
@@ -104,17 +150,53 @@ def temporal_violations(
 
     Rows without a key, order or field value are not compared.  Ties in the
     order are ordered by the field, so of rows equal in all three the first can
-    break the order at most.  ``partitions`` is the number of ranges, by default
-    that of shuffle partitions.
+    break the order at most.  ``partitions`` is the number of tasks to share the
+    rows, by default that of shuffle partitions.
+
+    Rows are shuffled once, by key and bucket.  Only hot keys, which a sketch
+    finds, have several buckets; their bounds along the order are those of another
+    sketch.  Both only decide where rows go.  Inside a bucket, the least field of an
+    order is compared with the greatest of the order before, and buckets are
+    compared on one row each.  Where many rows share one position, they are merged
+    before that shuffle.
     """
-    compared, key_names, names = _compared_positions(df, field, key_columns, order_columns, partitions)
-    total = df.agg(F.count(F.lit(1))).scalar()
-    found = F.coalesce(F.sum("broken"), F.lit(0)) + F.count_if(F.col("seam"))
-    return (
-        _seams(compared, key_names, names)
-        .agg(found.cast("bigint").alias("violations"))
-        .withColumn("total", total)
+    n = partitions or int(df.sparkSession.conf.get(RANGE_PARTITIONS))
+    keys = [f"key{i}" for i in range(len(key_columns))]
+    orders = [f"order{i}" for i in range(len(order_columns))]
+    clean = normalise_missing(df)
+    named = zip([*key_columns, *order_columns, field], [*keys, *orders, "field"])
+    rows = clean.select(*[ref(c).alias(name) for c, name in named])
+    complete = reduce(and_, [F.col(c).isNotNull() for c in rows.columns])
+    key, place = F.xxhash64(*keys), _place(rows, "order0")
+    layout = _layout(rows, key, F.xxhash64(*keys, *orders), place, complete, n)
+    bucket = F.lit(0)
+    if layout.hot and layout.bounds:
+        bounds = F.array(*map(F.lit, layout.bounds))
+        bucket = F.when(key.isin(layout.hot), 1 + F.size(F.filter(bounds, lambda x: x <= place))).otherwise(0)
+    least, greatest = F.min("field").alias("least"), F.max("field").alias("greatest")
+    shared = rows.filter(complete).withColumn("bucket", bucket)
+    if layout.repeated:
+        shared = shared.groupBy(*keys, "bucket", *orders).agg(least, greatest).repartition(n, *keys, "bucket")
+    else:
+        shared = shared.repartition(n, *keys, "bucket").groupBy(*keys, "bucket", *orders).agg(least, greatest)
+    before = F.lag("greatest").over(Window.partitionBy(*keys, "bucket").orderBy(*orders))
+    compared = shared.withColumn("broken", F.col("least") < before)
+    order = F.struct(*orders)
+    by_bucket = compared.groupBy(*keys, "bucket").agg(
+        F.count_if("broken").alias("broken"),
+        F.min(F.struct(order.alias("order"), "least")).getField("least").alias("least"),
+        F.max(F.struct(order.alias("order"), "greatest")).getField("greatest").alias("greatest"),
     )
+    # A bounded number of hot keys has a bounded number of buckets.
+    edge = F.when(F.col("bucket") > 0, F.struct(F.struct(*keys).alias("key"), "bucket", "least", "greatest"))
+    found = by_bucket.agg(F.sum("broken").alias("broken"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    def below(x: Column, i: Column) -> Column:
+        previous = F.get("edges", i - 1)
+        return (x["key"] == previous["key"]) & (x["least"] < previous["greatest"])
+
+    seams = F.filter("edges", below)
+    violations = F.coalesce("broken", F.lit(0)) + F.size(seams)
+    return found.select(violations.cast("bigint").alias("violations"), F.lit(layout.total).cast("bigint").alias("total"))
 
 
 def temporal_violating_rows(

@@ -88,3 +88,10 @@ def test_a_thousand_rules_are_one_scan(lineitem):
     few, many = (plan(pl.check_rules(lineitem, r)) for r in (rules[-18:], rules))
     assert len(rules) == 994 and many.count("FileScan") == 1 and many.count("\n") == few.count("\n")
     assert "hashpartitioning(rule" in many and "BroadcastNestedLoopJoin" not in many
+
+
+def test_temporal_rules_shuffle_their_rows_once(spark, lineitem):
+    counted = pl.temporal_violations(lineitem, "l_shipdate", ["l_orderkey"], ["l_linenumber"])
+    text = plan(counted)
+    assert text.count("hashpartitioning(") == 1 and "rangepartitioning" not in text
+    assert text.count("FileScan") == 1

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plumbline as pl
+from plumbline.operators import semantic
 from plumbline.operators.semantic import temporal_violations
 
 M = pl.SemanticRule
@@ -65,11 +66,32 @@ def test_temporal_against_plain_python_with_a_hot_key(spark, partitions):
     assert (found.violations, found.total) == (expected, 3000)
 
 
-def test_temporal_never_partitions_by_the_key(spark):
-    df = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("seq"), F.col("id").alias("v"))
+def test_temporal_cuts_a_hot_key_into_buckets(spark):
+    df = spark.range(10000).select(F.floor(F.col("id") / 10000).alias("k"), F.col("id").alias("seq"), F.col("id").alias("v"))
     plan = pl.temporal_violations(df, "v", ["k"], ["seq"], 4)._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" in plan and "hashpartitioning(part" in plan
-    assert "hashpartitioning(key0" not in plan
+    assert "hashpartitioning(key0" in plan and plan.count("hashpartitioning(") == 1
+    columns = [F.col("id").alias("key0"), (F.col("id") / 2).alias("order0")]
+    layout = semantic._layout(df.select(F.lit(1).alias("key0"), F.col("seq").alias("order0")), F.xxhash64("key0"), F.xxhash64("key0", "order0"), F.col("order0").cast("double"), F.lit(True), 4)
+    assert len(layout.hot) == 1 and len(layout.bounds) == semantic.BUCKETS - 1 and not layout.repeated
+    even = spark.range(10000).select(*columns)
+    assert not semantic._layout(even, F.xxhash64("key0"), F.xxhash64(*even.columns), F.col("order0"), F.lit(True), 4).hot
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "double", "decimal(30,2)", "boolean"])
+def test_places_never_fall(spark, kind):
+    ids = spark.range(-40, 400, 7).select(F.col("id").cast("int").alias("id"))
+    values = {
+        "string": F.concat(F.lit("é"), F.col("id").cast("string")),
+        "date": F.date_add(F.lit("2000-01-01").cast("date"), F.col("id")),
+        "timestamp": F.timestamp_seconds(F.col("id") * 86400.0),
+        "boolean": F.col("id") > 9,
+    }
+    df = ids.select(values.get(kind, F.col("id").cast(kind)).alias("order0"))
+    rows = df.orderBy("order0").select("order0", semantic._place(df, "order0").alias("place")).collect()
+    places = [r.place for r in rows]
+    assert places == sorted(places) and None not in places
+    keyed = df.withColumn("k", F.lit("x")).withColumn("v", F.lit(1))
+    assert temporal_violations(keyed, "v", ["k"], ["order0"], 2).first().violations == 0
 
 
 def test_referential_with_hot_and_null_keys(spark):
@@ -138,6 +160,5 @@ def test_violating_rows_of_temporal_rules_are_brute_force(spark, partitions):
 def test_tied_hot_key_is_merged_before_the_shuffle(spark):
     df = spark.range(20000).select(F.lit("hot").alias("k"), (F.col("id") % 7).alias("o"), F.lit(1).alias("v"))
     text = temporal_violations(df, "v", ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
-    ranges = text.index("Exchange rangepartitioning")
-    assert "HashAggregate" in text[ranges:]
+    assert "partial_min(" in text[text.rindex("Exchange hashpartitioning") :]
     assert temporal_violations(df, "v", ["k"], ["o"]).first().violations == 0
