@@ -11,91 +11,83 @@ frequent pairs, of bounded size; the rest are joined.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.llm.packing import byte_of_sign
 from plumbline.llm.shared import written
+from plumbline.llm.token_counts import PATTERN
 
 #: Ends that one piece of a merge has.
 WORK = 1 << 16
 #: Texts and characters that are encoded together.
 ROWS, CHARACTERS = 1000, 500_000
-#: Chunks of a generation whose ids a task remembers.
-KNOWN_CHUNKS = 60_000
 #: The most frequent pairs, looked up in a broadcast table; all others are joined.
 FREQUENT_PAIRS = 200_000
-#: A pair of ids is one number: the id of A times this, plus the id of B.
-PAIR = 1 << 32
-#: Text is encoded in chunks that begin at a space after something else than white space.
-_CHUNK = re.compile(r"(?<=\S)(?= )")
+#: A pair of ids is one number: the id of A times this, plus the id of B.  Ids are below it.
+PAIR = 1 << 24
 # How the piece model writes a space and a byte.
 _SPACE, _BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
+# Texts in which Unicode's classes of signs are the same in all versions.
+_SETTLED = re.compile(r"[\x00-\u024f\u0400-\u04ff\u2000-\u206f]*")
 
 _ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 
 
-def _byte_of_sign() -> dict[str, int]:
-    """Bytes by the signs that byte-level vocabularies write them with: printable ones as they are, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Encoders:
-    """Both tokenizers and the chunks that they have encoded.
+    """Both tokenizers, the bytes of their tokens, and the texts of their ids in groups.
 
-    Tokens of A never cross the place where a space follows something else, and no
-    piece of B has a space inside, so a text's ids are those of its chunks in turn.
+    A is a byte-level BPE.  Its ids are found by the same vocabulary as ranks, which
+    takes a fraction of the time, and by the tokenizer itself for texts with signs
+    whose class may depend on the version of Unicode.
     """
 
     def __init__(self, model_a: str, model_b: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(model_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=model_b)
-        sign = _byte_of_sign()
-        self.bytes_a: dict[int, bytes] = {}
-        for token, i in self.a.get_vocab().items():
-            known = all(c in sign for c in token)
-            self.bytes_a[i] = bytes(sign[c] for c in token) if known else token.encode()
+        sign, model = byte_of_sign(), json.loads(model_a)
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        ranks = {bytes(map(sign.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t not in special}
+        self._ranks = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         byte = [_BYTE.fullmatch(p) for p in pieces]
+        self.bytes_a = [b""] * (1 + max([*ranks.values(), *special.values()]))
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.bytes_a[i] = token
         self.bytes_b = [bytes([int(m[1], 16)]) if m else p.replace(_SPACE, " ").encode() for p, m in zip(pieces, byte)]
-        self.space_b = self.b.piece_to_id(_SPACE)
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-
-    def _entry(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
-        """Ids and lengths of tokens, or None if their bytes are not those of the chunk."""
-        tokens_a, tokens_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        own = chunk.encode()
-        if b"".join(tokens_a) != own or b"".join(tokens_b) != own:
-            return None
-        return a, list(map(len, tokens_a)), b, list(map(len, tokens_b))
-
-    def entries(self, texts: list[str | None]) -> list[list[tuple] | None]:
-        """Chunks of each text as entries; None for a text without tokens."""
-        if len(self.known) > KNOWN_CHUNKS:
-            self.known, self.older = {}, self.known
-        chunks = [_CHUNK.split(" " + text) if text else [] for text in texts]
-        wanted = set().union(*chunks) - self.known.keys()
-        again = wanted & self.older.keys()
-        self.known.update((c, self.older[c]) for c in again)
-        new = list(wanted - again)
-        ids_a = self.a.encode_batch_fast(new, add_special_tokens=False)
-        # B adds the space in front; it gives no id to an empty text.
-        ids_b = self.b.encode([c[1:] for c in new], num_threads=1) if new else []
-        for chunk, a, b in zip(new, ids_a, ids_b):
-            self.known[chunk] = self._entry(chunk, a.ids, b if len(chunk) > 1 else [self.space_b])
-        found = [[self.known[c] for c in own] for own in chunks]
-        return [None if not own or None in own else own for own in found]
+        self.length_a, self.length_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        # Texts of ids inside of a group and at the end of their side of it.
+        self.text_of = [f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(pieces), ",;")) for i in range(n) for end in ends]
+
+    def _ids_a(self, text: str) -> np.ndarray:
+        if _SETTLED.fullmatch(text):
+            return self._ranks.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def ids(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A and of B by text; none for a text that one of them does not give back."""
+        none = np.zeros(0, np.int64)
+        all_b = self.b.encode([text or "" for text in texts], num_threads=1) if texts else []
+        left, right = [], []
+        for text, b in zip(texts, all_b):
+            a = self._ids_a(" " + text) if text else none
+            own = (" " + text).encode() if text else b""
+            whole = own and all(b"".join(map(x.__getitem__, ids)) == own for x, ids in ((self.bytes_b, b), (self.bytes_a, a.tolist())))
+            left.append(a if whole else none)
+            right.append(np.array(b, np.int64) if whole else none)
+        return left, right
 
 
 _encoders: dict[int, Encoders] = {}
@@ -159,50 +151,44 @@ def align_ends(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*pieces))
 
 
-def _flat(lists: list[list[int]], n: int) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(lists), np.int64, n)
-
-
-def _group_texts(ids_a: np.ndarray, ids_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> Iterator[str]:
-    """``a1,a2|b1`` for every group, given the number of tokens up to its end."""
-    text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    a0 = b0 = 0
-    for a1, b1 in zip(last_a.tolist(), last_b.tolist()):
-        yield f"{text_a[a0] if a1 == a0 + 1 else ','.join(text_a[a0:a1])}|{text_b[b0] if b1 == b0 + 1 else ','.join(text_b[b0:b1])}"
-        a0, b0 = a1, b1
+def _group_texts(encoders: Encoders, ids_a: np.ndarray, ids_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
+    """Ids of all groups with their separators, A's side of a group before B's; ``last`` are numbers of the last tokens of groups."""
+    code_a, code_b = 2 * ids_a, 2 * (ids_b + len(encoders.bytes_a))
+    code_a[last_a] += 1
+    code_b[last_b] += 1
+    group_a = np.searchsorted(last_a, np.arange(len(ids_a)))
+    group_b = np.searchsorted(last_b, np.arange(len(ids_b)))
+    codes = np.empty(len(ids_a) + len(ids_b), np.int64)
+    codes[np.arange(len(ids_a)) + np.append(0, last_b + 1)[group_a]] = code_a
+    codes[np.arange(len(ids_b)) + last_a[group_b] + 1] = code_b
+    return list(map(encoders.text_of.__getitem__, codes.tolist()))
 
 
 def aligned(encoders: Encoders, texts: list[str | None], work: int = WORK) -> list[pa.Array]:
     """Columns of _ALIGNED for texts."""
-    found = encoders.entries(texts)
-    entries = [e for own in found if own for e in own]
-    n_a = np.array([sum(len(e[0]) for e in own) if own else 0 for own in found], np.int64)
-    n_b = np.array([sum(len(e[2]) for e in own) if own else 0 for own in found], np.int64)
-    ids_a, ids_b = _flat([e[0] for e in entries], n_a.sum()), _flat([e[2] for e in entries], n_b.sum())
-    ends_a = np.cumsum(_flat([e[1] for e in entries], n_a.sum()))
-    ends_b = np.cumsum(_flat([e[3] for e in entries], n_b.sum()))
-    in_a, in_b, both = align_ends(ends_a, ends_b, work)
+    left, right = encoders.ids(texts)
+    n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    ids_a, ids_b = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+    in_a, in_b, both = align_ends(np.cumsum(encoders.length_a[ids_a]), np.cumsum(encoders.length_b[ids_b]), work)
     # Texts end where both have a token that ends, so no group or overlap crosses texts.
-    upto_a = np.cumsum(n_a)
-    text = np.searchsorted(upto_a, in_a, side="right")
+    text = np.searchsorted(np.cumsum(n_a), in_a, side="right")
     n_links = np.bincount(text, minlength=len(texts))
     closing = np.flatnonzero(both)
     n_groups = np.bincount(text[closing], minlength=len(texts))
-    groups = list(_group_texts(ids_a, ids_b, in_a[closing] + 1, in_b[closing] + 1))
-    upto = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-    pair = ids_a[in_a] * PAIR + ids_b[in_b]
-    order = np.lexsort((pair, text))
-    pair, owner = pair[order], text[order]
-    first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1]))) if len(pair) else np.zeros(0, np.int64)
-    times = np.diff(np.append(first, len(pair))).astype(np.int32)
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(texts)))]).astype(np.int32)
+    tokens = _group_texts(encoders, ids_a, ids_b, in_a[closing], in_b[closing])
+    upto = np.append(0, np.cumsum(n_a + n_b)).tolist()
+    key = np.sort(text * PAIR**2 + ids_a[in_a] * PAIR + ids_b[in_b])
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(key))).astype(np.int32)
+    owner, pair = np.divmod(key[first], PAIR**2)
+    offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts)))).astype(np.int32)
     return [
         pa.array(n_a),
         pa.array(n_b),
         pa.array(n_groups.astype(np.int64)),
         pa.array(n_links.astype(np.int64)),
-        pa.array([";".join(groups[i:j]) for i, j in zip(upto[:-1], upto[1:])], pa.string()),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(pair[first])),
+        pa.array(["".join(tokens[i:j])[:-1] for i, j in zip(upto[:-1], upto[1:])], pa.string()),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(pair)),
         pa.ListArray.from_arrays(pa.array(offsets), pa.array(times)),
     ]
 
@@ -237,7 +223,7 @@ def align(docs: DataFrame, model_a: str, model_b: bytes, text: str = "text", kee
     A encodes a space and the text, B, which adds that space, the text; ``model_a``
     and ``model_b`` are the contents of their files.  ``groups`` has the ids between
     neighbouring common ends, as ``a1,a2|b1;a3|b2``.  ``pairs`` are the distinct
-    overlapping ids, A times 2^32 plus B, with ``times``.  ``row`` numbers the rows.
+    overlapping ids, A times 2^24 plus B, with ``times``.  ``row`` numbers the rows.
     ``keep`` names expressions of a row; their names must differ from the others.
     The result is a written table.
 
