@@ -100,32 +100,38 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+#: Columns that ``find_passages`` makes.
+_FOUND = ("n_words", "spans", "items")
+
+
 def find_passages(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, prefix: str = ""
 ) -> DataFrame:
     """Spans of hit words and the benchmark items behind them.  Columns: ``keep``, n_words, spans, items.
 
     ``docs`` needs ``text``, ``benchmark`` needs ``item_id`` and ``text``; the
     columns of ``docs`` named in ``keep`` (by default all) are passed on, but for
-    those named n_words, spans or items.  The benchmark is cut into blocks of bounded size; each block's
+    those named n_words, spans or items in either case; with a ``prefix`` before the
+    names made, none need be left out.  The benchmark is cut into blocks of bounded size; each block's
     text goes to the tasks in turn and adds to the rows what it finds.  Cases:
     null and empty texts have no words and no hits; an item without words is
     never found; the words of an item with a null id count as hits, but the item
     is not named; items equal in text are all named; an empty table gives no
     rows, an empty benchmark no hits.
     """
-    passed = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "spans", "items")]
+    made = [prefix + c for c in _FOUND]
+    passed = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     carried = passed if "text" in passed else [*passed, "text"]
     out = docs.select(*[F.col(f"`{c}`") for c in carried]).withColumns(
         {
-            "n_words": F.lit(0).cast("long"),
-            "spans": F.lit(None).cast("array<struct<start:int,end:int>>"),
-            "items": F.lit(None).cast("array<string>"),
+            made[0]: F.lit(0).cast("long"),
+            made[1]: F.lit(None).cast("array<struct<start:int,end:int>>"),
+            made[2]: F.lit(None).cast("array<string>"),
         }
     )
     for block in _blocks(benchmark):
-        out = out.mapInArrow(_search_batches(block, window), out.schema)
-    return out.select(*[F.col(f"`{c}`") for c in passed], "n_words", "spans", "items")
+        out = out.mapInArrow(_search_batches(block, window, made), out.schema)
+    return out.select(*[F.col(f"`{c}`") for c in passed], *made)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list]:
@@ -140,15 +146,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
         yield [(r["item"], r["text"]) for r in part.collect()]
 
 
-def _search_batches(block: list, window: int):
+def _search_batches(block: list, window: int, made: list[str]):
     def run(batches):
         found = tables(block, window)
         for batch in batches:
             counts, spans, items = [], [], []
             text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
             before = zip(
-                batch.column(batch.schema.get_field_index("spans")).to_pylist(),
-                batch.column(batch.schema.get_field_index("items")).to_pylist(),
+                batch.column(batch.schema.get_field_index(made[1])).to_pylist(),
+                batch.column(batch.schema.get_field_index(made[2])).to_pylist(),
             )
             for data, (old_spans, old_items) in zip(text, before):
                 words = words_of(data.as_py())
@@ -158,7 +164,7 @@ def _search_batches(block: list, window: int):
                 counts.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in hit] or None)
                 items.append(sorted(named | set(old_items or ())) or None)
-            for name, values in (("n_words", counts), ("spans", spans), ("items", items)):
+            for name, values in zip(made, (counts, spans, items)):
                 i = batch.schema.get_field_index(name)
                 batch = batch.set_column(i, batch.schema.field(i), pa.array(values, batch.schema.field(i).type))
             yield batch
@@ -172,23 +178,24 @@ def contamination(
     window: int = WINDOW,
     share: int = 20,
     keep: list[str] | None = None,
+    prefix: str = "",
 ) -> DataFrame:
     """``find_passages`` with n_hit, n_items, items_sha256 and contaminated in place of spans and items.
 
     A document is contaminated if at least one in ``share`` of its words is hit.
     """
-    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    hits = F.aggregate(prefix + "spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     n_hit = F.coalesce(hits, F.lit(0)).cast("long")
-    names = F.coalesce("items", F.array().cast("array<string>"))
+    names = F.coalesce(prefix + "items", F.array().cast("array<string>"))
     return (
-        find_passages(docs, benchmark, window, keep)
+        find_passages(docs, benchmark, window, keep, prefix)
         .withColumns(
             {
-                "n_hit": n_hit,
-                "n_items": F.size(names).cast("long"),
-                "items_sha256": F.sha2(F.concat_ws(",", names), 256),
-                "contaminated": (n_hit > 0) & (share * n_hit >= F.col("n_words")),
+                f"{prefix}n_hit": n_hit,
+                f"{prefix}n_items": F.size(names).cast("long"),
+                f"{prefix}items_sha256": F.sha2(F.concat_ws(",", names), 256),
+                f"{prefix}contaminated": (n_hit > 0) & (share * n_hit >= F.col(prefix + "n_words")),
             }
         )
-        .drop("spans", "items")
+        .drop(prefix + "spans", prefix + "items")
     )

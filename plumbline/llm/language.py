@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.shared import fold_of
 
@@ -28,7 +28,7 @@ SCRIPT_SHARE = 0.01
 #: N-grams of one word overlap; their summed scores are scaled by this and kept within the limit.
 SCALE, LIMIT = 0.5, 8.0
 #: Characters that are scored at a time.
-CHUNK = 500_000
+CHUNK = 100_000
 #: Texts whose words are decoded together.
 ROWS = 1000
 UNKNOWN = "und"
@@ -252,12 +252,14 @@ def _viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndar
     return label
 
 
-def _identify_batches(model: LanguageModel, spans: bool):
+def _identify_batches(model: LanguageModel, spans: bool, at: int, kept: int, prefix: str):
+    """Column ``at`` is the text; the first ``kept`` columns are passed on."""
+
     def run(batches):
         names = np.array([*model.languages, UNKNOWN], object)
         wide = len(model.languages)
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [x or "" for x in batch.column(at).to_pylist()]
             scores, docs, starts, ends = [np.zeros((0, max(1, wide)), np.float32)], [], [], []
             for first, part in _chunks(texts):
                 words = _words(part)
@@ -278,8 +280,9 @@ def _identify_batches(model: LanguageModel, spans: bool):
             if spans:
                 out.append(_spans(doc, start, end, names[label], len(texts)))
             columns = [pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), *(pa.array(x, _SPANS) for x in out[2:])]
-            fields = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), *[pa.field("spans", _SPANS)] * spans]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], schema=pa.schema([*list(batch.schema)[:-1], *fields]))
+            kinds = zip(MADE, (pa.string(), pa.float64(), _SPANS)[: len(columns)])
+            fields = [pa.field(prefix + name, kind) for name, kind in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], schema=pa.schema([*list(batch.schema)[:kept], *fields]))
 
     return run
 
@@ -298,21 +301,30 @@ def _spans(doc, start, end, name, n: int) -> list[list[dict]]:
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, spans: bool = True) -> DataFrame:
+#: Columns that ``identify`` makes.
+MADE = ("lang_pred", "score", "spans")
+
+
+def identify(
+    docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, spans: bool = True, prefix: str = ""
+) -> DataFrame:
     """Language of every text.  Columns: ``keep`` (by default those of ``docs``), lang_pred, score and spans.
 
     ``docs`` needs ``text``, and nothing else is an input of a prediction.
     ``score`` is the share of letters in spans of the predicted language.
-    Columns of ``docs`` with these names are replaced.  Cases: null and empty
+    Columns of ``docs`` with these names, in either case, are replaced; with a
+    ``prefix`` before the names made, none need be.  Cases: null and empty
     texts and texts without a letter are ``und`` with score 0 and no spans, as
     is everything if the model knows no language; words of a script that no
     language is written in take the language of their neighbours; ties go to the
     language that comes first by name; an empty table gives no rows.
     """
-    made = "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "spans")]
-    kept_columns = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in kept_columns.dtypes), made])
-    # The last column is the text that is looked at.
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_input"))
-    return rows.mapInArrow(_identify_batches(model, spans), schema)
+    made = [prefix + name for name in MADE]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    read = kept if "text" in kept else [*kept, "text"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in read])
+    fields = [T.StructField(made[0], T.StringType()), T.StructField(made[1], T.DoubleType())]
+    if spans:
+        fields.append(T.StructField(made[2], T.ArrayType(T.StructType.fromDDL("start int, end int, lang string"))))
+    schema = T.StructType([*rows.schema.fields[: len(kept)], *fields])
+    return rows.mapInArrow(_identify_batches(model, spans, read.index("text"), len(kept), prefix), schema)

@@ -41,6 +41,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no name of a column begins with, in either case."""
+    prefix = "_made"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def fold_of(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % folds
