@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import decontaminate, language, mixing, ngram_join, queries, sharding
-from plumbline.llm.shared import read, written
+from plumbline.llm.shared import free_prefix, read, written
 
 
-def _columns(docs: DataFrame) -> list:
+def _own(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those of no letter or no text go."""
-    found = language.identify(docs, language.train(docs), spans=False)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*_columns(docs))
+    made = free_prefix(docs.columns)
+    found = language.identify(docs, language.train(docs), spans=False, prefix=made)
+    return found.where(F.col(f"{made}lang_pred") != language.UNKNOWN).select(*_own(docs))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one of the smallest id."""
-    return ngram_join.keep_one(docs)
+    rows = docs.select(F.struct(*_own(docs)).alias("row"), "doc_id", "text")
+    return ngram_join.keep_one(rows).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*_columns(docs))
+    made = free_prefix(docs.columns)
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), prefix=made)
+    return found.where(~F.col(f"{made}contaminated")).select(*_own(docs))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
