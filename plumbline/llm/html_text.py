@@ -32,12 +32,21 @@ PART_BYTES = 8_000_000
 #: Large hosts up to this number are joined by broadcast; beyond it by a shuffle.
 BROADCAST_HOSTS = 10_000
 
-# Elements and class words of page furniture, elements that end a block, elements without text.
-FURNITURE = set("nav header footer aside form menu dialog button select template".split())
+# Elements, class words and roles of page furniture, words that stand beside such a word in a class
+# without changing its meaning, words that turn it around, elements that end a block, elements without text.
+FURNITURE = set("nav header footer aside menu dialog button select template".split())
 FURNITURE_WORDS = set(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header "
-    "menu modal nav navbar navigation newsletter notice popup promo related share sidebar social sponsor sponsored".split()
+    "menu modal nav navbar navigation newsletter notice notices popup promo related share sidebar social sponsor sponsored".split()
 )
+ROLES = set("alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
+BESIDE = set(
+    "area articles author bar block blog body bottom box btn button buttons container content cookie entry fixed form "
+    "global gdpr group icon icons inner item items left link links list main media message mobile news outer page panel "
+    "policy post posts primary privacy reader right secondary section signup site slot sticky stories text title toggle "
+    "top unit user widget wrap wrapper".split()
+)
+TURNED = set("has hide is no non not with without".split())
 BLOCK = set(
     "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -58,8 +67,12 @@ _SVG_END = re.compile(
     r"|<(?=(?:/?(?:article|main|p|div|body|table)|h[1-6]|ul|ol|li|dl|dd|dt|pre|blockquote|hr|img|span|section|aside|nav|header|footer)\b)",
     re.I,
 )
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_FIELD = re.compile(r"<(?:input|select|textarea|button|label)\b", re.I)
+_FIELDS = re.compile(r"<(script|style|select|textarea|button|label)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+#: Characters that a form may have for itself and for each field without holding content.
+FORM_TEXT = 200
 
 ARTICLE, OPEN, AROUND = 0, 1, 2
 
@@ -118,7 +131,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             article += 1
         elif skipped:
             skipped.append(name)
-        elif name in FURNITURE or _is_furniture(match[4]):
+        elif name in FURNITURE or _is_furniture(name, match[4]) or name == "form" and _is_input(page, at, endless):
             skipped.append(name)
         elif name in CONTENT:
             article += 1
@@ -140,10 +153,36 @@ def _behind_svg(page: str, at: int) -> int | None:
     return end and (end.end() if end["end"] else end.start())
 
 
-def _is_furniture(attributes: str) -> bool:
-    return bool(attributes) and any(
-        word in FURNITURE_WORDS for m in _CLASS.finditer(attributes) for word in _WORD.findall(m[m.lastindex].lower())
-    )
+def _is_furniture(name: str, attributes: str) -> bool:
+    """Whether a class, id or role names furniture: by one word, or with words beside it that do not change it.
+
+    ``has-sidebar`` or ``share-price`` says something about the content instead;
+    so may anything on the body.
+    """
+    if not attributes or name in ("html", "body"):
+        return False
+    for found in _NAMED.finditer(attributes):
+        for token in found[found.lastindex].split():
+            parts = [p.lower() for p in _PART.findall(token)]
+            if found[1].lower() == "role":
+                if token.lower() in ROLES:
+                    return True
+            elif not TURNED.intersection(parts) and FURNITURE_WORDS.intersection(parts):
+                if all(p in FURNITURE_WORDS or p in BESIDE or len(p) < 2 or p.isdigit() for p in parts):
+                    return True
+    return False
+
+
+def _is_input(page: str, at: int, endless: set[str]) -> bool:
+    """Whether a form whose start tag ends at ``at`` holds little but fields; one around a page does not."""
+    end = None if "form" in endless else _behind("form", page, at)
+    if end is None:
+        endless.add("form")
+        return False
+    inside = page[at:end]
+    if re.search(r"<(?:article|main)\b", inside, re.I):
+        return False
+    return len(" ".join(_FIELDS.sub(" ", inside).split())) <= FORM_TEXT * (1 + len(_FIELD.findall(inside)))
 
 
 def content_of(page: list[tuple[int, str]]) -> int:
