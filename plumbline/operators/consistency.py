@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import normalise_missing, numeric_columns, ref, string_columns
 from plumbline.functions.frames import (
     HEAVY_COLUMNS_PER_STAGE,
     LIGHT_COLUMNS_PER_STAGE,
+    WIDE_COLUMNS,
+    cells,
+    local_frame,
     per_column,
     rate,
 )
@@ -45,6 +48,8 @@ def value_class(value: Column) -> Column:
 def _class_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: the count of each class and the number of classes met."""
     names = [*VALUE_CLASSES, OTHER_CLASS]
+    if len(columns) > WIDE_COLUMNS:
+        return _class_cells(df, columns, names)
     # The class is computed once per value and then counted five ways.
     classed = df.select(*[value_class(ref(c)).alias(c) for c in columns])
     wide = per_column(
@@ -59,6 +64,20 @@ def _class_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select("column_name", F.filter(counts, lambda e: e.cnt > 0).alias("counts"))
 
 
+def _class_cells(df: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``_class_table`` of a wide table, by position."""
+    classed = cells(df, columns).select("pos", value_class(F.col("value")).alias("k")).where("k IS NOT NULL")
+    by_class = classed.groupBy("pos", "k").agg(F.count(F.lit(1)).alias("cnt"))
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("k")).alias("place")
+    entry = F.struct(place, F.col("k").alias("value_class"), F.col("cnt"))
+    counts = by_class.groupBy("pos").agg(F.array_sort(F.collect_list(entry)).alias("found"))
+    listed = [{"pos": i, "column_name": c} for i, c in enumerate(columns)]
+    every = local_frame(df.sparkSession, listed, T.StructType.fromDDL("pos int, column_name string"))
+    plain = F.transform("found", lambda e: F.struct(e["value_class"].alias("value_class"), e["cnt"].alias("cnt")))
+    none = F.array().cast("array<struct<value_class:string,cnt:bigint>>")
+    return every.join(counts, "pos", "left").select("column_name", F.coalesce(plain, none).alias("counts"))
+
+
 def value_class_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value_class, cnt) of the non-null values of text columns."""
     columns = string_columns(df) if columns is None else list(columns)

@@ -108,24 +108,99 @@ def unique_counts(
     )
 
 
-def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
+def top_values(
+    df: DataFrame, columns: Sequence[str] | None = None, k: int = 10, sketch: bool = False
+) -> DataFrame:
     """The k most frequent values of each column, by default of the non-numeric ones.
 
-    Ties go to the smaller value.  Spark keeps k rows per column and task
-    before the shuffle, so no task sees all values of a column.
+    Ties go to the smaller value.  Spark keeps k rows per column and task before the
+    window's shuffle, so no task sees all values of a column.
+
+    With ``sketch``, distinct values are not shuffled at all: a sketch names
+    candidates in one scan, a second one counts them exactly, and the sketch's error
+    bound proves that no other value belongs to the first k.  Columns for which it
+    does not, as their values are about equally frequent, are counted in full.
     """
     if columns is None:
         numeric = set(numeric_columns(df))
         columns = [c for c in df.columns if c not in numeric]
+    require_columns(df, columns)
+    if not sketch:
+        return _ranked(value_frequency(df, columns), k)
+    proven = _proven_top(normalise_missing(df), columns, k)
+    rest = [c for c in columns if c not in proven]
+    rows = [
+        {"column_name": c, "rank": i, "value": value, "cnt": n}
+        for c, top in proven.items()
+        for i, (value, n) in enumerate(top, 1)
+    ]
+    found = local_frame(df.sparkSession, rows, TOP_VALUES)
+    return found.unionByName(_ranked(value_frequency(df, rest), k)) if rest else found
+
+
+TOP_VALUES = T.StructType(
+    [
+        T.StructField("column_name", T.StringType()),
+        T.StructField("rank", T.LongType()),
+        T.StructField("value", T.StringType()),
+        T.StructField("cnt", T.LongType()),
+    ]
+)
+CANDIDATES = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("value", T.StringType())])
+# Values that a sketch holds; a value that it does not report has at most ERROR / SKETCHED of the rows.
+# The sketch's own bound is 3.5 over the size of its table, at least 4/3 of SKETCHED; what is not reported may have twice that.
+SKETCHED, ERROR = 50_000, 5.25
+
+
+def _ranked(frequencies: DataFrame, k: int) -> DataFrame:
     ranked = Window.partitionBy("column_name").orderBy(F.col("cnt").desc(), F.col("value").asc())
     return (
-        value_frequency(df, columns)
-        .withColumn("rank", F.row_number().over(ranked))
+        frequencies.withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= k)
         .select("column_name", F.col("rank").cast("bigint").alias("rank"), "value", "cnt")
     )
 
 
+def _sketchable(dtype: T.DataType) -> bool:
+    """Types whose values and texts correspond one to one."""
+    return isinstance(dtype, (T.IntegralType, T.StringType, T.BooleanType, T.DateType))
+
+
+def _proven_top(clean: DataFrame, columns: Sequence[str], k: int) -> dict[str, list[tuple[str, int]]]:
+    """The first k (value, count) of each column for which candidates of a sketch are proven to hold them."""
+    able = [c for c in columns if _sketchable(dtype_of(clean, c))]
+    if not able:
+        return {}
+    text = [ref(c).cast("string") for c in able]
+    asked = min(4 * k + 16, SKETCHED)
+    seen = clean.agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count(t).alias(f"n{i}") for i, t in enumerate(text)],
+        *[F.call_function("approx_top_k", t, F.lit(asked), F.lit(SKETCHED)).alias(f"top{i}") for i, t in enumerate(text)],
+    ).first()
+    candidates = [
+        {"pos": i, "value": x["item"]} for i in range(len(able)) for x in seen[f"top{i}"] or () if x["item"] is not None
+    ]
+    entries = F.array(*[F.struct(F.lit(i).alias("pos"), t.alias("value")) for i, t in enumerate(text)])
+    wanted = F.broadcast(local_frame(clean.sparkSession, candidates, CANDIDATES))
+    counted = clean.select(F.inline(entries)).join(wanted, ["pos", "value"]).groupBy("pos", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    found: dict[int, list[tuple[str, int]]] = {i: [] for i in range(len(able))}
+    for row in counted.collect():
+        found[row["pos"]].append((row["value"], row["cnt"]))
+    proven = {}
+    for i, c in enumerate(able):
+        rows, total = seen[f"n{i}"], seen["total"]
+        # Texts compare by their bytes, as in Spark.
+        top = sorted(found[i], key=lambda x: (-x[1], x[0].encode()))
+        complete = sum(n for _, n in top) == rows
+        reported = seen[f"top{i}"] or ()
+        # What is cut off from a full list has no higher estimate than its last item, and estimates are not too low.
+        others = max(ERROR / SKETCHED * total, reported[-1]["count"] if len(reported) >= asked else 0)
+        if complete or len(top) >= k and top[k - 1][1] > others:
+            proven[c] = top[:k]
+    return proven
+
+
 def _label(df: DataFrame, label_col: str | None) -> str:
     found = label_column(df, label_col)
     if found is None:

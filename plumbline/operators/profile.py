@@ -68,18 +68,21 @@ def table_profile(df: DataFrame, digest: bool = False) -> DataFrame:
     )
 
 
-def column_types(df: DataFrame) -> DataFrame:
-    rows = [
-        {"column_name": n, "data_type": t, "position": i} for i, (n, t) in enumerate(df.dtypes, 1)
+COLUMN_TYPES = T.StructType(
+    [
+        T.StructField("column_name", T.StringType()),
+        T.StructField("data_type", T.StringType()),
+        T.StructField("position", T.IntegerType()),
     ]
-    schema = T.StructType(
-        [
-            T.StructField("column_name", T.StringType()),
-            T.StructField("data_type", T.StringType()),
-            T.StructField("position", T.IntegerType()),
-        ]
-    )
-    return local_frame(df.sparkSession, rows, schema)
+)
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """Type and place of each column, and how many of its values are given."""
+    named = [{"column_name": n, "data_type": t, "position": i} for i, (n, t) in enumerate(df.dtypes, 1)]
+    types = local_frame(df.sparkSession, named, COLUMN_TYPES)
+    given = per_column(df, df.columns, lambda d, c: {"non_null": F.count_if(~is_missing(d, c))})
+    return types.join(given, "column_name").select(*COLUMN_TYPES.fieldNames(), "non_null")
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -16,8 +16,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from plumbline.functions.columns import chunks, normalise_missing, ref
-from plumbline.functions.frames import HEAVY_COLUMNS_PER_STAGE, local_frame
+from plumbline.functions.columns import chunks, normalise_missing, quoted, ref
+from plumbline.functions.frames import HEAVY_COLUMNS_PER_STAGE, WIDE_COLUMNS, cells, local_frame
 
 GATHER_LIMIT = 200_000
 SKETCH_SIZE = 4096
@@ -144,6 +144,36 @@ def _folded(value: Column, ranges: Sequence[tuple[float, float]]) -> Column:
     return folded
 
 
+RANGES = T.StructType(
+    [
+        T.StructField("pos", T.IntegerType()),
+        T.StructField("under", T.DoubleType()),
+        T.StructField("lows", T.ArrayType(T.DoubleType())),
+        T.StructField("highs", T.ArrayType(T.DoubleType())),
+        T.StructField("after", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+def _folded_cells(values: DataFrame, ranges: Mapping[str, Sequence[tuple[float, float]]]) -> DataFrame:
+    """(c, v): ``_folded`` values of many columns, with the ranges as data."""
+    rows = [
+        {
+            "pos": i,
+            "under": math.nextafter(pairs[0][0], -math.inf),
+            "lows": [low for low, _ in pairs],
+            "highs": [high for _, high in pairs],
+            "after": [math.nextafter(high, math.inf) for _, high in pairs],
+        }
+        for i, pairs in enumerate(ranges.values())
+    ]
+    long = cells(values, list(ranges)).where("value IS NOT NULL")
+    known = long.join(F.broadcast(local_frame(values.sparkSession, rows, RANGES)), "pos")
+    at = known.withColumn("i", F.expr("size(filter(lows, x -> x <= value)) - 1"))
+    folded = "CASE WHEN i < 0 THEN under WHEN value <= highs[i] THEN value ELSE after[i] END"
+    return at.select(F.col("pos").cast("string").alias("c"), F.expr(folded).alias("v"))
+
+
 WANTED = T.StructType(
     [
         T.StructField("c", T.StringType()),
@@ -163,13 +193,16 @@ def _rank(
     the window per column sees the values inside the ranges and little else.
     """
     columns = list(ranges)
-    folded = values.select(
-        *[_folded(ref(c), ranges[c]).alias(str(i)) for i, c in enumerate(columns)]
-    )
-    if len(columns) > 1:
-        long = folded.unpivot([], [ref(n) for n in folded.columns], "c", "v")
+    if len(columns) > WIDE_COLUMNS:
+        long = _folded_cells(values, ranges)
     else:
-        long = folded.select(F.lit("0").alias("c"), ref("0").alias("v"))
+        folded = values.select(
+            *[_folded(ref(c), ranges[c]).alias(str(i)) for i, c in enumerate(columns)]
+        )
+        if len(columns) > 1:
+            long = folded.unpivot([], [ref(n) for n in folded.columns], "c", "v")
+        else:
+            long = folded.select(F.lit("0").alias("c"), ref("0").alias("v"))
     counted = long.filter("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
     upto = F.sum("cnt").over(
         Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -262,8 +295,8 @@ def quantiles(
     if not columns:
         return {}
     # Adding 0.0 turns -0.0 into 0.0, so that both rank as one value.
-    doubles = normalise_missing(df).select(
-        *[(ref(c).cast("double") + F.lit(0.0)).alias(c) for c in columns]
+    doubles = normalise_missing(df).selectExpr(
+        *[f"CAST({quoted(c)} AS double) + 0D AS {quoted(c)}" for c in columns]
     )
     if approx:
         row = _one_row(
@@ -275,7 +308,12 @@ def quantiles(
             c: list(row[f"q{i}"] or [None] * len(probabilities)) for i, c in enumerate(columns)
         }
     brackets = None
-    if counts is None:
+    if counts is None and len(columns) > WIDE_COLUMNS:
+        found = cells(doubles, columns).groupBy("pos").agg(F.count("value").alias("n"), bracket_bounds(F.col("value"), probabilities).alias("b"))
+        rows = {columns[r["pos"]]: r for r in found.collect()}
+        counts = {c: rows[c]["n"] if c in rows else 0 for c in columns}
+        brackets = {c: bracket_pairs(rows[c]["b"]) for c in columns if counts[c]}
+    elif counts is None:
         # One scan gives the counts and the sketch of all columns.
         row = _one_row(
             doubles,

@@ -19,10 +19,11 @@ import datetime as dt
 import json
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 from operator import or_
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -283,7 +284,7 @@ def compile_rule(df: DataFrame, rule: SyntacticRule, rule_id: str) -> CompiledRu
 def compile_row_rule(df: DataFrame, rule: SemanticRule, rule_id: str) -> CompiledRule:
     """A cross_field or domain_logic rule; a NULL outcome is not evaluated.
 
-    An expression that raises on a value ends the whole check, so expressions
+    An expression that raises on a value has the status ``raised`` in a check; it
     should convert text by ``try_cast`` and divide by ``try_divide``.
     """
     field = ",".join(rule.fields_involved)
@@ -449,6 +450,25 @@ def count_rules(clean: DataFrame, compiled: Sequence[CompiledRule]) -> DataFrame
     return with_rates(found.withColumn("violations", violations))
 
 
+def count_isolated(clean: DataFrame, compiled: Sequence[CompiledRule]) -> list[dict]:
+    """The rows of ``count_rules``; a rule that raises on a value has the status ``raised``, the others their counts.
+
+    All rules are counted in one scan.  Only if that raises, halves are counted by
+    themselves, down to the rule that does.
+    """
+    try:
+        return [r.asDict() for r in count_rules(clean, compiled).collect()]
+    except PySparkException as e:
+        # Errors on values have a condition; the loss of a job has none.
+        if not compiled or e.getCondition() is None:
+            raise
+    if len(compiled) == 1:
+        raised = replace(compiled[0], status="raised", condition=None, tainted=None, limits=None)
+        return [r.asDict() for r in count_rules(clean, [raised]).collect()]
+    middle = len(compiled) // 2
+    return count_isolated(clean, compiled[:middle]) + count_isolated(clean, compiled[middle:])
+
+
 def check_rules(df: DataFrame, rules: DataFrame | Sequence[SyntacticRule]) -> DataFrame:
     """Violations of syntactic rules, one row per rule."""
     clean = normalise_missing(df)

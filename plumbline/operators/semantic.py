@@ -17,7 +17,7 @@ from plumbline.operators.rules import (
     RULE_RESULTS,
     as_semantic,
     compile_row_rule,
-    count_rules,
+    count_isolated,
     rule_ids,
     violating_rows,
     with_rates,
@@ -169,20 +169,23 @@ def temporal_violations(
     complete = reduce(and_, [F.col(c).isNotNull() for c in rows.columns])
     key, place = F.xxhash64(*keys), _place(rows, "order0")
     layout = _layout(rows, key, F.xxhash64(*keys, *orders), place, complete, n)
-    bucket = F.lit(0)
+    shared, cut = rows.filter(complete), keys
     if layout.hot and layout.bounds:
         bounds = F.array(*map(F.lit, layout.bounds))
         bucket = F.when(key.isin(layout.hot), 1 + F.size(F.filter(bounds, lambda x: x <= place))).otherwise(0)
+        shared, cut = shared.withColumn("bucket", bucket), [*keys, "bucket"]
     least, greatest = F.min("field").alias("least"), F.max("field").alias("greatest")
-    shared = rows.filter(complete).withColumn("bucket", bucket)
     if layout.repeated:
-        shared = shared.groupBy(*keys, "bucket", *orders).agg(least, greatest).repartition(n, *keys, "bucket")
+        shared = shared.groupBy(*cut, *orders).agg(least, greatest).repartition(n, *cut)
     else:
-        shared = shared.repartition(n, *keys, "bucket").groupBy(*keys, "bucket", *orders).agg(least, greatest)
-    before = F.lag("greatest").over(Window.partitionBy(*keys, "bucket").orderBy(*orders))
+        shared = shared.repartition(n, *cut).groupBy(*cut, *orders).agg(least, greatest)
+    before = F.lag("greatest").over(Window.partitionBy(*cut).orderBy(*orders))
     compared = shared.withColumn("broken", F.col("least") < before)
     order = F.struct(*orders)
-    by_bucket = compared.groupBy(*keys, "bucket").agg(
+    if cut == keys:
+        found = compared.agg(F.count_if("broken").alias("violations"))
+        return found.select("violations", F.lit(layout.total).cast("bigint").alias("total"))
+    by_bucket = compared.groupBy(*cut).agg(
         F.count_if("broken").alias("broken"),
         F.min(F.struct(order.alias("order"), "least")).getField("least").alias("least"),
         F.max(F.struct(order.alias("order"), "greatest")).getField("greatest").alias("greatest"),
@@ -313,7 +316,7 @@ def check_semantic_rules(
 ) -> DataFrame:
     """Violations of semantic rules, one row per rule, in the form of syntactic results.
 
-    Row-level rules share one scan; each temporal or referential rule adds its
+    Row-level rules share one scan, which is run at once; each temporal or referential rule adds its
     own shuffles.  ``partitions`` is the number of ranges of temporal rules.
     """
     listed, tables = as_semantic(rules), tables or {}
@@ -343,7 +346,8 @@ def check_semantic_rules(
         else:
             parts.append(_not_run(df, rule, rule_id, "unsupported_rule"))
     if row_level or not parts:
-        parts.insert(0, count_rules(clean, row_level))
+        rows = count_isolated(clean, row_level)
+        parts.insert(0, local_frame(df.sparkSession, rows, RULE_RESULTS))
     return union_all(parts)
 
 

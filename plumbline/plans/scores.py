@@ -29,7 +29,7 @@ from plumbline.operators.diversity import component_richness
 from plumbline.operators.frequency import label_distribution
 from plumbline.operators.duplicates import duplicate_rows
 from plumbline.operators.profile import iqr_outliers, redundancy_metrics
-from plumbline.operators.rules import RULE_RESULTS, compile_all, count_rules
+from plumbline.operators.rules import RULE_RESULTS, compile_all, count_isolated
 from plumbline.operators.semantic import ROW_RULES, check_semantic_rules
 from plumbline.plans.catalogue import DIMENSIONS
 from plumbline.plans.config import EvaluationConfig
@@ -182,7 +182,7 @@ def gather(
     tasks = {
         "scan": lambda: clean.agg(*[m.alias(k) for k, m in _scan_metrics(clean, config, label).items()]).first().asDict(),
         "cells": lambda: per_column(clean, clean.columns, redundancy_metrics).collect() if clean.columns else [],
-        "checked": lambda: count_rules(clean, compiled).collect(),
+        "checked": lambda: count_isolated(clean, compiled),
         "duplicates": lambda: duplicate_rows(clean).first()["duplicate_rows"],
     }
     if numeric:
@@ -203,7 +203,7 @@ def gather(
     rows = seen["row_count"]
     cells = {r.column_name: r for r in done["cells"]}
     nulls = {c: cells[c].null_count for c in clean.columns}
-    results = [r.asDict() for r in done["checked"]]
+    results = done["checked"]
     is_expected = {f"expected:{i}" for i in range(1, len(expected) + 1)}
     expected_results = [r for r in results if r["rule_id"] in is_expected]
     results = [r for r in results if r["rule_id"] not in is_expected]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 import plumbline as pl
+from plumbline.operators import frequency
 from plumbline.operators.quantiles import values_at_ranks
 
 
@@ -223,3 +224,22 @@ def test_profile_lines_of_many_classes(spark):
     shown = [x for x in lines if x.startswith("  class ")]
     assert shown == ["  class 0: 15", "  class 1: 15", "  class 10: 15"]
     assert lines[lines.index(shown[-1]) + 1] == "  and 67 smaller classes"
+
+
+def test_sketched_top_values_equal_the_counted_ones(spark):
+    rows = [(i % 7 if i % 3 else 0, f"v{i % 50 if i % 2 else i}", i, i % 5 == 0) for i in range(4000)] + [(None, None, None, None)] * 30
+    df = spark.createDataFrame(rows, "few int, hot string, each long, flag boolean").withColumn("x", F.col("few") / 2)
+    for k in (1, 3, 10):
+        wanted = sorted(map(tuple, pl.top_values(df, df.columns, k).collect()), key=str)
+        assert sorted(map(tuple, pl.top_values(df, df.columns, k, sketch=True).collect()), key=str) == wanted
+    proven = frequency._proven_top(df, df.columns, 3)
+    # Each value of ``each`` comes once, which no sketch of some of them can rank.
+    assert {"few", "hot", "flag"} <= set(proven) and "x" not in proven
+    assert pl.top_values(df.limit(0), df.columns, 3, sketch=True).count() == 0
+
+
+def test_a_sketch_that_proves_nothing_is_not_believed(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "SKETCHED", 100)
+    df = spark.range(20000).select(F.when(F.col("id") % 4 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("a"), F.col("id").cast("string").alias("b"))
+    assert set(frequency._proven_top(df, ["a", "b"], 1)) == {"a"}
+    assert [tuple(r) for r in pl.top_values(df, ["a", "b"], 1, sketch=True).collect()] == [("a", 1, "hot", 5000), ("b", 1, "0", 1)]

@@ -5,7 +5,8 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import plumbline as pl
-from plumbline.operators.rules import java_pattern
+from plumbline.functions.columns import normalise_missing, ref
+from plumbline.operators.rules import compile_all, java_pattern
 
 R = pl.SyntacticRule
 
@@ -280,3 +281,68 @@ def test_demo_recipe_counts_what_was_injected(spark):
     assert one(df, "dlc", "range", {"min": 0, "max": 8}).violations == int((dlc == -1).sum())
     labelled = pl.label_completeness(df, unlabeled_values=[-1]).first().labelled_rows
     assert labelled == int((label != -1).sum())
+
+
+def test_bounds_beyond_all_numbers(spark):
+    df = spark.createDataFrame([(1, 1.5, "a"), (-5, float("inf"), "b"), (None, None, None)], "i long, x double, s string")
+    df = df.withColumn("d", F.col("i").cast("decimal(20,2)"))
+    for field, infinite in (("i", 0), ("x", 1), ("d", 0)):
+        assert one(df, field, "range", {"min": 10**25}).violations == (1 if field == "x" else 2)
+        assert one(df, field, "range", {"max": 10**25}).violations == infinite
+        assert one(df, field, "range", {"min": -(10**25), "max": 10**400}).violations == 0
+        assert one(df, field, "range", {"max": -(10**25)}).violations == 2
+        assert one(df, field, "range", {"min": 1e400}).violations == (1 if field == "x" else 2)
+        assert one(df, field, "enum", [10**25, 1, 1.5]).violations == 1
+    assert one(df, "s", "length", {"max": 10**25, "min": -1e400}).violations == 0
+    assert one(df, "i", "range", {"min": 0.5, "max": 0.75}).violations == 2
+    broken = [R("i", "range", {"min": 10**25}), R("d", "range", {"max": -(10**50)})]
+    assert pl.violating_rows(df, broken).count() == 2
+
+
+def test_limits_as_data_agree_with_columns(spark):
+    df = spark.createDataFrame(
+        [(i, i / 4, f"k{i % 7}" if i % 3 else None) for i in range(60)] + [(None, float("nan"), "é" * 9)],
+        "i int, x double, s string",
+    )
+    specs = [("range", {"min": 3, "max": 12.5}), ("range", {"max": 9}), ("length", {"min": 2, "max": 2.5}), ("not_null", True), ("enum", [1, 2.0, 0.25]), ("enum", [])]
+    rules = [R(c, *s) for c in ("i", "x") for s in specs]
+    rules += [R("s", "enum", ["k1", "k2"]), R("s", "range", {"min": "k2", "max": "k4"}), R("s", "enum", [f"k{i}" for i in range(200)])]
+    clean = normalise_missing(df)
+    compiled = compile_all(clean, rules)
+    assert all(c.limits is not None for c in compiled)
+    wanted = clean.agg(*[F.count_if(c.failed) for c in compiled]).first()
+    assert [r.violations for r in pl.check_rules(df, rules).collect()] == list(wanted)
+
+
+def test_a_rule_that_raises_leaves_the_others(spark):
+    df = spark.createDataFrame([("1", 2), ("x", 3), ("5", 0)], "s string, i int")
+
+    def rule(expression):
+        return pl.SemanticRule(expression, "cross_field", ("s",), expression=expression)
+
+    rules = [rule("i > 1"), rule("cast(s as int) > 0"), rule("i < 3"), rule("10 / i > 3"), rule("s <> 'x'")]
+    rows = pl.check_semantic_rules(df, rules).collect()
+    assert [(r.status, r.violations) for r in rows] == [("ok", 1), ("raised", None), ("ok", 1), ("raised", None), ("ok", 1)]
+    assert [r.rule_id for r in rows] == ["S1", "S2", "S3", "S4", "S5"]
+    result = pl.evaluate(df, pl.EvaluationConfig(dataset_name="t", as_of_year=2026, semantic_rules=rules))
+    assert {r.status for r in result.rule_results.collect()} == {"ok", "raised"}
+
+
+@pytest.mark.parametrize("rows", [3, 0])
+def test_wide_tables_are_aggregated_by_position(spark, rows):
+    names = [f"n {i}" for i in range(300)] + [f"t.{i}" for i in range(300)]
+    made = [F.when(F.col("id") != i % 3, F.lit(float(i))).alias(c) if i % 5 else F.lit(1.0).alias(c) for i, c in enumerate(names[:300])]
+    made += [F.lit("x").alias(c) if i % 2 else F.when(F.col("id") > 0, F.lit("yy")).alias(c) for i, c in enumerate(names[300:])]
+    wide = spark.range(3).select(*made).limit(rows)
+    narrow = [wide.select(*[ref(c) for c in names[k : k + 100]]) for k in range(0, 600, 100)]
+
+    def by_column(operator):
+        return sorted(map(tuple, operator(wide).collect())), sorted(tuple(r) for part in narrow for r in operator(part).collect())
+
+    for operator in (pl.null_profile, pl.redundant_columns):
+        got, wanted = by_column(operator)
+        assert got == wanted
+    parts, whole = [pl.completeness(p).first() for p in narrow], pl.completeness(wide).first()
+    for c in ("null_cells", "total_cells", "complete_columns", "column_count"):
+        assert whole[c] == sum(p[c] for p in parts)
+    assert (whole.row_count, whole.complete_rows) == (rows, 0)

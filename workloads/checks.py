@@ -102,7 +102,8 @@ register(
     "dirty_lineitem",
     pl.column_types,
     " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, {_TYPE_SQL.replace('{c}', c)} AS data_type, CAST({i} AS INTEGER) AS position"
+        f"SELECT '{c}' AS column_name, {_TYPE_SQL.replace('{c}', c)} AS data_type, CAST({i} AS INTEGER) AS position, "
+        f"{n(f'count({c})')} AS non_null FROM dirty_lineitem"
         for i, c in enumerate(LINEITEM, 1)
     ),
 )
@@ -226,6 +227,18 @@ def _top_sql(columns, table: str, k: int) -> str:
 
 
 register("top_values", "dirty_lineitem", pl.top_values, _top_sql(OTHERS, "dirty_lineitem", 10))
+register(
+    "top_values_sketched",
+    "dirty_lineitem",
+    lambda df: pl.top_values(df, sketch=True),
+    _top_sql(OTHERS, "dirty_lineitem", 10),
+)
+register(
+    "top_values_sketched_documents",
+    "documents",
+    lambda df: pl.top_values(df, ["doc_id", "lang", "source"], 3, sketch=True),
+    _top_sql(["doc_id", "lang", "source"], "documents", 3),
+)
 register(
     "value_frequency",
     "dirty_orders",
@@ -632,6 +645,42 @@ register(
     lambda df: pl.check_semantic_rules(df, [SHIP_AFTER_ORDER]),
     rule_row(SHIP_AFTER_ORDER, "shipped_orders", "NOT (l_shipdate >= o_orderdate)"),
 )
+WHOLE_PRIORITY = M(
+    "whole_priority",
+    "cross_field",
+    ("o_orderpriority", "o_custkey"),
+    "priority is a number, which most texts are not",
+    rule_id="whole_priority",
+    expression="CAST(o_orderpriority AS INT) > 0 AND o_custkey > 0",
+)
+KNOWN_CUSTOMER = M(
+    "known_customer",
+    "domain_logic",
+    ("o_custkey",),
+    "customers have small numbers",
+    rule_id="known_customer",
+    condition="o_orderstatus = 'F'",
+    expression="o_custkey < 10000000",
+)
+HUGE_TOTAL = S("o_totalprice", "range", {"min": 0, "max": 10**25}, "beyond 64 bits", rule_id="huge_total")
+HUGE_KEY = S("o_orderkey", "range", {"min": -(10**25), "max": 10**25}, "beyond 64 bits", rule_id="huge_key")
+NO_KEY = S("o_orderkey", "range", {"min": 10**25}, "above all keys", rule_id="no_key")
+register(
+    "rules_that_raise",
+    "dirty_orders",
+    lambda df: pl.check_semantic_rules(df, [WHOLE_PRIORITY, KNOWN_CUSTOMER]).unionByName(
+        pl.check_rules(df, [HUGE_TOTAL, HUGE_KEY, NO_KEY])
+    ),
+    " UNION ALL ".join(
+        [
+            rule_row(WHOLE_PRIORITY, "dirty_orders", None, status="raised"),
+            rule_row(KNOWN_CUSTOMER, "dirty_orders", "o_orderstatus = 'F' AND NOT (o_custkey < 10000000)"),
+            rule_row(HUGE_TOTAL, "dirty_orders", "o_totalprice < 0 OR o_totalprice > 1e25"),
+            rule_row(HUGE_KEY, "dirty_orders", "false"),
+            rule_row(NO_KEY, "dirty_orders", "o_orderkey IS NOT NULL"),
+        ]
+    ),
+)
 RETURNED_IS_FINAL = M(
     "returned_is_final",
     "domain_logic",

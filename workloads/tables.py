@@ -45,7 +45,7 @@ FROM orders""",
 SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality AS label, l.toxic
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "imbalanced_embeddings": """
-SELECT vec_id, label FROM embeddings WHERE label < 3 OR vec_id % 5 = 0""",
+SELECT vec_id, CASE WHEN label >= 3 AND vec_id % 5 <> 0 THEN label % 3 ELSE label END AS label FROM embeddings""",
     "mixed_values": """
 SELECT doc_id, lang,
        CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN CAST(doc_id AS VARCHAR(20)) WHEN doc_id % 7 = 0 THEN '2024-01-15' WHEN doc_id % 3 = 0 THEN 'true' ELSE source END AS mixed,
