@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.columns import ref
 from plumbline.functions.frames import local_frame
+from plumbline.sources.csv_blocks import read_csv_blocks
 from plumbline.sources.excel import read_excel
 
 # Formats by file suffix.
@@ -72,6 +73,7 @@ def read_table(
     format: str | None = None,
     schema: T.StructType | str | None = None,
     missing: Sequence[str] = MISSING_TOKENS,
+    split: bool = False,
     **options,
 ) -> DataFrame:
     """Read a file or folder; the format comes from the suffix unless given.
@@ -79,8 +81,9 @@ def read_table(
     Formats are csv (with header), parquet, json (array of records), jsonl and
     excel (.xlsx).  A schema saves the extra pass that inferring types takes.
     CSV cells that equal one of ``missing`` are NULL unless a schema is given.
-    Quoted line breaks keep a CSV file in one task; ``multiLine=False`` lets
-    Spark split files that have none.
+    Quoted line breaks keep a CSV file in one task.  ``multiLine=False`` lets Spark
+    split files that have none, ``split=True`` splits any with a header; of the
+    options, that one knows ``sep`` and ``quote`` only.
     """
     suffix = PurePosixPath(str(path)).suffix.lower()
     kind = format or FORMATS.get(suffix)
@@ -95,6 +98,14 @@ def read_table(
         # A doubled quote is a quote, and quoted line breaks are kept; the caller's options win.
         plain = {"header": True, "multiLine": True, "escape": '"'} | options
         text = spark.read.options(**plain)
+        if split:
+            names = text.csv(str(path)).columns
+            cells = read_csv_blocks(spark, str(path), names, **options)
+            if schema is None:
+                return typed(without_tokens(cells, missing))
+            wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+            renamed = cells.toDF(*wanted.fieldNames())
+            return renamed.select(*[ref(f.name).try_cast(f.dataType).alias(f.name) for f in wanted])
         if schema is not None:
             return text.schema(schema).csv(str(path))
         return typed(without_tokens(text.csv(str(path)), missing))

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import json
 import zipfile
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plumbline as pl
+from plumbline.sources.csv_blocks import csv_records
 from plumbline.streaming.quality import utc_instant, utc_wall_clock
 
 ROWS = [(1, "a", 1.5), (2, "b", None), (3, None, 2.0)]
@@ -187,3 +189,45 @@ def test_csv_sink_reads_back_exactly(spark, tmp_path):
     pl.write_table(spark.createDataFrame(rows, "id long, text string"), path, "csv")
     # As in any CSV file, a text of no characters is a missing one.
     assert sorted(map(tuple, pl.read_table(spark, path).collect())) == [*rows[:-1], (6, None)]
+
+
+def csv_text(draw, rows):
+    """Lines of cells, some quoted with line breaks, separators and doubled quotes inside."""
+    cells = ["plain", "", '"two\nlines"', '"a ""quoted"" word"', '"x,y"', '"\n\n"', '"long\r\n' + "line of text\n" * 9 + '"', "é", '""""', '"\n"""']
+    return "id,a,b\n" + "".join(f"{i},{draw.choice(cells)},{draw.choice(cells)}\n" for i in range(rows))
+
+
+@pytest.mark.parametrize("block", [64, 700, 10_000])
+def test_split_csv_is_the_same_as_one_task(spark, tmp_path, block):
+    draw = random.Random(block)
+    for k in range(2):
+        (tmp_path / f"part{k}.csv").write_bytes(csv_text(draw, 60).encode())
+    path = str(tmp_path)
+    whole = pl.read_table(spark, path, "csv", missing=())
+    wanted = sorted(map(tuple, whole.collect()), key=repr)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        split = pl.read_table(spark, path, "csv", missing=(), split=True)
+        assert split.columns == whole.columns and split.dtypes == whole.dtypes
+        assert sorted(map(tuple, split.collect()), key=repr) == wanted and len(wanted) == 120
+        records = csv_records(spark, path)
+        assert records.rdd.getNumPartitions() > 1 and records.where("block > 0").count() > 0 or block == 10_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_split_csv_edges(spark, tmp_path):
+    path = str(tmp_path / "a.csv")
+
+    def read(text, **options):
+        with open(path, "wb") as f:
+            f.write(text.encode())
+        return pl.read_table(spark, path, split=True, **options)
+
+    lines = read("id,text\r\n1,a\r\n\r\n2,\"b\r\nc\"\r\n")
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, pl.read_table(spark, path).collect())) and lines.count() == 2
+    assert read("id,text\n").count() == 0
+    df = read('id;text\n1;\'a\n"b\'\n', sep=";", quote="'", schema="n int, s string")
+    assert [tuple(r) for r in df.collect()] == [(1, 'a\n"b')]
+    assert sorted(r.id for r in read("id,text\n1,NA\n2,x").collect()) == [1, 2]

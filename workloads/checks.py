@@ -973,6 +973,13 @@ def _csv_orders(spark: SparkSession, path: str) -> DataFrame:
     return read.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
+def _split_to_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with quoted line breaks, read by many tasks and stored as Parquet."""
+    stored = f"{durable_folder(spark, 'files')}/split.parquet"
+    pl.write_table(pl.read_table(spark, path, split=True, missing=()), stored, "parquet")
+    return pl.read_table(spark, stored)
+
+
 _ORDERS_SQL = (
     "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) + 0.0 AS o_totalprice, o_orderdate, o_orderpriority "
     "FROM dirty_orders"
@@ -985,12 +992,14 @@ for _name, _run in {
 }.items():
     register(_name, None, _run)
     SQL[_name] = with_view("dirty_orders", _ORDERS_SQL)
+_TEXTS_SQL = "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents"
 register(
     "csv_texts",
     None,
     _through_file("documents", "csv", pl.read_table),
-    "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents",
+    _TEXTS_SQL,
 )
+register("csv_texts_split", None, _through_file("documents", "csv", _split_to_parquet), _TEXTS_SQL)
 
 
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
