@@ -58,14 +58,18 @@ def duplicate_rows(df: DataFrame, digest: bool = False) -> DataFrame:
     decides alone, with a collision chance below 1e-14 at 1e12 rows.
     """
     rows, counted = comparable(df), Observation("duplicates")
-    found = digest_groups(rows).observe(counted, F.sum("cnt").alias("rows")) if df.columns else None
-    if found is None:
+    if not df.columns:
         n = df.count()
         return _result(df, n, max(0, n - 1))
+    groups = digest_groups(rows)
+    if digest:
+        n, copies = groups.agg(F.sum("cnt"), F.sum(F.col("cnt") - 1)).first()
+        return _result(df, n or 0, copies or 0)
+    found = groups.observe(counted, F.sum("cnt").alias("rows"))
     repeated = found.where(F.col("cnt") > 1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         hashes, copies = repeated.agg(F.count(F.lit(1)), F.sum(F.col("cnt") - 1)).first()
-        if hashes and not digest:
+        if hashes:
             few = repeated.drop("cnt")
             copies = _copies_among(rows, F.broadcast(few) if hashes <= BROADCAST_HASHES else few)
         return _result(df, counted.get["rows"] or 0, copies or 0)

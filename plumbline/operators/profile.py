@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.columns import (
     TEMPORAL_TYPES,
+    chunks,
     dtype_of,
     groupable,
     is_missing,
@@ -19,6 +20,8 @@ from plumbline.functions.columns import (
 )
 from plumbline.functions.frames import (
     HEAVY_COLUMNS_PER_STAGE,
+    LIGHT_COLUMNS_PER_STAGE,
+    WIDE_COLUMNS,
     local_frame,
     number_text,
     per_column,
@@ -119,9 +122,15 @@ def _outlier_counts(
     clean: DataFrame, columns: Sequence[str], fences: Mapping[str, tuple[float, float]]
 ) -> dict[str, int]:
     fenced = [c for c in columns if c in fences]
-    limits = [(i, c, Limits("real", *fences[c])) for i, c in enumerate(fenced)]
-    found = count_broken(clean, limits, []).first()["counts"] if fenced else {}
-    return dict.fromkeys(columns, 0) | {c: found.get(i, 0) for i, c in enumerate(fenced)}
+    limits = {c: Limits("real", *fences[c]) for c in fenced}
+    counts = dict.fromkeys(columns, 0)
+    if len(fenced) > WIDE_COLUMNS:
+        found = count_broken(clean, [(i, c, limits[c]) for i, c in enumerate(fenced)], []).first()["counts"]
+        return counts | {c: found.get(i, 0) for i, c in enumerate(fenced)}
+    for group in chunks(fenced, LIGHT_COLUMNS_PER_STAGE):
+        broken = [F.count_if(limits[c].broken(ref(c).cast("double"))) for c in group]
+        counts |= dict(zip(group, clean.agg(*[m.alias(f"n{i}") for i, m in enumerate(broken)]).first()))
+    return counts
 
 
 def _moments_and_quartiles(

@@ -96,8 +96,8 @@ STORED = "__stored_row__"
 # A character that is in no rule id.
 ID_SEPARATOR = "\u0001"
 
-# Conditions that are Columns are counted together up to this number; more of them
-# outgrow what the JVM compiles as one method.
+# Conditions are counted together up to this number; more of them outgrow what the
+# JVM compiles as one method.  Up to it, they are faster than limits as data.
 CONDITIONS_PER_SCAN = 64
 
 
@@ -403,11 +403,14 @@ _RULE = "array<struct<number:int,tainted:int,rule_id:string,field:string,rule_ty
 def count_rules(clean: DataFrame, compiled: Sequence[CompiledRule]) -> DataFrame:
     """Count all compiled rules over the table, in their order.
 
-    Rules with limits share one scan, whatever their number.  Conditions are counted
-    in it as well, those beyond CONDITIONS_PER_SCAN in scans of their own.
+    A small set of rules is one aggregate of conditions.  In a larger one, rules with
+    limits share one scan as data, whatever their number; conditions are counted in it
+    as well, those beyond CONDITIONS_PER_SCAN in scans of their own.
     """
     if not compiled:
         return local_frame(clean.sparkSession, [], RULE_RESULTS)
+    if len(compiled) <= CONDITIONS_PER_SCAN:
+        return result_rows(clean.agg(*[m.alias(k) for k, m in rule_metrics(compiled).items()]), compiled)
     limits = [(i, c.field, c.limits) for i, c in enumerate(compiled) if as_data(c.limits)]
     conditions = [(i, c.failed) for i, c in enumerate(compiled) if c.runnable and not as_data(c.limits)]
     # The rows that a failure taints are counted as a rule of their own.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -94,8 +95,9 @@ def _seams(compared: DataFrame, key_names: list[str], names: list[str]) -> DataF
     return parts.select("broken", "head", F.coalesce(below, F.lit(False)).alias("seam"))
 
 
-# Buckets that a hot key is cut into along its order, and items that a sketch of keys holds.
-BUCKETS, SKETCHED = 64, 4096
+# Buckets for each task that a hot key is cut into along its order, the most of them, items that a sketch of keys holds,
+# and rows for one that sketches see.
+BUCKETS, MOST_BUCKETS, SKETCHED, SEEN = 2, 512, 4096, 8
 
 
 @dataclass(frozen=True)
@@ -122,21 +124,26 @@ def _place(df: DataFrame, name: str) -> Column:
 
 
 def _layout(rows: DataFrame, key: Column, position: Column, place: Column, complete: Column, parts: int) -> _Layout:
+    rows = rows.withColumn("seen", complete & (F.monotonically_increasing_id() % SEEN == 0))
+
     def heavy(value: Column) -> Column:
-        return F.call_function("approx_top_k", F.when(complete, value), F.lit(4 * parts), F.lit(max(SKETCHED, 16 * parts)))
+        return F.call_function("approx_top_k", F.when(F.col("seen"), value), F.lit(4 * parts), F.lit(max(SKETCHED, 16 * parts)))
 
-    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    sketch = F.kll_sketch_agg_double(F.when(complete, place), 400)
+    buckets = min(BUCKETS * parts, MOST_BUCKETS)
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)] or [F.lit(0.5)])
+    sketch = F.kll_sketch_agg_double(F.when(F.col("seen"), place), 400)
     seen = rows.agg(
         F.count(F.lit(1)).alias("total"),
+        F.count_if("seen").alias("seen"),
         heavy(key).alias("keys"),
         heavy(position).alias("positions"),
-        F.when(F.count_if(complete & place.isNotNull()) > 0, F.kll_sketch_get_quantile_double(sketch, shares)).alias("bounds"),
+        F.when(F.count_if(F.col("seen") & place.isNotNull()) > 0, F.kll_sketch_get_quantile_double(sketch, shares)).alias("bounds"),
     ).first()
-    least = seen["total"] / (4 * parts)
+    least = seen["seen"] / (4 * parts)
     hot = [x["item"] for x in seen["keys"] if x["item"] is not None and x["count"] > least]
     repeated = any(x["item"] is not None and x["count"] > least for x in seen["positions"])
-    return _Layout(seen["total"], hot, sorted(set(seen["bounds"] or ())), repeated)
+    bounds = sorted({x for x in seen["bounds"] or () if math.isfinite(x)})
+    return _Layout(seen["total"], hot, bounds, repeated)
 
 
 def temporal_violations(
@@ -179,27 +186,31 @@ def temporal_violations(
         shared = shared.groupBy(*cut, *orders).agg(least, greatest).repartition(n, *cut)
     else:
         shared = shared.repartition(n, *cut).groupBy(*cut, *orders).agg(least, greatest)
-    before = F.lag("greatest").over(Window.partitionBy(*cut).orderBy(*orders))
-    compared = shared.withColumn("broken", F.col("least") < before)
-    order = F.struct(*orders)
+    window = Window.partitionBy(*cut).orderBy(*orders)
+    compared = shared.withColumns({"before": F.lag("greatest").over(window), "after": F.lead("least").over(window)})
+    total, broken = F.lit(layout.total).cast("bigint").alias("total"), F.coalesce(F.col("least") < F.col("before"), F.lit(False))
     if cut == keys:
-        found = compared.agg(F.count_if("broken").alias("violations"))
-        return found.select("violations", F.lit(layout.total).cast("bigint").alias("total"))
-    by_bucket = compared.groupBy(*cut).agg(
-        F.count_if("broken").alias("broken"),
-        F.min(F.struct(order.alias("order"), "least")).getField("least").alias("least"),
-        F.max(F.struct(order.alias("order"), "greatest")).getField("greatest").alias("greatest"),
+        return compared.agg(F.count_if(broken).alias("violations")).select("violations", total)
+    # The ends of buckets: a bounded number of hot keys has a bounded number of them.
+    bounded = F.col("bucket") > 0
+    head, tail = bounded & F.col("before").isNull(), bounded & F.col("after").isNull()
+    found = compared.where(broken | head | tail).agg(
+        F.count_if(broken).alias("broken"),
+        _ends(head, keys, "least").alias("heads"),
+        _ends(tail, keys, "greatest").alias("tails"),
     )
-    # A bounded number of hot keys has a bounded number of buckets.
-    edge = F.when(F.col("bucket") > 0, F.struct(F.struct(*keys).alias("key"), "bucket", "least", "greatest"))
-    found = by_bucket.agg(F.sum("broken").alias("broken"), F.array_sort(F.collect_list(edge)).alias("edges"))
+
     def below(x: Column, i: Column) -> Column:
-        previous = F.get("edges", i - 1)
+        previous = F.get("tails", i - 1)
         return (x["key"] == previous["key"]) & (x["least"] < previous["greatest"])
 
-    seams = F.filter("edges", below)
-    violations = F.coalesce("broken", F.lit(0)) + F.size(seams)
-    return found.select(violations.cast("bigint").alias("violations"), F.lit(layout.total).cast("bigint").alias("total"))
+    violations = F.col("broken") + F.size(F.filter("heads", below))
+    return found.select(violations.cast("bigint").alias("violations"), total)
+
+
+def _ends(chosen: Column, keys: Sequence[str], field: str) -> Column:
+    """An aggregate: (key, bucket, field) of the chosen rows in order."""
+    return F.array_sort(F.collect_list(F.when(chosen, F.struct(F.struct(*keys).alias("key"), "bucket", field))))
 
 
 def temporal_violating_rows(

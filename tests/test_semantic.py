@@ -72,7 +72,7 @@ def test_temporal_cuts_a_hot_key_into_buckets(spark):
     assert "hashpartitioning(key0" in plan and plan.count("hashpartitioning(") == 1
     columns = [F.col("id").alias("key0"), (F.col("id") / 2).alias("order0")]
     layout = semantic._layout(df.select(F.lit(1).alias("key0"), F.col("seq").alias("order0")), F.xxhash64("key0"), F.xxhash64("key0", "order0"), F.col("order0").cast("double"), F.lit(True), 4)
-    assert len(layout.hot) == 1 and len(layout.bounds) == semantic.BUCKETS - 1 and not layout.repeated
+    assert len(layout.hot) == 1 and len(layout.bounds) == 4 * semantic.BUCKETS - 1 and not layout.repeated
     even = spark.range(10000).select(*columns)
     assert not semantic._layout(even, F.xxhash64("key0"), F.xxhash64(*even.columns), F.col("order0"), F.lit(True), 4).hot
 
