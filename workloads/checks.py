@@ -227,6 +227,40 @@ def _top_sql(columns, table: str, k: int) -> str:
 
 
 register("top_values", "dirty_lineitem", pl.top_values, _top_sql(OTHERS, "dirty_lineitem", 10))
+#: Three significant digits as in a profile's text.
+_THREE_DIGITS = (
+    "CASE WHEN abs(m) >= 999.5 OR abs(m) < 0.00009995 THEN printf('%.2e', m) WHEN abs(m) >= 99.95 THEN printf('%.0f', m) "
+    "WHEN abs(m) >= 9.995 THEN printf('%.1f', m) WHEN abs(m) >= 0.9995 THEN printf('%.2f', m) WHEN abs(m) >= 0.09995 THEN printf('%.3f', m) "
+    "WHEN abs(m) >= 0.009995 THEN printf('%.4f', m) WHEN abs(m) >= 0.0009995 THEN printf('%.5f', m) ELSE printf('%.6f', m) END"
+)
+_CELLS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {i} AS position, {_TYPE_SQL.replace('{c}', c)} AS data_type, "
+    f"100.0 * (count(*) - count({c})) / count(*) AS missing, "
+    + (f"avg(CAST({c} AS DOUBLE))" if kind == "number" else "CAST(NULL AS DOUBLE)")
+    + " AS m FROM dirty_lineitem"
+    for i, (c, kind) in enumerate(LINEITEM.items(), 1)
+)
+register(
+    "profile_text",
+    "dirty_lineitem",
+    lambda df: pl.profile_lines(df, "l_returnflag"),
+    f"WITH cells AS ({_CELLS_SQL}), p AS ({_COLUMN_PROFILE_SQL}), "
+    f"listed AS (SELECT column_name, string_agg(value, ', ' ORDER BY rank) AS top FROM ({_top_sql(OTHERS, 'dirty_lineitem', 5)}) AS t GROUP BY 1), "
+    f"copies AS (SELECT sum(c) AS n, sum(c - 1) AS d FROM {_GROUPS}), "
+    "classes AS (SELECT l_returnflag AS label, count(*) AS cnt FROM dirty_lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1), "
+    "lines AS ("
+    f"SELECT 0 AS section, 0 AS place, '' AS name, 'Dataset: ' || CAST(n AS BIGINT) || ' rows x {len(LINEITEM)} columns' AS text FROM copies "
+    "UNION ALL SELECT 1, 0, '', 'Duplicate rows: ' || CAST(d AS BIGINT) || ' (' || printf('%.1f', 100.0 * d / n) || '%)' FROM copies "
+    "UNION ALL SELECT 2, 0, '', 'Label column: ' || chr(39) || 'l_returnflag' || chr(39) "
+    "UNION ALL SELECT 3, -cnt, label, '  class ' || label || ': ' || cnt FROM classes "
+    "UNION ALL SELECT 4, 0, '', 'Class balance (min/max): ' || printf('%.3f', min(cnt) * 1.0 / max(cnt)) FROM classes "
+    "UNION ALL SELECT 5, 0, '', 'Column profiles:' "
+    "UNION ALL SELECT 6, position, '', '  ' || column_name || ' [' || data_type || ']: ' || printf('%.1f', missing) || '% null, ' || "
+    f"CASE WHEN m IS NOT NULL THEN 'range [' || CAST(min_value AS VARCHAR) || ', ' || CAST(max_value AS VARCHAR) || '], mean=' || {_THREE_DIGITS} "
+    "|| ', outliers=' || outlier_count || ', unique=' || unique_count ELSE 'unique=' || unique_count || ', top=[' || top || ']' END "
+    "FROM cells JOIN p USING (column_name) LEFT JOIN listed USING (column_name)) "
+    f"SELECT {n('row_number() OVER (ORDER BY section, place, name)')} AS line_no, text FROM lines",
+)
 register(
     "top_values_sketched",
     "dirty_lineitem",
