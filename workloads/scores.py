@@ -274,6 +274,15 @@ score_query(
     "'Raise ' || replace(dimension, '_', ' ') || ' from ' || printf('%.1f%%', score) AS advice FROM dims WHERE NOT passed",
 )
 score_query("report_lines", pl.report_lines)
+score_query(
+    "report_figures",
+    lambda e: pl.report_lines(e)
+    .where("text LIKE '### %' OR text LIKE '  * %'")
+    .select(F.regexp_replace("text", "(PASS|FAIL): .*", "$1").alias("text")),
+    f"{_DIMS} SELECT '### ' || upper(characteristic[1]) || characteristic[2:] || ': ' || printf('%.1f%%', avg(score)) || ' (priority ' || priority || ')' AS text "
+    "FROM dims GROUP BY characteristic, priority UNION ALL "
+    "SELECT '  * ' || dimension || ' ' || printf('%.1f%%', score) || ', ' || CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END FROM dims WHERE score IS NOT NULL",
+)
 score_query("evaluation_rules", lambda e: e.rule_results)
 _ROWS = [checks.rule_row(CONDITIONS[i][0], "dirty_lineitem", *CONDITIONS[i][1:]) for i in RULE_IDS]
 _ROWS += [
