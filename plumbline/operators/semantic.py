@@ -98,6 +98,8 @@ def _seams(compared: DataFrame, key_names: list[str], names: list[str]) -> DataF
 # Buckets for each task that a hot key is cut into along its order, the most of them, items that a sketch of keys holds,
 # and rows for one that sketches see.
 BUCKETS, MOST_BUCKETS, SKETCHED, SEEN = 2, 512, 4096, 8
+# Most keys that are cut; with as many, each has less than its share of a task.
+MOST_HOT = 10_000
 
 
 @dataclass(frozen=True)
@@ -115,8 +117,14 @@ def _place(df: DataFrame, name: str) -> Column:
     dtype, value = dtype_of(df, name), ref(name)
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return value.cast("double")
-    if isinstance(dtype, TEMPORAL_TYPES):
-        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        # Not by an instant, as a zone may put its clocks forward.
+        day = F.unix_date(value.cast("date")).cast("double") * 86400
+        return day + F.hour(value) * 3600 + F.minute(value) * 60 + F.date_part(F.lit("SECOND"), value).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(value).cast("double")
     if isinstance(dtype, (T.StringType, T.BinaryType)):
         padded = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
         return F.conv(padded, 16, 10).cast("double")
@@ -127,7 +135,7 @@ def _layout(rows: DataFrame, key: Column, position: Column, place: Column, compl
     rows = rows.withColumn("seen", complete & (F.monotonically_increasing_id() % SEEN == 0))
 
     def heavy(value: Column) -> Column:
-        return F.call_function("approx_top_k", F.when(F.col("seen"), value), F.lit(4 * parts), F.lit(max(SKETCHED, 16 * parts)))
+        return F.call_function("approx_top_k", F.when(F.col("seen"), value), F.lit(min(4 * parts, MOST_HOT)), F.lit(min(max(SKETCHED, 16 * parts), 16 * MOST_HOT)))
 
     buckets = min(BUCKETS * parts, MOST_BUCKETS)
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)] or [F.lit(0.5)])

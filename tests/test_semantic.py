@@ -77,13 +77,25 @@ def test_temporal_cuts_a_hot_key_into_buckets(spark):
     assert not semantic._layout(even, F.xxhash64("key0"), F.xxhash64(*even.columns), F.col("order0"), F.lit(True), 4).hot
 
 
-@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "double", "decimal(30,2)", "boolean"])
+def test_places_of_wall_clocks_ignore_zones(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        minutes = spark.range(0, 600, 10).select(F.expr("timestamp_ntz'2024-03-31 00:00:00' + make_interval(0, 0, 0, 0, 0, id, 0)").alias("order0"))
+        places = [r.place for r in minutes.orderBy("order0").select(semantic._place(minutes, "order0").alias("place")).collect()]
+        assert places == sorted(places) and len(set(places)) == 60
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "timestamp_ntz", "double", "decimal(30,2)", "boolean"])
 def test_places_never_fall(spark, kind):
     ids = spark.range(-40, 400, 7).select(F.col("id").cast("int").alias("id"))
     values = {
         "string": F.concat(F.lit("é"), F.col("id").cast("string")),
         "date": F.date_add(F.lit("2000-01-01").cast("date"), F.col("id")),
         "timestamp": F.timestamp_seconds(F.col("id") * 86400.0),
+        "timestamp_ntz": F.timestamp_seconds(F.col("id") * 86400.0).cast("timestamp_ntz"),
         "boolean": F.col("id") > 9,
     }
     df = ids.select(values.get(kind, F.col("id").cast(kind)).alias("order0"))
