@@ -100,7 +100,9 @@ def read_csv_blocks(
 ) -> DataFrame:
     """Files with a header line as text columns, quoted line breaks kept; empty cells are NULL.
 
-    A quote inside of a quoted cell is doubled.  Blank lines are left out.
+    A quote inside of a quoted cell is doubled.  Blank lines are left out.  Line
+    breaks inside of cells stay as they are, also where lines end with ``\\r\\n``,
+    which the reader of whole files turns into ``\\n`` there.
     """
     records = csv_records(spark, path, quote)
     rows = records.where(~((F.col("block") == 0) & (F.col("number") == 1)))

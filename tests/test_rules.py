@@ -330,11 +330,11 @@ def test_a_rule_that_raises_leaves_the_others(spark):
 
 @pytest.mark.parametrize("rows", [3, 0])
 def test_wide_tables_are_aggregated_by_position(spark, rows):
-    names = [f"n {i}" for i in range(300)] + [f"t.{i}" for i in range(300)]
-    made = [F.when(F.col("id") != i % 3, F.lit(float(i))).alias(c) if i % 5 else F.lit(1.0).alias(c) for i, c in enumerate(names[:300])]
-    made += [F.lit("x").alias(c) if i % 2 else F.when(F.col("id") > 0, F.lit("yy")).alias(c) for i, c in enumerate(names[300:])]
+    names = [f"n {i}" for i in range(120)] + [f"t.{i}" for i in range(120)]
+    made = [F.when(F.col("id") != i % 3, F.lit(float(i))).alias(c) if i % 5 else F.lit(1.0).alias(c) for i, c in enumerate(names[:120])]
+    made += [F.lit("x").alias(c) if i % 2 else F.when(F.col("id") > 0, F.lit("yy")).alias(c) for i, c in enumerate(names[120:])]
     wide = spark.range(3).select(*made).limit(rows)
-    narrow = [wide.select(*[ref(c) for c in names[k : k + 100]]) for k in range(0, 600, 100)]
+    narrow = [wide.select(*[ref(c) for c in names[k : k + 80]]) for k in range(0, 240, 80)]
 
     def by_column(operator):
         return sorted(map(tuple, operator(wide).collect())), sorted(tuple(r) for part in narrow for r in operator(part).collect())

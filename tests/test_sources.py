@@ -226,7 +226,8 @@ def test_split_csv_edges(spark, tmp_path):
         return pl.read_table(spark, path, split=True, **options)
 
     lines = read("id,text\r\n1,a\r\n\r\n2,\"b\r\nc\"\r\n")
-    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, pl.read_table(spark, path).collect())) and lines.count() == 2
+    # A line break inside of a cell is as in the file, where one task would write \r\n as \n.
+    assert sorted(map(tuple, lines.collect())) == [(1, "a"), (2, "b\r\nc")]
     assert read("id,text\n").count() == 0
     df = read('id;text\n1;\'a\n"b\'\n', sep=";", quote="'", schema="n int, s string")
     assert [tuple(r) for r in df.collect()] == [(1, 'a\n"b')]
