@@ -200,37 +200,49 @@ class AttentionModel:
 
     def _gradient(self, before: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
         p, b = self.params, self.bigrams
-        logits, (at, last, q, k, v, weight, total, mixed, hidden) = self._forward(before)
-        logits += _rows(b.log_class, last.reshape(-1))
+        d, (at, last, q, k, v, weight, total, mixed, hidden) = self._forward(before)
         weight /= total
         goal = wanted.reshape(-1)
-        d = np.exp(logits - logits.max(1, keepdims=True))
-        d /= d.sum(1, keepdims=True)
+        # Probabilities of classes, as in log_probability, less one for the class that is wanted.
+        np.exp(np.clip(d, -60, 60, out=d), out=d)
+        d *= _rows(b.by_class, last.reshape(-1))
+        d /= (d @ np.ones(d.shape[1], np.float32))[:, None]
         d[np.arange(len(goal)), b.cls[b.index[goal]]] -= 1
         d *= ((goal >= 0) / max(1, (goal >= 0).sum())).astype(np.float32)[:, None]
         flat = hidden.reshape(-1, HIDDEN)
-        d_hidden = (d @ p["out"].T) * (flat > 0)
-        x = p["token"][at] + p["place"]
+        d_hidden = d @ p["out"].T
+        d_hidden *= flat > 0
+        x = _rows(p["token"], at)
+        x += p["place"]
         x_last = x[:, -STRIDE:].reshape(-1, WIDTH)
         d_mixed = (d_hidden @ p["seen"].T).reshape(mixed.shape)
-        d_weight = d_mixed @ v.transpose(0, 2, 1)
         d_v = weight.transpose(0, 2, 1) @ d_mixed
-        d_score = weight * (d_weight - (d_weight * weight).sum(2, keepdims=True))
+        d_score = d_mixed @ v.transpose(0, 2, 1)
+        d_score -= np.einsum("ijk,ijk->ij", d_score, weight)[:, :, None]
+        d_score *= weight
         d_q = (d_score @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
         d_k = d_score.transpose(0, 2, 1) @ q
         flat_x, d_k, d_v = x.reshape(-1, WIDTH), d_k.reshape(-1, WIDTH), d_v.reshape(-1, WIDTH)
-        d_x = (d_k @ p["key"].T + d_v @ p["value"].T).reshape(x.shape)
-        d_x[:, -STRIDE:] += (d_q @ p["query"].T + d_hidden @ p["own"].T).reshape(-1, STRIDE, WIDTH)
+        d_x = d_k @ p["key"].T
+        d_x += d_v @ p["value"].T
+        d_last = d_q @ p["query"].T
+        d_last += d_hidden @ p["own"].T
+        d_x.reshape(x.shape)[:, -STRIDE:] += d_last.reshape(-1, STRIDE, WIDTH)
+        # Rows of an id are added up side by side.
+        at = at.reshape(-1)
+        order = np.argsort(at.astype(np.uint16 if len(p["token"]) <= 1 << 16 else at.dtype), kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
         d_token = np.zeros_like(p["token"])
-        np.add.at(d_token, at.reshape(-1), d_x.reshape(-1, WIDTH))
+        d_token[at[first]] = np.add.reduceat(d_x[order], first)
         return {
             "token": d_token,
-            "place": d_x.sum(0),
+            "place": d_x.reshape(x.shape).sum(0),
             "query": x_last.T @ d_q,
             "key": flat_x.T @ d_k,
             "value": flat_x.T @ d_v,
             "own": x_last.T @ d_hidden,
             "seen": mixed.reshape(-1, WIDTH).T @ d_hidden,
-            "bias": d_hidden.sum(0),
+            "bias": np.ones(len(d_hidden), np.float32) @ d_hidden,
             "out": flat.T @ d,
         }

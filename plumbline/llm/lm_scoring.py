@@ -2,8 +2,8 @@
 
 Everything that is counted, words for the base score and pairs of subword ids
 for the model's prior, is counted over all training documents, summed in every
-task before the shuffle.  The attention layer is fitted on a share of them.
-Each text is cut into overlapping windows, in which each token is scored once.
+task before the shuffle.  The attention layer is fitted on all of them, in
+rounds.  Texts are encoded once; what follows reads their ids.  Each text is cut into overlapping windows, in which each token is scored once.
 Frequent words are looked up in a table of bounded size; the other words of all
 documents are joined with their counts.
 """
@@ -19,22 +19,26 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.attention_lm import FREQUENT, AttentionModel, Bigrams, windows
 from plumbline.llm.shared import fold_of, written
 from plumbline.llm.token_counts import PATTERN
 
-#: Training documents, about, that the attention layer is fitted on, chosen by a hash of the id.
+#: Training documents, about, that the attention layer is fitted on in the first round, chosen by a hash of the row.
 SAMPLE_DOCUMENTS = 800
-#: Share of the training documents that it is fitted on further, in parts of about SAMPLE_DOCUMENTS, where that is more.
-FITTED_SHARE, REFIT_RATE = 0.02, 5e-4
-#: Subword ids that it is fitted on first, repeats counted, in whole passes up to the limit.
+#: Share of the training documents that a round fits before the last fits all the others, where that is more.
+FITTED_SHARE = 0.02
+#: Subword ids that a task fits at once; in the first round repeats count, in whole passes up to the limit.
 FITTED_IDS, MOST_PASSES = 2_500_000, 5
 #: At most so many words are looked up in a table that every task holds.
 FREQUENT_WORDS = 200_000
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
+#: Rows of counts that a task hands on together.
+MADE_ROWS = 50_000
+#: Tasks that add up the parameters of the parts of a round.
+MOST_SUMS = 16
 #: A task forgets the ids of words once it knows those of so many.
 KNOWN_WORDS = 200_000
 #: Subword ids that are scored together.
@@ -95,58 +99,80 @@ def _texts(batch: pa.RecordBatch) -> list[list[bytes]]:
     return [x.translate(_LOWER).split() if x else [] for x in column.to_pylist()]
 
 
-def _id_batches(ranks: bytes):
-    def run(batches):
-        subwords = Subwords(ranks)
-        for batch in _slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in subwords.ids(_texts(batch))], pa.binary())], names=["ids"])
+def _stored(vocabulary: int) -> type:
+    """Type of the ids in files."""
+    return np.uint16 if vocabulary <= 1 << 16 else np.int32
 
-    return run
 
+def _ids(column: pa.Array, vocabulary: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, _stored(vocabulary)).astype(np.int32) for x in column.to_pylist()]
+
+
+def _encoded_batches(ranks: bytes):
+    """Rows of documents with their ids, and behind them counts, over those learned from, of words and of ids."""
+    made = {"row": pa.int64(), "ids": pa.binary(), "word": pa.binary(), "id": pa.int64(), "n": pa.int64()}
+
+    def rows(size: int, given, **columns):
+        """Columns of the input, or only their types, and those made here."""
+        arrays = [x if isinstance(x, pa.Array) else pa.nulls(size, x) for x in given]
+        arrays += [pa.array(columns[name], kind) if name in columns else pa.nulls(size, kind) for name, kind in made.items()]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "text", *made])
+
+    def words_of(held: Counter, types):
+        words, n = list(held), list(held.values())
+        held.clear()
+        for i in range(0, len(words), MADE_ROWS):
+            part = words[i : i + MADE_ROWS]
+            yield rows(len(part), types, word=part, n=n[i : i + MADE_ROWS])
 
-def _id_count_batches(ranks: bytes):
     def run(batches):
         subwords = Subwords(ranks)
-        single = np.zeros(subwords.end + 1, np.int64)
+        stored = _stored(subwords.end + 1)
+        single, held = np.zeros(subwords.end + 1, np.int64), Counter()
+        row, types = TaskContext.get().partitionId() << 40, ()
         for batch in _slices(batches):
-            single += np.bincount(np.concatenate(subwords.ids(_texts(batch))), minlength=len(single))
+            types = batch.schema.types
+            texts, learned = _texts(batch), np.array([not x for x in batch.column(1).to_pylist()])
+            found = subwords.ids(texts)
+            if learned.any():
+                single += np.bincount(np.concatenate([found[i] for i in np.flatnonzero(learned)]), minlength=len(single))
+            for i in np.flatnonzero(learned):
+                held.update(texts[i])
+                held[END_WORD] += 1
+                if len(held) > HELD_WORDS:
+                    yield from words_of(held, types)
+            ids = [x.astype(stored).tobytes() for x in found]
+            yield rows(batch.num_rows, batch.columns, row=np.arange(row, row + batch.num_rows), ids=ids)
+            row += batch.num_rows
         used = np.flatnonzero(single)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(single[used])], names=["id", "n"])
+        if len(used):
+            yield from words_of(held, types)
+            yield rows(len(used), types, id=used, n=single[used])
 
     return run
 
 
-def _count_batches(ranks: bytes, frequent: np.ndarray):
-    """(word, -, n) for words; (-, code, n) for pairs of indices, and behind them for pairs of ids whose second is not frequent."""
+def _pair_batches(vocabulary: int, frequent: np.ndarray):
+    """(code, n) for pairs of indices, and behind them for pairs of ids whose second is not frequent."""
     m = len(frequent)
 
-    def rows(words, codes, n):
-        arrays = [pa.array(words, pa.binary()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, names=["word", "code", "n"])
+    def rows(code, n):
+        for i in range(0, len(code), MADE_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(code[i : i + MADE_ROWS]), pa.array(n[i : i + MADE_ROWS])], names=["code", "n"])
 
     def run(batches):
-        subwords = Subwords(ranks)
-        index = np.full(subwords.end + 1, m, np.int64)
+        index = np.full(vocabulary, m, np.int64)
         index[frequent] = np.arange(m)
-        pairs, held = np.zeros((m + 1) ** 2, np.int64), Counter()
+        pairs = np.zeros((m + 1) ** 2, np.int64)
         for batch in _slices(batches):
-            texts = _texts(batch)
-            found = []
-            for words, ids in zip(texts, subwords.ids(texts)):
-                held.update(words)
-                held[END_WORD] += 1
-                at = index[ids]
-                np.add.at(pairs, np.concatenate([[index[subwords.end]], at[:-1]]) * (m + 1) + at, 1)
-                found.append(_rare_pairs(ids, index, m))
-                if len(held) > HELD_WORDS:
-                    yield rows(list(held), [None] * len(held), list(held.values()))
-                    held.clear()
-            code, n = np.unique(np.concatenate(found), return_counts=True)
-            if len(code):
-                yield rows([None] * len(code), (m + 1) ** 2 + code, n)
-        yield rows(list(held), [None] * len(held), list(held.values()))
+            texts = _ids(batch.column(0), vocabulary)
+            flat = index[np.concatenate([[vocabulary - 1], *texts])]
+            # Each text ends with the end mark, which so stands before the next one.
+            np.add.at(pairs, flat[:-1] * (m + 1) + flat[1:], 1)
+            code, n = np.unique(np.concatenate([_rare_pairs(ids, index, m) for ids in texts]), return_counts=True)
+            yield from rows((m + 1) ** 2 + code, n)
         used = np.flatnonzero(pairs)
-        yield rows([None] * len(used), used, pairs[used])
+        yield from rows(used, pairs[used])
 
     return run
 
@@ -190,22 +216,22 @@ def _gain_batches(rare: RarePairs, bigrams: Bigrams):
     return run
 
 
-def _refit_batches(model: AttentionModel, end: int):
-    """Go on fitting from the model's parameters, once over the ids of each partition: (ids seen, parameters)."""
+def _fitted_batches(model: AttentionModel, vocabulary: int, most_passes: int):
+    """Go on fitting from the model's parameters over all ids of each partition: (ids seen, parameters)."""
 
     def run(batches):
         seen, held, size = 0, [], 0
         model._tables = None
 
         def fit():
-            before, wanted, _ = windows(held, end)
-            model.train(before, wanted, 1, rate=REFIT_RATE)
+            before, wanted, _ = windows(held, vocabulary - 1)
+            model.train(before, wanted, max(1, min(most_passes, round(FITTED_IDS / size))))
 
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                held.append(np.frombuffer(x, np.int32))
-                size += len(held[-1])
-                if size > CHUNK:
+            for ids in _ids(batch.column(0), vocabulary):
+                held.append(ids)
+                size += len(ids)
+                if size > FITTED_IDS:
                     fit()
                     seen, held, size = seen + size, [], 0
         if held:
@@ -217,60 +243,89 @@ def _refit_batches(model: AttentionModel, end: int):
     return run
 
 
-def _refit(model: AttentionModel, train: DataFrame, draw, size: int, ranks: bytes, end: int) -> None:
-    """Fit on a share of all training documents, in parts, and average the parameters by the ids of each part."""
-    fitted = FITTED_SHARE * size
-    if fitted <= SAMPLE_DOCUMENTS:
-        return
-    texts = train.where(draw < int(FITTED_SHARE * (1 << 30))).select("doc_id", "text")
-    parts = texts.repartition(math.ceil(fitted / SAMPLE_DOCUMENTS), "doc_id").select("text")
-    ids = parts.mapInArrow(_id_batches(ranks), "ids binary").sortWithinPartitions("ids")
-    # Fitting needs no probabilities of pairs, which are the most of a model.
-    light = copy(model)
-    light.bigrams = replace(model.bigrams, log_pair=None)
-    found = written(ids.mapInArrow(_refit_batches(light, end), "n long, params binary"), "lm-parameters")
+def _added_batches(batches):
+    """Sums over a partition: (ids seen, parameters times the ids seen)."""
     total, flat = 0, 0.0
-    for row in found.toLocalIterator():
-        total, flat = total + row["n"], flat + row["n"] * np.frombuffer(row["params"], np.float32).astype(float)
-    at = 0
-    for name, x in model.params.items() if total else ():
-        model.params[name] = (flat[at : at + x.size] / total).reshape(x.shape).astype(np.float32)
-        at += x.size
-    model._tables = None
+    for batch in batches:
+        for n, params in zip(*(x.to_pylist() for x in batch.columns)):
+            total, flat = total + n, flat + n * np.frombuffer(params, np.float32).astype(float)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([flat.tobytes()], pa.binary())], names=["n", "params"])
+
 
+def _rounds(size: int) -> list[float]:
+    """Shares of the training documents at which rounds of fitting end; the last ends with all of them."""
+    start = min(1.0, SAMPLE_DOCUMENTS / max(1, size))
+    return sorted({start, max(start, FITTED_SHARE), 1.0})
 
-def _fit(train: DataFrame, ranks: bytes) -> tuple[AttentionModel, DataFrame, RarePairs, DataFrame]:
-    """(model, counts, rare, gains): the counts of words over all training documents, and the gains of pairs, by code."""
+
+def _fit_attention(model: AttentionModel, train: DataFrame, vocabulary: int) -> None:
+    """Fit on all training documents (``doc_id``, ``ids``), each in one round.
+
+    Rounds grow.  The documents of the first are fitted in whole passes, those of
+    the others in parts that go on from the parameters so far, which then are
+    averaged by the ids of each part.
+    """
     size = train.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(1, size))
-    draw = F.pmod(F.xxhash64(F.lit("attention"), "doc_id", F.octet_length("text")), F.lit(1 << 30))
-    sample = train.where(draw < int(share * (1 << 30))).select("text").mapInArrow(_id_batches(ranks), "ids binary")
-    texts = sorted((np.frombuffer(x["ids"], np.int32) for x in sample.collect()), key=lambda t: t.tobytes())
+    draw = F.pmod(F.xxhash64(F.lit("attention"), "doc_id", "ids"), F.lit(1 << 30))
+    total = train.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] / np.dtype(_stored(vocabulary)).itemsize
+    low = 0
+    for share in _rounds(size):
+        high = math.ceil(share * (1 << 30))
+        # Parts are somewhat smaller than what a task fits at once, as hashes deal them out.
+        parts = 1 if low == 0 and share < 1 else math.ceil(1.25 * total * (high - low) / (1 << 30) / FITTED_IDS)
+        texts = train.select(draw.alias("draw"), "ids").where(F.col("draw").between(low, high - 1))
+        texts = texts.repartition(max(1, parts), "draw").sortWithinPartitions("draw", "ids").select("ids")
+        # Fitting needs no probabilities of pairs, which are the most of a model.
+        light = copy(model)
+        light.bigrams = replace(model.bigrams, log_pair=None)
+        made = "n long, params binary"
+        passes = MOST_PASSES if low == 0 else 1
+        fitted = written(texts.mapInArrow(_fitted_batches(light, vocabulary, passes), made), "lm-parameters")
+        sums = fitted.coalesce(MOST_SUMS).mapInArrow(_added_batches, made).collect()
+        seen = sum(row["n"] for row in sums)
+        flat = sum(np.frombuffer(row["params"]) for row in sums)
+        at = 0
+        for name, x in model.params.items() if seen else ():
+            model.params[name] = (flat[at : at + x.size] / seen).reshape(x.shape).astype(np.float32)
+            at += x.size
+        model._tables = None
+        low = high
+
+
+def _fit(docs: DataFrame, ranks: bytes, out: Column | None = None) -> tuple[AttentionModel, DataFrame, RarePairs, DataFrame, DataFrame]:
+    """(model, counts, rare, gains, encoded), learned from the rows that are not ``out``.
+
+    counts of words over all of them, gains of pairs, by code, and all documents with their ids.
+    """
     vocabulary = Subwords(ranks).end + 1
-    found = train.select("text").mapInArrow(_id_count_batches(ranks), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("doc_id", (F.lit(False) if out is None else out).alias("held_out"), "text")
+    made = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, text string, row long, ids binary, word binary, id long, n long"
+    found = written(rows.mapInArrow(_encoded_batches(ranks), made), "lm-encoded")
+    encoded = found.where("row is not null").select("row", "doc_id", "held_out", "text", "ids")
+    train = encoded.where(~F.col("held_out")).select("doc_id", "ids")
+    counts = written(found.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    found = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     single = np.zeros(vocabulary)
     single[found["id"].to_numpy()] = found["n"].to_numpy()
     frequent = np.argsort(-single, kind="stable")[: min(FREQUENT, int((single > 0).sum()))]
-    counted = train.select("text").mapInArrow(_count_batches(ranks, frequent), "word binary, code long, n long")
-    counts = written(counted.groupBy("word", "code").agg(F.sum("n").alias("n")), "lm-counts")
+    pairs_of = train.select("ids").mapInArrow(_pair_batches(vocabulary, frequent), "code long, n long")
+    pair_counts = written(pairs_of.groupBy("code").agg(F.sum("n").alias("n")), "lm-pairs")
     m = len(frequent)
     # These codes are bounded by the square of the frequent ids, the ids before by the vocabulary.
     first = (m + 1) ** 2
-    found = counts.where(F.col("code") < first).select("code", "n").toArrow()
+    found = pair_counts.where(F.col("code") < first).toArrow()
     pairs = np.zeros(first)
     pairs[found["code"].to_numpy()] = found["n"].to_numpy()
     model = AttentionModel(Bigrams.of(single, frequent, pairs.reshape(m + 1, m + 1)))
-    seen = counts.where(F.col("code") >= first).select((F.col("code") - first).alias("code"), "n")
+    seen = pair_counts.where(F.col("code") >= first).select((F.col("code") - first).alias("code"), "n")
     before = F.expr(f"code div {vocabulary}").alias("before")
     found = seen.groupBy(before).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
     rare = RarePairs.of(*(found[c].to_numpy() for c in ("before", "n", "kinds")), vocabulary)
     light = replace(model.bigrams, log_pair=None, by_class=None, log_class=None)
     gains = seen.mapInArrow(_gain_batches(rare, light), "code long, gain double")
-    before, wanted, _ = windows(texts, vocabulary - 1)
-    passes = round(FITTED_IDS / max(1, sum(map(len, texts))))
-    model.train(before, wanted, max(1, min(MOST_PASSES, passes)))
-    _refit(model, train, draw, size, ranks, vocabulary - 1)
-    return model, counts.where("word is not null").select("word", "n"), rare, gains
+    _fit_attention(model, train, vocabulary)
+    return model, counts, rare, gains, encoded
 
 
 def _frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -288,17 +343,15 @@ def _frequent_words(counts: DataFrame) -> tuple[dict[bytes, int], int]:
     return dict(zip(found["word"].to_pylist(), found["n"].to_pylist())), lowest
 
 
-def _score_batches(shared, ranks: bytes):
-    names = ("row", "n_tokens", "n_known", "base", "score", "rare", "pairs")
+def _score_batches(shared, vocabulary: int):
+    names = ("n_tokens", "n_known", "base", "score", "rare", "pairs")
 
     def run(batches):
         model, value, rare_pairs = shared.value
         index, m = model.bigrams.index, len(model.bigrams.log_pair) - 1
-        subwords = Subwords(ranks)
-        row = TaskContext.get().partitionId() << 40
 
         def scored(texts: list[np.ndarray]) -> np.ndarray:
-            before, wanted, text = windows(texts, subwords.end)
+            before, wanted, text = windows(texts, vocabulary - 1)
             found = model.log_probability(before, wanted).sum(1)
             return np.bincount(text, weights=found, minlength=len(texts)) / math.log(10)
 
@@ -306,8 +359,7 @@ def _score_batches(shared, ranks: bytes):
             scores, held, size = [], [], 0
             unseen, codes, code_times, code_offsets = [], [], [], [0]
             n_tokens, n_known, base, rare, times, offsets = [], [], [], [], [], [0]
-            texts = _texts(batch)
-            for words, ids in zip(texts, subwords.ids(texts)):
+            for words, ids in zip(_texts(batch), _ids(batch.column(3), vocabulary)):
                 code, n = np.unique(_rare_pairs(ids, index, m), return_counts=True)
                 unseen.append(float(n @ rare_pairs.unseen[code // len(index)]))
                 codes.append(code)
@@ -334,7 +386,6 @@ def _score_batches(shared, ranks: bytes):
             code_arrays = [pa.array(np.concatenate(codes), pa.int64()), pa.array(np.concatenate(code_times), pa.int32())]
             code_pairs = pa.StructArray.from_arrays(code_arrays, ["code", "n"])
             arrays = [
-                pa.array(np.arange(row, row + batch.num_rows)),
                 pa.array(n_tokens, pa.int64()),
                 pa.array(n_known, pa.int64()),
                 pa.array(base, pa.float64()),
@@ -342,8 +393,7 @@ def _score_batches(shared, ranks: bytes):
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
                 pa.ListArray.from_arrays(pa.array(code_offsets, pa.int32()), code_pairs),
             ]
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=[*batch.schema.names[:3], *names])
 
     return run
 
@@ -359,16 +409,16 @@ def score(docs: DataFrame, ranks: bytes, held_out: int = 1) -> DataFrame:
     are scored each; an empty table gives no rows.
     """
     out = F.coalesce(fold_of(F.col("doc_id")) == held_out, F.lit(False))
-    model, counts, rare_pairs, gains = _fit(docs.select("doc_id", "text").where(~out), ranks)
+    model, counts, rare_pairs, gains, encoded = _fit(docs, ranks, out)
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     log_total = math.log10(total + 0.5 * (kinds + 1))
     known, lowest = _frequent_words(counts)
     known = {w: math.log10(n + 0.5) - log_total for w, n in known.items()}
     shared = docs.sparkSession.sparkContext.broadcast((model, known, rare_pairs))
-    rows = docs.select("doc_id", out.alias("held_out"), F.col("text").alias("_input"))
-    made = "row long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:int>>, pairs array<struct<code:bigint,n:int>>"
+    rows = encoded.select("row", "doc_id", "held_out", "ids", "text")
+    made = "n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:int>>, pairs array<struct<code:bigint,n:int>>"
     scored = written(
-        rows.mapInArrow(_score_batches(shared, ranks), f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, {made}"),
+        rows.mapInArrow(_score_batches(shared, Subwords(ranks).end + 1), f"row long, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, {made}"),
         "lm-scored",
     )
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))

@@ -414,6 +414,23 @@ def test_frequent_ids_are_those_of_all_documents(spark, ranks, monkeypatch):
     assert all((bigrams.index[x] < len(bigrams.log_pair) - 1).all() for x in subwords.ids([[w.encode()] for w in words]))
 
 
+def test_attention_is_fitted_on_all_training_documents(spark, ranks, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCUMENTS", 5)
+    fitted, written = [], lm_scoring.written
+
+    def kept(df, name):
+        out = written(df, name)
+        if name == "lm-parameters":
+            fitted.append(out)
+        return out
+
+    monkeypatch.setattr(lm_scoring, "written", kept)
+    rows = [(i, f"number {i} of {i % 7} rows " * (1 + i % 3), "en", "a") for i in range(60)]
+    assert lm_scoring.score(documents(spark, rows), ranks).count() == 60
+    learned = [t.encode().split() for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert sum(r.n for f in fitted for r in f.collect()) == sum(map(len, lm_scoring.Subwords(ranks).ids(learned)))
+
+
 def test_pipeline_applies_each_stage(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     language_kept = corpus_pipeline.known_language(spark, docs, SF_DIR)
