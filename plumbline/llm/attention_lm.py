@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 #: Tokens of a context window, and tokens at its end that are scored; windows overlap by the rest.
 WINDOW, STRIDE = 48, 32
@@ -90,7 +91,9 @@ def windows(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray,
     k = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
     first = (np.cumsum(length + WINDOW) - (length + WINDOW))[text] + k * STRIDE
     want = (np.cumsum(length + STRIDE) - (length + STRIDE))[text] + k * STRIDE
-    return flat[first[:, None] + np.arange(WINDOW)], goal[want[:, None] + np.arange(STRIDE)], text
+    if not len(text):
+        return np.zeros((0, WINDOW), np.int32), np.zeros((0, STRIDE), np.int32), text
+    return sliding_window_view(flat, WINDOW)[first], sliding_window_view(goal, STRIDE)[want], text
 
 
 _CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW - STRIDE, WINDOW)[:, None], 0, -1e9).astype(np.float32)

@@ -13,13 +13,14 @@ from __future__ import annotations
 import base64
 import math
 from collections import Counter
+from contextlib import contextmanager
 from copy import copy
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm.attention_lm import FREQUENT, AttentionModel, Bigrams, windows
 from plumbline.llm.shared import fold_of, written
@@ -34,17 +35,18 @@ FITTED_IDS, MOST_PASSES = 2_500_000, 5
 #: At most so many words are looked up in a table that every task holds.
 FREQUENT_WORDS = 200_000
 #: Distinct words that a task counts before it hands them on.
-HELD_WORDS = 300_000
+HELD_WORDS = 150_000
 #: Rows of counts that a task hands on together.
 MADE_ROWS = 50_000
 #: Tasks that add up the parameters of the parts of a round.
 MOST_SUMS = 16
 #: A task forgets the ids of words once it knows those of so many.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 #: Subword ids that are scored together.
 CHUNK = 100_000
-#: Texts that are taken apart together.
+#: Texts that are taken apart together, and that a task is sent at once.
 ROWS = 500
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The word that stands for the end of a text; no word is empty.
 END_WORD = b""
 
@@ -89,6 +91,17 @@ class Subwords:
         return [np.frombuffer(b"".join(map(self._known.__getitem__, words)) + end, np.int32) for words in texts]
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Tasks are sent ROWS rows at once, as whole texts by Spark's default number take hundreds of MB in buffers."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def _slices(batches):
     return (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
 
@@ -409,7 +422,8 @@ def score(docs: DataFrame, ranks: bytes, held_out: int = 1) -> DataFrame:
     are scored each; an empty table gives no rows.
     """
     out = F.coalesce(fold_of(F.col("doc_id")) == held_out, F.lit(False))
-    model, counts, rare_pairs, gains, encoded = _fit(docs, ranks, out)
+    with _small_batches(docs.sparkSession):
+        model, counts, rare_pairs, gains, encoded = _fit(docs, ranks, out)
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     log_total = math.log10(total + 0.5 * (kinds + 1))
     known, lowest = _frequent_words(counts)
@@ -417,10 +431,9 @@ def score(docs: DataFrame, ranks: bytes, held_out: int = 1) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model, known, rare_pairs))
     rows = encoded.select("row", "doc_id", "held_out", "ids", "text")
     made = "n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:int>>, pairs array<struct<code:bigint,n:int>>"
-    scored = written(
-        rows.mapInArrow(_score_batches(shared, Subwords(ranks).end + 1), f"row long, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, {made}"),
-        "lm-scored",
-    )
+    made = f"row long, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, {made}"
+    with _small_batches(docs.sparkSession):
+        scored = written(rows.mapInArrow(_score_batches(shared, Subwords(ranks).end + 1), made), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
     other = counts.where(F.col("n") < lowest)
     value = F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(log_total)

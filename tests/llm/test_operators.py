@@ -431,6 +431,19 @@ def test_attention_is_fitted_on_all_training_documents(spark, ranks, monkeypatch
     assert sum(r.n for f in fitted for r in f.collect()) == sum(map(len, lm_scoring.Subwords(ranks).ids(learned)))
 
 
+def test_language_model_sends_texts_in_small_batches(spark, ranks, monkeypatch):
+    sent, written, default = {}, lm_scoring.written, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def kept(df, name):
+        sent[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return written(df, name)
+
+    monkeypatch.setattr(lm_scoring, "written", kept)
+    assert lm_scoring.score(documents(spark, EDGES), ranks).count() == len(EDGES)
+    assert sent["lm-encoded"] == sent["lm-scored"] == lm_scoring.ROWS < int(default)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == default
+
+
 def test_pipeline_applies_each_stage(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     language_kept = corpus_pipeline.known_language(spark, docs, SF_DIR)
