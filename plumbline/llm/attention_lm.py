@@ -25,6 +25,8 @@ FREQUENT = 2048
 SINGLE, SHARED = 64, 16
 #: Count that every id has in advance.
 PRIOR = 0.01
+#: Added to the moments of gradients.
+TINY = 1e-30
 
 
 @dataclass
@@ -103,6 +105,15 @@ def _rows(table: np.ndarray, index: np.ndarray) -> np.ndarray:
     return np.take(table, index, axis=0, mode="clip")
 
 
+def _sums(rows: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values of ``index``, in order, and the sum of the rows of each)."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+    # Two numbers are added at once.
+    return index[first], np.add.reduceat(_rows(rows, order).view(np.complex64), first).view(np.float32)
+
+
 class AttentionModel:
     """Parameters, training, and batched masked attention."""
 
@@ -127,24 +138,28 @@ class AttentionModel:
         }
         self._tables = None
 
-    def _forward(self, before: np.ndarray):
-        """Corrections of class logits at the scored positions, and what the gradient needs."""
-        p, b = self.params, self.bigrams
-        at = np.where(before >= 0, b.index[before], 0)
-        if self._tables is None:
-            own = p["token"] @ p["own"], p["place"] @ p["own"] + p["bias"]
-            self._tables = {
-                "q": (p["token"] @ p["query"] * WIDTH**-0.5, p["place"] @ p["query"] * WIDTH**-0.5),
-                # Keys, values, and a one, so that the product with the weights has their sum.
-                "kv": tuple(
-                    np.concatenate([x @ p["key"], x @ p["value"], np.full((len(x), 1), one, np.float32)], 1)
-                    for x, one in ((p["token"], 1), (p["place"], 0))
-                ),
-                "o": own,
-            }
-        t, last = self._tables, at[:, -STRIDE:]
+    def _projected(self, token: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Queries, keys with values, and inputs of the layer above, of the given embeddings and of the places."""
+        p = self.params
+        query = p["query"] * np.float32(WIDTH**-0.5)
+        return {
+            "q": (token @ query, p["place"][-STRIDE:] @ query),
+            # Keys, values, and a one, so that the product with the weights has their sum.
+            "kv": tuple(
+                np.concatenate([x @ p["key"], x @ p["value"], np.full((len(x), 1), one, np.float32)], 1)
+                for x, one in ((token, 1), (p["place"], 0))
+            ),
+            "o": (token @ p["own"], p["place"][-STRIDE:] @ p["own"] + p["bias"]),
+        }
+
+    def _forward(self, before: np.ndarray, t: dict, at: np.ndarray):
+        """Corrections of class logits at the scored positions, and what the gradient needs.
+
+        ``at`` has the rows of ``before`` in the tables ``t``.
+        """
+        p, last = self.params, at[:, -STRIDE:]
         q, kv, hidden = (_rows(t[n][0], x) for n, x in (("q", last), ("kv", at), ("o", last)))
-        q += t["q"][1][-STRIDE:]
+        q += t["q"][1]
         kv += t["kv"][1]
         k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH : 2 * WIDTH]
         weight = q @ k.transpose(0, 2, 1)
@@ -152,25 +167,28 @@ class AttentionModel:
         start = np.flatnonzero(before[:, 0] < 0)
         weight[start] += np.where(before[start] >= 0, np.float32(0), np.float32(-1e9))[:, None, :]
         # Scores are small enough for plain exponentials; the limit keeps them finite at any parameters.
-        np.exp(np.clip(weight, -1e9, 60, out=weight), out=weight)
+        np.exp(np.minimum(weight, np.float32(60), out=weight), out=weight)
         mixed = weight @ kv[:, :, WIDTH:]
         total = mixed[:, :, WIDTH:]
         mixed = mixed[:, :, :WIDTH] / total
-        hidden += t["o"][1][-STRIDE:]
+        hidden += t["o"][1]
         hidden += (mixed.reshape(-1, WIDTH) @ p["seen"]).reshape(hidden.shape)
-        np.clip(hidden, 0, np.inf, out=hidden)
+        np.maximum(hidden, np.float32(0), out=hidden)
         change = hidden.reshape(-1, HIDDEN) @ p["out"]
-        return change, (at, last, q, k, v, weight, total, mixed, hidden)
+        np.clip(change, -60, 60, out=change)
+        return change, (q, k, v, weight, total, mixed, hidden)
 
     def log_probability(self, before: np.ndarray, wanted: np.ndarray, rows: int = 64) -> np.ndarray:
         """Natural log probability of the wanted ids; 0 where none is wanted."""
         b, out = self.bigrams, np.zeros(wanted.shape)
+        if self._tables is None:
+            self._tables = self._projected(self.params["token"])
         for low in range(0, len(before), rows):
             part, goal = before[low : low + rows], wanted[low : low + rows]
-            change, (_, last, *_) = self._forward(part)
-            at, last = b.index[goal.reshape(-1)], last.reshape(-1)
+            at = np.where(part >= 0, b.index[part], 0)
+            change, _ = self._forward(part, self._tables, at)
+            at, last = b.index[goal.reshape(-1)], at[:, -STRIDE:].reshape(-1)
             # Probabilities of classes are those of the bigrams times the exponentials of their changes.
-            np.clip(change, -60, 60, out=change)
             chosen = change[np.arange(len(at)), b.cls[at]]
             total = np.log(np.einsum("ij,ij->i", np.exp(change, out=change), _rows(b.by_class, last)))
             # The chosen class with the id inside of it by the bigrams, then the id among the others.
@@ -184,8 +202,11 @@ class AttentionModel:
     def train(self, before: np.ndarray, wanted: np.ndarray, epochs: int = 2, rows: int = 64, rate: float = 3e-3, seed: int = 11) -> None:
         """Adam on the class cross-entropy, in a fixed random order."""
         draw = np.random.default_rng(seed)
-        first = {n: np.zeros_like(x) for n, x in self.params.items()}
-        second = {n: np.zeros_like(x) for n, x in self.params.items()}
+        # One array has all parameters, so that a step is few operations.
+        flat = np.concatenate([x.ravel() for x in self.params.values()])
+        self.params, self._tables = self._parts(flat), None
+        first, second, gradient, change = (np.zeros_like(flat) for _ in range(4))
+        into = self._parts(gradient)
         steps = max(1, epochs * -(-len(before) // rows))
         step = 0
         for _ in range(epochs):
@@ -194,58 +215,74 @@ class AttentionModel:
                 step += 1
                 pick = order[low : low + rows]
                 speed = rate * min(1, step / 50) * (1 - 0.9 * step / steps)
-                for name, g in self._gradient(before[pick], wanted[pick]).items():
-                    first[name] += 0.1 * (g - first[name])
-                    second[name] += 0.01 * (g * g - second[name])
-                    scale = speed * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                    self.params[name] -= scale * first[name] / (np.sqrt(second[name]) + 1e-8)
-                self._tables = None
-
-    def _gradient(self, before: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
+                scale = speed * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+                self._gradient(before[pick], wanted[pick], into)
+                # What is added keeps moments of ids that are not seen from becoming denormal, which is slow.
+                first *= 0.9
+                first += np.add(np.multiply(gradient, 0.1, out=change), TINY, out=change)
+                second *= 0.99
+                gradient *= gradient
+                second += np.add(np.multiply(gradient, 0.01, out=change), TINY, out=change)
+                np.sqrt(second, out=change)
+                change += 1e-8
+                np.divide(first, change, out=change)
+                change *= scale
+                flat -= change
+
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of an array that stand for the parameters."""
+        cuts = np.cumsum([x.size for x in self.params.values()])[:-1]
+        return {n: part.reshape(x.shape) for (n, x), part in zip(self.params.items(), np.split(flat, cuts))}
+
+    def _gradient(self, before: np.ndarray, wanted: np.ndarray, into: dict[str, np.ndarray]) -> None:
         p, b = self.params, self.bigrams
-        d, (at, last, q, k, v, weight, total, mixed, hidden) = self._forward(before)
-        weight /= total
-        goal = wanted.reshape(-1)
+        at = np.where(before >= 0, b.index[before], 0)
+        by_class, goal = _rows(b.by_class, at[:, -STRIDE:].reshape(-1)), wanted.reshape(-1)
+        # Embeddings are read and changed once for each id of the batch.
+        used = np.zeros(len(p["token"]), bool)
+        used[at] = True
+        used = np.flatnonzero(used)
+        place = np.zeros(len(p["token"]), np.uint16 if len(p["token"]) <= 1 << 16 else np.intp)
+        place[used] = np.arange(len(used))
+        at, token = place[at], p["token"][used]
+        d, (q, k, v, weight, total, mixed, hidden) = self._forward(before, self._projected(token), at)
         # Probabilities of classes, as in log_probability, less one for the class that is wanted.
-        np.exp(np.clip(d, -60, 60, out=d), out=d)
-        d *= _rows(b.by_class, last.reshape(-1))
-        d /= (d @ np.ones(d.shape[1], np.float32))[:, None]
-        d[np.arange(len(goal)), b.cls[b.index[goal]]] -= 1
-        d *= ((goal >= 0) / max(1, (goal >= 0).sum())).astype(np.float32)[:, None]
+        np.exp(d, out=d)
+        d *= by_class
+        share = ((goal >= 0) / max(1, (goal >= 0).sum())).astype(np.float32)
+        d *= (share / (d @ np.ones(d.shape[1], np.float32)))[:, None]
+        d[np.arange(len(goal)), b.cls[b.index[goal]]] -= share
         flat = hidden.reshape(-1, HIDDEN)
-        d_hidden = d @ p["out"].T
+        # Gradients of queries and inputs of the layer above side by side, and of keys and values.
+        d_qo, d_kv = np.empty((len(d), WIDTH + HIDDEN), np.float32), np.empty((*at.shape, 2 * WIDTH), np.float32)
+        d_hidden = d_qo[:, WIDTH:]
+        np.matmul(d, p["out"].T, out=d_hidden)
         d_hidden *= flat > 0
-        x = _rows(p["token"], at)
-        x += p["place"]
-        x_last = x[:, -STRIDE:].reshape(-1, WIDTH)
         d_mixed = (d_hidden @ p["seen"].T).reshape(mixed.shape)
-        d_v = weight.transpose(0, 2, 1) @ d_mixed
+        mean = np.einsum("ijk,ijk->ij", d_mixed, mixed)[:, :, None] / total
+        d_mixed /= total
+        np.matmul(weight.transpose(0, 2, 1), d_mixed, out=d_kv[:, :, WIDTH:])
         d_score = d_mixed @ v.transpose(0, 2, 1)
-        d_score -= np.einsum("ijk,ijk->ij", d_score, weight)[:, :, None]
+        d_score -= mean
         d_score *= weight
-        d_q = (d_score @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
-        d_k = d_score.transpose(0, 2, 1) @ q
-        flat_x, d_k, d_v = x.reshape(-1, WIDTH), d_k.reshape(-1, WIDTH), d_v.reshape(-1, WIDTH)
-        d_x = d_k @ p["key"].T
-        d_x += d_v @ p["value"].T
-        d_last = d_q @ p["query"].T
-        d_last += d_hidden @ p["own"].T
-        d_x.reshape(x.shape)[:, -STRIDE:] += d_last.reshape(-1, STRIDE, WIDTH)
-        # Rows of an id are added up side by side.
-        at = at.reshape(-1)
-        order = np.argsort(at.astype(np.uint16 if len(p["token"]) <= 1 << 16 else at.dtype), kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        d_token = np.zeros_like(p["token"])
-        d_token[at[first]] = np.add.reduceat(d_x[order], first)
-        return {
-            "token": d_token,
-            "place": d_x.reshape(x.shape).sum(0),
-            "query": x_last.T @ d_q,
-            "key": flat_x.T @ d_k,
-            "value": flat_x.T @ d_v,
-            "own": x_last.T @ d_hidden,
-            "seen": mixed.reshape(-1, WIDTH).T @ d_hidden,
-            "bias": np.ones(len(d_hidden), np.float32) @ d_hidden,
-            "out": flat.T @ d,
-        }
+        np.matmul(d_score, k, out=d_qo.reshape(len(at), STRIDE, -1)[:, :, :WIDTH])
+        np.matmul(d_score.transpose(0, 2, 1), q, out=d_kv[:, :, :WIDTH])
+        np.matmul(mixed.reshape(-1, WIDTH).T, d_hidden, out=into["seen"])
+        np.matmul(flat.T, d, out=into["out"])
+        # What is the same for all places of an id, and for all ids of a place, is added up first.
+        _, by_id = _sums(d_kv.reshape(-1, 2 * WIDTH), at.reshape(-1))
+        last, by_last = _sums(d_qo, at[:, -STRIDE:].reshape(-1))
+        by_place, by_end = d_kv.sum(0), d_qo.reshape(len(at), STRIDE, -1).sum(0)
+        scale = np.float32(WIDTH**-0.5)
+        kv, qo = np.concatenate([p["key"], p["value"]], 1), np.concatenate([p["query"] * scale, p["own"]], 1)
+        d_token = by_id @ kv.T
+        d_token[last] += by_last @ qo.T
+        into["token"][:] = 0
+        into["token"][used] = d_token
+        np.matmul(by_place, kv.T, out=into["place"])
+        into["place"][-STRIDE:] += by_end @ qo.T
+        d_kv = token.T @ by_id + p["place"].T @ by_place
+        d_qo = token[last].T @ by_last + p["place"][-STRIDE:].T @ by_end
+        into["key"][:], into["value"][:] = d_kv[:, :WIDTH], d_kv[:, WIDTH:]
+        into["query"][:], into["own"][:] = d_qo[:, :WIDTH] * scale, d_qo[:, WIDTH:]
+        into["bias"][:] = by_end[:, WIDTH:].sum(0)

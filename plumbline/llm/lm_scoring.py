@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from contextlib import contextmanager
 from copy import copy
 from dataclasses import dataclass, replace
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,12 @@ FITTED_SHARE = 0.02
 FITTED_IDS, MOST_PASSES = 2_500_000, 5
 #: At most so many words are looked up in a table that every task holds.
 FREQUENT_WORDS = 200_000
-#: Distinct words that a task counts before it hands them on.
+#: Distinct words that a task counts before it hands them on and forgets them.
 HELD_WORDS = 150_000
 #: Rows of counts that a task hands on together.
 MADE_ROWS = 50_000
 #: Tasks that add up the parameters of the parts of a round.
 MOST_SUMS = 16
-#: A task forgets the ids of words once it knows those of so many.
-KNOWN_WORDS = 100_000
 #: Subword ids that are scored together.
 CHUNK = 100_000
 #: Texts that are taken apart together, and that a task is sent at once.
@@ -56,7 +55,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 class Subwords:
     """Ids of a text: those of its words, with A-Z in lower case and a space before each, then the end.
 
-    Words that are not among those encoded lately are encoded together, once for
+    Words are numbered as they come.  New ones are encoded together, once for
     all texts of a batch, and cut apart again where an id starts with a space.
     """
 
@@ -68,27 +67,48 @@ class Subwords:
         self._encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_to_numpy
         self._starts = np.zeros(max(table.values()) + 1, bool)
         self._starts[[i for token, i in table.items() if token[:1] == b" "]] = True
-        self._known: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Forget all words; their numbers start again, after the end's."""
+        self._number = defaultdict(count(1).__next__, {END_WORD: 0})
+        self._spelled, self._first = np.array([self.end], np.int32), np.array([0, 1], np.int32)
+
+    def __len__(self) -> int:
+        return len(self._number)
+
+    @property
+    def words(self) -> list[bytes]:
+        """The words that have numbers, in the order of these."""
+        return list(self._number)
 
     def _learn(self, words: list[bytes]) -> None:
         found = self._encode(b"".join(b" " + w for w in words).decode(), disallowed_special=()).astype(np.int32)
-        at = np.flatnonzero(self._starts[found])
-        if len(at) == len(words):
-            data, cuts = found.tobytes(), [*(4 * at).tolist(), 4 * len(found)]
-            self._known.update(zip(words, (data[i:j] for i, j in zip(cuts, cuts[1:]))))
-        else:
+        first = np.flatnonzero(self._starts[found])
+        if len(first) != len(words):
             # Unusual white space at the edges of words has taken up a space.
-            for w in words:
-                self._known[w] = self._encode((b" " + w).decode(), disallowed_special=()).astype(np.int32).tobytes()
+            each = [self._encode((b" " + w).decode(), disallowed_special=()).astype(np.int32) for w in words]
+            found, first = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+        ends = len(self._spelled) + np.append(first[1:], len(found))
+        self._spelled, self._first = np.append(self._spelled, found), np.append(self._first, ends.astype(np.int32))
+
+    def numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Numbers of the words of texts, and of the end."""
+        known = len(self._number)
+        found = [np.fromiter(map(self._number.__getitem__, chain(words, (END_WORD,))), np.int32, len(words) + 1) for words in texts]
+        new = list(islice(reversed(self._number), len(self._number) - known))
+        if new:
+            self._learn(new[::-1])
+        return found
+
+    def spelled(self, numbers: np.ndarray) -> np.ndarray:
+        first = self._first[numbers]
+        length = self._first[numbers + 1] - first
+        behind = np.cumsum(length, dtype=np.int64)
+        return self._spelled[np.arange(behind[-1]) + np.repeat(first - (behind - length), length)]
 
     def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self._known) > KNOWN_WORDS:
-            self._known.clear()
-        new = set().union(*texts).difference(self._known)
-        if new:
-            self._learn(list(new))
-        end = np.array([self.end], np.int32).tobytes()
-        return [np.frombuffer(b"".join(map(self._known.__getitem__, words)) + end, np.int32) for words in texts]
+        return [self.spelled(x) for x in self.numbers(texts)]
 
 
 @contextmanager
@@ -131,9 +151,9 @@ def _encoded_batches(ranks: bytes):
         arrays += [pa.array(columns[name], kind) if name in columns else pa.nulls(size, kind) for name, kind in made.items()]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "text", *made])
 
-    def words_of(held: Counter, types):
-        words, n = list(held), list(held.values())
-        held.clear()
+    def words_of(subwords, held, types):
+        used = np.flatnonzero(held)
+        words, n = np.array(subwords.words, object)[used], held[used]
         for i in range(0, len(words), MADE_ROWS):
             part = words[i : i + MADE_ROWS]
             yield rows(len(part), types, word=part, n=n[i : i + MADE_ROWS])
@@ -141,25 +161,28 @@ def _encoded_batches(ranks: bytes):
     def run(batches):
         subwords = Subwords(ranks)
         stored = _stored(subwords.end + 1)
-        single, held = np.zeros(subwords.end + 1, np.int64), Counter()
+        single, held = np.zeros(subwords.end + 1, np.int64), np.zeros(0, np.int64)
         row, types = TaskContext.get().partitionId() << 40, ()
         for batch in _slices(batches):
             types = batch.schema.types
-            texts, learned = _texts(batch), np.array([not x for x in batch.column(1).to_pylist()])
-            found = subwords.ids(texts)
-            if learned.any():
-                single += np.bincount(np.concatenate([found[i] for i in np.flatnonzero(learned)]), minlength=len(single))
-            for i in np.flatnonzero(learned):
-                held.update(texts[i])
-                held[END_WORD] += 1
-                if len(held) > HELD_WORDS:
-                    yield from words_of(held, types)
+            learned = np.flatnonzero([not x for x in batch.column(1).to_pylist()])
+            numbers = subwords.numbers(_texts(batch))
+            found = [subwords.spelled(x) for x in numbers]
+            if len(learned):
+                single += np.bincount(np.concatenate([found[i] for i in learned]), minlength=len(single))
+                more = np.bincount(np.concatenate([numbers[i] for i in learned]), minlength=len(held))
+                more[: len(held)] += held
+                held = more
+            if len(subwords) > HELD_WORDS:
+                yield from words_of(subwords, held, types)
+                subwords.forget()
+                held = np.zeros(0, np.int64)
             ids = [x.astype(stored).tobytes() for x in found]
             yield rows(batch.num_rows, batch.columns, row=np.arange(row, row + batch.num_rows), ids=ids)
             row += batch.num_rows
         used = np.flatnonzero(single)
         if len(used):
-            yield from words_of(held, types)
+            yield from words_of(subwords, held, types)
             yield rows(len(used), types, id=used, n=single[used])
 
     return run

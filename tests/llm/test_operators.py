@@ -1,5 +1,6 @@
 """The training-text operators against brute force, round trips and edge cases."""
 
+import base64
 import collections
 import itertools
 import math
@@ -364,6 +365,27 @@ def test_attention_sums_to_one_and_scores_each_token_once():
     assert np.allclose(a[1, :-1], b[1, :-1]) and np.allclose(a[0], b[0])
 
 
+def test_gradient_is_that_of_the_score_and_reads_each_id_once(monkeypatch):
+    draw = np.random.default_rng(4)
+    counts = np.append(draw.integers(0, 50, 30), 40)
+    frequent = np.argsort(-counts, kind="stable")[:20]
+    model = attention_lm.AttentionModel(attention_lm.Bigrams.of(counts, frequent, draw.integers(0, 5, (20, 20))))
+    before, wanted, _ = attention_lm.windows([draw.integers(0, 9, n).astype(np.int32) for n in (70, 5, 33)], 30)
+    into = {n: np.zeros_like(x) for n, x in model.params.items()}
+    read, projected = [], attention_lm.AttentionModel._projected
+    monkeypatch.setattr(attention_lm.AttentionModel, "_projected", lambda m, token: read.append(len(token)) or projected(m, token))
+    model._gradient(before, wanted, into)
+    assert read == [len(np.unique(np.where(before >= 0, model.bigrams.index[before], 0)))] and read[0] < 12
+    model.params = {n: x.astype(float) for n, x in model.params.items()}
+    for name, x in model.params.items():
+        way, losses = draw.standard_normal(x.shape), []
+        for step in (1e-7, -1e-7):
+            model.params[name], model._tables = x + step * way, None
+            losses.append(-model.log_probability(before, wanted).sum() / (wanted >= 0).sum())
+        model.params[name] = x
+        assert math.isclose((losses[0] - losses[1]) / 2e-7, (into[name] * way).sum(), rel_tol=1e-3, abs_tol=1e-5), name
+
+
 def test_base_scores_are_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     words = {i: t.encode().lower().split() + [b""] for i, t in docs.items()}
@@ -431,6 +453,26 @@ def test_attention_is_fitted_on_all_training_documents(spark, ranks, monkeypatch
     assert sum(r.n for f in fitted for r in f.collect()) == sum(map(len, lm_scoring.Subwords(ranks).ids(learned)))
 
 
+def test_words_are_spelled_alike_whatever_was_forgotten(spark, ranks, monkeypatch):
+    import tiktoken
+
+    plain = tiktoken.Encoding("plain", pat_str=token_counts.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+    texts = [f"Some {chr(97 + i % 5)}{i} words\u0085 \u3000 twice Twice {'é' * (i % 3)} {'x' * i}" for i in range(40)] + [""]
+    words = [t.translate(str.maketrans(queries._UPPER, queries._LOWER)).encode().split() for t in texts]
+    want = [[x for w in ws for x in plain.encode_ordinary(" " + w.decode())] + [plain.max_token_value + 1] for ws in words]
+    subwords = lm_scoring.Subwords(ranks)
+    for low in range(0, len(words), 7):
+        numbers = subwords.numbers(words[low : low + 7])
+        assert [subwords.spelled(x).tolist() for x in numbers] == want[low : low + 7]
+        assert [[subwords.words[i] for i in x] for x in numbers] == [[*w, lm_scoring.END_WORD] for w in words[low : low + 7]]
+        if low == 14:
+            subwords.forget()
+    monkeypatch.setattr(lm_scoring, "HELD_WORDS", 10)
+    monkeypatch.setattr(lm_scoring, "ROWS", 3)
+    counts = lm_scoring._fit(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), ranks)[1]
+    assert {r.word: r.n for r in counts.collect()} == collections.Counter(w for ws in words for w in [*ws, lm_scoring.END_WORD])
+
+
 def test_language_model_sends_texts_in_small_batches(spark, ranks, monkeypatch):
     sent, written, default = {}, lm_scoring.written, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
 
